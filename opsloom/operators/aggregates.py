@@ -205,21 +205,17 @@ def latest_n_nested(child: DataFrame, key: str, order: Sequence[str], row_id: st
 def contributors(df: DataFrame, key: str, n: int) -> DataFrame:
     """Top contributors with their share of all rows."""
     counted = df.groupBy(key).agg(n_rows("n"))
-    total = counted.agg(F.sum("n").alias("_total"))
-    leaders = counted.orderBy(F.desc("n"), key).limit(n)
-    # One row on one side: the join carries the total to at most n leaders.
-    return (leaders.withColumn("_one", F.lit(1)).join(total.withColumn("_one", F.lit(1)), "_one")
-            .select(key, "n", (F.col("n") / F.col("_total")).alias("share")))
+    total = counted.agg(F.sum("n")).scalar()
+    return counted.orderBy(F.desc("n"), key).limit(n).select(key, "n", (F.col("n") / total).alias("share"))
 
 
 def skew_report(df: DataFrame, key: str, n: int) -> DataFrame:
     """Heaviest keys with their share and the ratio to the mean key."""
     counted = df.groupBy(key).agg(n_rows("n"))
-    whole = counted.agg(F.sum("n").alias("_total"), F.count(F.lit(1)).alias("_keys")).withColumn("_one", F.lit(1))
-    leaders = counted.orderBy(F.desc("n"), key).limit(n).withColumn("_one", F.lit(1))
-    return leaders.join(whole, "_one").select(
-        key, "n", (F.col("n") / F.col("_total")).alias("share"),
-        (F.col("n") / (F.col("_total") / F.col("_keys"))).alias("times_mean"))
+    total = counted.agg(F.sum("n")).scalar()
+    mean = counted.agg(F.sum("n") / F.count(F.lit(1))).scalar()
+    return counted.orderBy(F.desc("n"), key).limit(n).select(
+        key, "n", (F.col("n") / total).alias("share"), (F.col("n") / mean).alias("times_mean"))
 
 
 def capacity(df: DataFrame, seconds: float, unit: str, per_partition: float, ts: str = "ts") -> DataFrame:

@@ -57,12 +57,10 @@ def analytics_summary(views: DataFrame, logins: DataFrame, names: DataFrame, n:
                .join(names, "product_id", "left")
                .withColumn("name", F.coalesce("name", F.concat(F.lit("Product "), F.col("product_id").cast("string")))))
     packed = F.array_sort(F.collect_list(F.struct((-F.col("views")).alias("rank"), "name")))
-    one = F.lit(1).alias("_one")
     top = leaders.agg(F.sum("views").alias("total_views"),
-                      F.array_join(F.transform(packed, lambda s: s["name"]), ",").alias("top_products"), one)
-    uniques = views.agg(F.count_distinct("visitor_id").alias("unique_visitors"), one)
-    active = logins.agg(F.count_distinct("user_id").alias("daily_active_users"), one)
-    return top.join(uniques, "_one").join(active, "_one").drop("_one")
+                      F.array_join(F.transform(packed, lambda s: s["name"]), ",").alias("top_products"))
+    return top.select("*", views.agg(F.count_distinct("visitor_id")).scalar().alias("unique_visitors"),
+                      logins.agg(F.count_distinct("user_id")).scalar().alias("daily_active_users"))
 
 
 # --- statistics per period --------------------------------------------------------------------
@@ -151,9 +149,8 @@ def baseline_shift(current: DataFrame, baseline: DataFrame, key: str, points: fl
     """Share of rows per key now and in the baseline, flagged when it moved by ``points`` percent or more."""
     def shares(df: DataFrame, out: str) -> DataFrame:
         counted = df.groupBy(key).agg(n_rows("_n"))
-        total = counted.agg(F.sum("_n").alias("_total"), F.lit(1).alias("_one"))
-        return (counted.withColumn("_one", F.lit(1)).join(total, "_one")
-                .select(key, (F.col("_n") * F.lit(100.0) / F.col("_total")).alias(out)))
+        total = counted.agg(F.sum("_n")).scalar()
+        return counted.select(key, (F.col("_n") * F.lit(100.0) / total).alias(out))
 
     both = shares(current, "current_pct").join(shares(baseline, "baseline_pct"), key, "full_outer")
     both = both.fillna(0.0, ["current_pct", "baseline_pct"])

@@ -1,6 +1,6 @@
 """All registered queries: importing the modules fills the registry."""
 
-from opsloom.plans import aggregates, filters, metrics  # noqa: F401
+from opsloom.plans import aggregates, filters, joins, metrics, ranking  # noqa: F401
 from opsloom.plans.registry import REGISTRY
 
 __all__ = ["REGISTRY"]
