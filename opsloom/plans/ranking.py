@@ -190,12 +190,12 @@ def stream_entries(t):
                                                    (F.col("event_id") % 3).cast("string")).alias("id"), "ts")
 
 
-@query("F6", "SELECT event_id FROM events ORDER BY epoch_ms(ts) DESC, event_id % 3 DESC LIMIT 40")
+@query("F6", "SELECT event_id FROM events ORDER BY epoch_us(ts) // 1000 DESC, event_id % 3 DESC LIMIT 40")
 def newest_entries(t):
     return op.tail(stream_entries(t), "id", 40).select("event_id")
 
 
-@query("F6", "SELECT event_id FROM events ORDER BY epoch_ms(ts), event_id % 3 LIMIT 40")
+@query("F6", "SELECT event_id FROM events ORDER BY epoch_us(ts) // 1000, event_id % 3 LIMIT 40")
 def oldest_entries(t):
     return op.head(stream_entries(t), "id", 40).select("event_id")
 
