@@ -64,12 +64,12 @@ def _carry_last(df, keys, order, chunk, packed, values, lag):
     by_order = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     frame = by_order.rowsBetween(Window.unboundedPreceding, 0)
     inside = F.lag("_packed").over(by_order) if lag else F.last("_packed", ignorenulls=True).over(frame)
-    ends = (detail.where(F.col("_packed").isNotNull()).groupBy(*keys, CHUNK)
-            .agg(F.max_by("_packed", F.struct(*order)).alias("_end")))
-    # A chunk without a seen row still needs the carry of an earlier one.
-    every = detail.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_n")).join(ends, [*keys, CHUNK], "left")
+    # max_by skips null orders: a chunk without a seen row gets a null end but keeps its row,
+    # through which an earlier chunk's end is carried on.
+    ends = detail.groupBy(*keys, CHUNK).agg(
+        F.max_by("_packed", F.when(F.col("_packed").isNotNull(), F.struct(*order))).alias("_end"))
     earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = every.select(*keys, CHUNK, F.last("_end", ignorenulls=True).over(earlier).alias("_before"))
+    carry = ends.select(*keys, CHUNK, F.last("_end", ignorenulls=True).over(earlier).alias("_before"))
     found = detail.withColumn("_found", inside).join(carry, [*keys, CHUNK])
     best = F.coalesce("_found", "_before")
     return (found.withColumns({n: best.getField(n) for n in values})

@@ -1,4 +1,9 @@
-"""Time arithmetic that does not depend on the session time zone."""
+"""Time arithmetic in microseconds.
+
+Sessions run in UTC: ``timestampdiff`` goes through TIMESTAMP, so a zone with daylight
+saving would shift results by an hour around the change. Divisions below are exact, since
+microsecond counts stay under 2**53.
+"""
 
 from __future__ import annotations
 

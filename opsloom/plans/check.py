@@ -50,6 +50,8 @@ def compare(spark: SparkSession, con: duckdb.DuckDBPyConnection, name: str, path
     q = REGISTRY[name]
     df = q(spark, path)
     ours = rows(df.columns, df.collect())
+    if not ours:
+        return "no rows"
     if q.sql is None:
         return None
     cur = con.execute(q.sql)

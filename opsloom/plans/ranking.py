@@ -216,10 +216,10 @@ def drain_queue(t):
 
 
 def _users(t, kind):
-    return t.events.where((F.col("event_type") == kind) & (F.col("value") > 60)).select("user_id")
+    return t.events.where((F.col("event_type") == kind) & (F.col("value") > 150)).select("user_id")
 
 
-USERS = "SELECT user_id FROM events WHERE event_type = '{}' AND value > 60"
+USERS = "SELECT user_id FROM events WHERE event_type = '{}' AND value > 150"
 
 
 @query("G1", f"{USERS.format('signup')} UNION {USERS.format('error')}")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from opsloom.operators import search, traces as op
 from opsloom.plans.registry import query
 from opsloom.plans.roles import EV, SEGMENTS, WEB, ev, segments, sql, web
-from opsloom.sources import scan
 
 WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 
@@ -62,7 +61,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, v
 SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS INT) AS rank, vec_id, round(cosine, 6) AS cosine FROM r WHERE rank <= 10""")
 def nearest_vectors(t):
     # One query vector per label: the first of each.
-    firsts = t.embeddings.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("v")).orderBy("label").limit(search.MAX_QUERIES).collect()
+    firsts = t.embeddings.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("v")).limit(search.MAX_QUERIES + 1).collect()
     found = search.knn(t.embeddings, "vec_id", "embedding", [(r["label"], r["v"]) for r in firsts], 10)
     return found.select("query_id", "rank", "vec_id", F.round("cosine", 6).alias("cosine"))
 
@@ -155,8 +154,3 @@ def verified_digests(t):
     listed = t.documents.where("doc_id % 19 <> 4").select(
         "doc_id", F.sha2(F.when(F.col("doc_id") % 13 == 5, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("digest"))
     return op.verify_digests(found, listed, "doc_id")
-
-
-@query("T12", None)
-def table_file_digests(t):
-    return scan.scan_files(t.spark, t.path, "*.parquet")

@@ -189,8 +189,10 @@ def redriven_messages(t):
     return log.redrive(attempts, "o_custkey", F.col("o_orderstatus") == "F", 5)[0]
 
 
-@query("J19", """WITH l AS (SELECT event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS d FROM events)
-SELECT event_id FROM l WHERE d IS NULL OR d >= 86400000000""")
+@query("J19", sql("""a AS (SELECT user_id, event_type, min(ts) AS anchor FROM events GROUP BY 1, 2
+  UNION ALL SELECT user_id, event_type, nxt FROM (SELECT a.user_id, a.event_type, (SELECT min(ts) FROM events e WHERE e.user_id = a.user_id
+    AND e.event_type = a.event_type AND e.ts >= a.anchor + INTERVAL 1 DAY) AS nxt FROM a) WHERE nxt IS NOT NULL)""", recursive=True) +
+       "SELECT event_id FROM events JOIN a ON a.user_id = events.user_id AND a.event_type = events.event_type AND anchor = ts")
 def deduplicated_messages(t):
     body = t.events.withColumn("content", log.content_id(F.concat_ws("/", F.col("user_id").cast("string"), "event_type")))
     return log.dedup(body, "content", "ts", "event_id", 86400).select("event_id")
@@ -297,3 +299,13 @@ def run_dedup_stream(t):
 row_number() OVER (PARTITION BY e.user_id, anchor ORDER BY e.ts, event_id) AS rn FROM events e ASOF JOIN a ON e.user_id = a.user_id AND e.ts >= a.anchor)""")
 def run_limiter_stream(t):
     return runner.run_to_files(runner.rate_anchored_stream(_stream(t), "user_id", "ts", "event_id", 2, 86400), "limiter", t.spark)
+
+
+@query("J23", "SELECT o_orderkey, o_totalprice FROM orders")
+def run_buffered_delivery(t):
+    # Four input files, two per micro-batch; each batch becomes one replaceable output folder.
+    base, inbox = work_path(t.spark, "delivered"), work_path(t.spark, "inbox")
+    t.orders.select("o_orderkey", "o_totalprice").repartition(4, "o_orderkey").write.parquet(inbox)
+    source = runner.file_stream(t.spark, inbox, max_files=2)
+    runner.run_to_batches(source, "delivery", t.spark, "append", runner.write_idempotent(base))
+    return t.spark.read.schema(source.schema).parquet(f"{base}/batch=*")

@@ -7,9 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsloom.functions.ordered import previous
 from opsloom.functions.patterns import column_fields, policy
-from opsloom.functions.timeutil import micros, ntz, time_chunk
+from opsloom.functions.timeutil import micros, ntz
+from opsloom.operators.limits import rate_anchored
 from opsloom.operators.ranking import stream_id
 
 
@@ -108,17 +108,16 @@ def content_id(body: Column) -> Column:
     return F.sha2(body, 256)
 
 
-def dedup(df: DataFrame, key: str, ts: str, row_id: str, seconds: int, chunk_seconds: float = 86400) -> DataFrame:
-    """Drop a message whose id was seen within the interval before it.
+def dedup(df: DataFrame, key: str, ts: str, row_id: str, seconds: int) -> DataFrame:
+    """Drop a message whose id was accepted within the interval before it.
 
-    A stream uses ``dropDuplicatesWithinWatermark``. In the batch form the interval is
-    measured to the message before, whether that one was kept or not.
+    The first message opens the interval; repeats inside it are ignored and do not extend it.
+    A stream uses ``dropDuplicatesWithinWatermark``.
     """
     if df.isStreaming:
         return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, f"{seconds} seconds").dropDuplicatesWithinWatermark([key])
-    lagged = previous(df, [key], [ts, row_id], time_chunk(ts, chunk_seconds), {"_prev": F.col(ts)})
-    fresh = F.col("_prev").isNull() | (micros(ts) - micros("_prev") >= seconds * 1_000_000)
-    return lagged.where(fresh).drop("_prev")
+    kept = rate_anchored(df, key, ts, row_id, 1, seconds).where("allowed").select(row_id)
+    return df.join(kept, row_id, "left_semi")
 
 
 def route_events(df: DataFrame, kind: str, known: Sequence[str]) -> DataFrame:
