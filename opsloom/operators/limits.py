@@ -141,34 +141,41 @@ def fold_by_key(df: DataFrame, key: str, us: str, row_id: str, fold: Fold, reset
                 max_rows: int = 2_000_000, chunk_us: int = 3_600_000_000) -> DataFrame:
     """``(key, us, row_id, allowed)`` from a per-key fold in time order.
 
-    1. A gap of ``reset_us`` starts a new segment with fresh state; segments are independent.
-    2. Segments of up to ``max_rows`` rows stream through ``mapInPandas``, many per task.
-    3. Longer segments (a key that never pauses) are cut into slices of ``max_rows`` that
-       pass their state on, one slice per round, so no task holds a whole key. The rounds are
-       sequential because the limiter's definition is.
+    Keys of up to ``max_rows`` rows stream through ``mapInPandas``, many per task. A key with
+    more rows is cut in two ways: a gap of ``reset_us`` starts a new segment with fresh state,
+    and segments are independent; a segment that is still too long (a key that never pauses)
+    becomes slices of ``max_rows`` that pass their state on, one slice per round. So no task
+    holds a whole hot key. The rounds are sequential because the limiter's definition is.
     """
     amounts = amounts or []
     rows = df.select(key, us, row_id, *amounts)
-    order = [us, row_id]
-    chunk = slots(us, chunk_us)
+    types = {c: df.schema[c].dataType.simpleString() for c in (key, row_id)}
+    schema = f"{key} {types[key]}, {us} bigint, {row_id} {types[row_id]}, allowed boolean"
+    stream = lambda part: _stream_segments(part, key, us, row_id, fold, amounts, schema)
+    whole = F.lit(0).cast("bigint")
+    sizes = rows.groupBy(key).agg(n_rows("_n"))
+    if (sizes.agg(F.max("_n")).first()[0] or 0) <= max_rows:
+        return stream(rows.withColumn("_seg", whole))
+
+    hot = sizes.where(F.col("_n") > max_rows).select(key)
+    parts = [stream(rows.join(hot, key, "left_anti").withColumn("_seg", whole))]
+    crowded = rows.join(hot, key, "left_semi")
+    order, chunk = [us, row_id], slots(us, chunk_us)
     if reset_us is None:
-        cut = rows.withColumn("_seg", F.lit(0).cast("bigint"))
+        cut = crowded.withColumn("_seg", whole)
     else:
-        lagged = previous(rows, [key], order, chunk, {"_prev": F.col(us)})
+        lagged = previous(crowded, [key], order, chunk, {"_prev": F.col(us)})
         opens = F.when(F.col("_prev").isNull() | (F.col(us) - F.col("_prev") >= reset_us), 1).otherwise(0)
         cut = running_sum(lagged, [key], order, chunk, {"_seg": opens}).drop("_prev")
+    cut = cut_lineage(cut)
     segments = cut.groupBy(key, "_seg").agg(n_rows("_n"))
     longest = segments.agg(F.max("_n")).first()[0] or 0
-    schema = f"{key} {df.schema[key].dataType.simpleString()}, {us} bigint, {row_id} {df.schema[row_id].dataType.simpleString()}, allowed boolean"
-    if longest <= max_rows:
-        return _stream_segments(cut, key, us, row_id, fold, amounts, schema)
     long = segments.where(F.col("_n") > max_rows).select(key, "_seg")
-    short = cut.join(long, [key, "_seg"], "left_anti")
-    parts = [_stream_segments(short, key, us, row_id, fold, amounts, schema)]
+    parts.append(stream(cut.join(long, [key, "_seg"], "left_anti")))
     placed = position(cut.join(long, [key, "_seg"], "left_semi"), [key, "_seg"], order, chunk, "_pos")
     sliced = cut_lineage(placed.withColumn("_slice", F.floor(F.col("_pos") / max_rows)))
     states = long.withColumn("_state", F.lit(None).cast("array<bigint>"))
-    for number in range(-(-longest // max_rows)):
+    for number in range(-(-longest // max_rows) if longest > max_rows else 0):
         batch = sliced.where(F.col("_slice") == number).join(states, [key, "_seg"])
         judged = cut_lineage(_fold_slice(batch, key, us, row_id, fold, amounts, schema))
         parts.append(judged.drop("_seg", "_state"))

@@ -41,12 +41,16 @@ def zrange(zset: DataFrame, start: int, stop: int, reverse: bool = False) -> Dat
 
 
 def zrank(zset: DataFrame, member: str, reverse: bool = False) -> DataFrame:
-    """Rank of one member by counting the rows before it: no sort, one pass after the lookup."""
+    """Rank of one member by counting the rows before it: no sort, one pass after the lookup.
+
+    No row when the set lacks the member.
+    """
     own = zset.where(F.col("member") == member).agg(F.max("score")).scalar()
     here = F.struct("score", "member")
     target = F.struct(own.alias("score"), F.lit(member).alias("member"))
     ahead = here > target if reverse else here < target
-    return zset.agg(F.count_if(ahead).alias("rank"))
+    counted = zset.agg(F.count_if(ahead).alias("rank"), F.bool_or(F.col("member") == member).alias("_found"))
+    return counted.where("_found").select("rank")
 
 
 def zscore(zset: DataFrame, member: str) -> DataFrame:

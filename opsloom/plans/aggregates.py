@@ -69,34 +69,34 @@ def top_urls(t):
     return op.top_k_by_count(web(t), "path", 20)
 
 
-@query("D8 A1 B15", sql(FLOW) + """SELECT srcaddr, CAST(sum(bytes) AS DOUBLE) AS total_bytes,
+@query("D8 A1 B15", sql(FLOW) + """SELECT srcaddr, CAST(sum(bytes) AS BIGINT) AS total_bytes,
 CAST(sum(packets) AS BIGINT) AS total_packets FROM flow WHERE "date" >= DATE '2001-11-05' - 700
 GROUP BY 1 ORDER BY sum(bytes) DESC, 1 LIMIT 20""")
 def top_talkers(t):
     return op.top_talkers(flow(t), AS_OF, 700, 20)
 
 
-@query("D9", sql(FLOW) + """SELECT dstaddr, CAST(sum(bytes) AS DOUBLE) AS total_bytes,
+@query("D9", sql(FLOW) + """SELECT dstaddr, CAST(sum(bytes) AS BIGINT) AS total_bytes,
 CAST(sum(packets) AS BIGINT) AS total_packets FROM flow WHERE "date" >= DATE '2001-11-05' - 700
 GROUP BY 1 ORDER BY sum(bytes) DESC, 1 LIMIT 20""")
 def top_destinations(t):
     return op.top_destinations(flow(t), AS_OF, 700, 20)
 
 
-@query("D10", sql(FLOW) + """SELECT dstport, CAST(sum(bytes) AS DOUBLE) AS total_bytes, count(*) AS flow_count
+@query("D10", sql(FLOW) + """SELECT dstport, CAST(sum(bytes) AS BIGINT) AS total_bytes, count(*) AS flow_count
 FROM flow GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 30""")
 def top_ports(t):
     return op.top_ports(flow(t))
 
 
-@query("D10", sql(FLOW) + """SELECT dstport, CAST(sum(bytes) AS DOUBLE) AS total_bytes, count(*) AS flow_count
+@query("D10", sql(FLOW) + """SELECT dstport, CAST(sum(bytes) AS BIGINT) AS total_bytes, count(*) AS flow_count
 FROM flow WHERE action = 'ACCEPT' GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 30""")
 def top_accepted_ports(t):
     return op.top_ports(flow(t), accepted_only=True)
 
 
 @query("D11", sql(FLOW) + """SELECT srcaddr, dstaddr, dstport, protocol, CAST(sum(packets) AS BIGINT) AS packets,
-CAST(sum(bytes) AS DOUBLE) AS bytes FROM flow WHERE action = 'REJECT' GROUP BY 1, 2, 3, 4""")
+CAST(sum(bytes) AS BIGINT) AS bytes FROM flow WHERE action = 'REJECT' GROUP BY 1, 2, 3, 4""")
 def rejected_traffic(t):
     return op.rejected_traffic(flow(t))
 
@@ -132,39 +132,39 @@ def most_rejected(t):
 
 
 @query("D16", sql(FLOW) + """SELECT srcaddr, dstaddr, dstport, protocol, action, CAST(sum(packets) AS BIGINT) AS packets,
-CAST(sum(bytes) AS DOUBLE) AS bytes FROM flow WHERE dstport = 3 AND protocol = 'F' GROUP BY 1, 2, 3, 4, 5""")
+CAST(sum(bytes) AS BIGINT) AS bytes FROM flow WHERE dstport = 3 AND protocol = 'F' GROUP BY 1, 2, 3, 4, 5""")
 def port_breakdown(t):
     return op.port_breakdown(flow(t), 3, "F")
 
 
-@query("D17", sql(FLOW) + """SELECT account_id, region, CAST(sum(bytes) AS DOUBLE) AS total_bytes, count(*) AS flows
+@query("D17", sql(FLOW) + """SELECT account_id, region, CAST(sum(bytes) AS BIGINT) AS total_bytes, count(*) AS flows
 FROM flow GROUP BY 1, 2""")
 def traffic_by_account_region(t):
     return op.traffic_by(flow(t), "account_id", "region")
 
 
-@query("D17", sql(FLOW) + "SELECT vpc_id, CAST(sum(bytes) AS DOUBLE) AS total_bytes, count(*) AS flows FROM flow GROUP BY 1")
+@query("D17", sql(FLOW) + "SELECT vpc_id, CAST(sum(bytes) AS BIGINT) AS total_bytes, count(*) AS flows FROM flow GROUP BY 1")
 def traffic_by_network(t):
     return op.traffic_by(flow(t), "vpc_id")
 
 
-@query("D17", sql(FLOW) + "SELECT subnet_id, CAST(sum(bytes) AS DOUBLE) AS total_bytes, count(*) AS flows FROM flow GROUP BY 1")
+@query("D17", sql(FLOW) + "SELECT subnet_id, CAST(sum(bytes) AS BIGINT) AS total_bytes, count(*) AS flows FROM flow GROUP BY 1")
 def traffic_by_subnet(t):
     return op.traffic_by(flow(t), "subnet_id")
 
 
-@query("D18", sql(FLOW) + "SELECT protocol, CAST(sum(bytes) AS DOUBLE) AS total_bytes, count(*) AS flows FROM flow GROUP BY 1")
+@query("D18", sql(FLOW) + "SELECT protocol, CAST(sum(bytes) AS BIGINT) AS total_bytes, count(*) AS flows FROM flow GROUP BY 1")
 def traffic_by_protocol(t):
     return op.traffic_by(flow(t), "protocol")
 
 
-@query("D19", sql(FLOW) + """SELECT interface_id, CAST(sum(bytes) AS DOUBLE) AS total_bytes FROM flow
+@query("D19", sql(FLOW) + """SELECT interface_id, CAST(sum(bytes) AS BIGINT) AS total_bytes FROM flow
 GROUP BY 1 ORDER BY sum(bytes) DESC, 1 LIMIT 20""")
 def top_interfaces(t):
     return op.top_interfaces(flow(t))
 
 
-@query("D20", sql(FLOW) + """SELECT srcaddr, dstaddr, dstport, CAST(sum(bytes) AS DOUBLE) AS total_bytes FROM flow
+@query("D20", sql(FLOW) + """SELECT srcaddr, dstaddr, dstport, CAST(sum(bytes) AS BIGINT) AS total_bytes FROM flow
 WHERE "date" >= DATE '1998-08-01' AND "date" < DATE '1998-09-01' GROUP BY 1, 2, 3""")
 def flow_matrix(t):
     return op.flow_matrix(flow(t), "1998-08-01", "1998-09-01")

@@ -81,17 +81,17 @@ SCOPED = """scoped AS (SELECT net.*, s.owner AS src_owner, d.owner AS dst_owner
 @query("C10", sql(NET, OWNED, SCOPED) + """SELECT CASE WHEN src_owner IS NOT NULL AND dst_owner IS NOT NULL THEN 'east-west'
 WHEN src_owner IS NOT NULL THEN 'outbound' WHEN dst_owner IS NOT NULL THEN 'inbound' ELSE 'external' END AS scope,
 coalesce(src_owner, '-') AS src_owner, coalesce(dst_owner, '-') AS dst_owner, count(*) AS flows,
-CAST(sum(bytes) AS DOUBLE) AS bytes FROM scoped GROUP BY 1, 2, 3""")
+CAST(sum(bytes) AS BIGINT) AS bytes FROM scoped GROUP BY 1, 2, 3""")
 def traffic_scope(t):
     return (op.traffic_scope(net(t), inventory(t)).fillna("-", ["src_owner", "dst_owner"])
             .groupBy("scope", "src_owner", "dst_owner").agg(F.count(F.lit(1)).alias("flows"), F.sum("bytes").alias("bytes")))
 
 
-@query("D43", sql(NET, OWNED, SCOPED) + """SELECT srcaddr, dstaddr, CAST(sum(bytes) AS DOUBLE) AS total_bytes,
+@query("D43", sql(NET, OWNED, SCOPED) + """SELECT srcaddr, dstaddr, CAST(sum(bytes) AS BIGINT) AS total_bytes,
 bool_or(dstport NOT IN (1, 2, 3, 4, 5, 6)) AS unexpected_port FROM scoped WHERE src_owner IS NOT NULL AND dst_owner IS NULL
-GROUP BY 1, 2 HAVING sum(bytes) >= 150000 OR bool_or(dstport NOT IN (1, 2, 3, 4, 5, 6))""")
+GROUP BY 1, 2 HAVING sum(bytes) >= 15000000 OR bool_or(dstport NOT IN (1, 2, 3, 4, 5, 6))""")
 def exfiltration_hints(t):
-    return op.exfil_hints(net(t), inventory(t), 150000, [1, 2, 3, 4, 5, 6])
+    return op.exfil_hints(net(t), inventory(t), 15000000, [1, 2, 3, 4, 5, 6])
 
 
 @query("C11", """SELECT DISTINCT l_suppkey, l_linenumber FROM lineitem

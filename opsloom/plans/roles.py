@@ -15,7 +15,7 @@ MONEY = "decimal(18,2)"
 
 FLOW = """flow AS (SELECT l_orderkey, l_linenumber, CAST(l_suppkey AS VARCHAR) AS srcaddr,
   CAST(l_partkey AS VARCHAR) AS dstaddr, l_linenumber AS dstport, l_linestatus AS protocol,
-  CAST(l_quantity AS BIGINT) AS packets, CAST(l_extendedprice AS DECIMAL(18,2)) AS bytes,
+  CAST(l_quantity AS BIGINT) AS packets, CAST(round(l_extendedprice * 100) AS BIGINT) AS bytes,
   CASE WHEN l_returnflag = 'R' THEN 'REJECT' ELSE 'ACCEPT' END AS action, l_shipdate AS start,
   CAST(l_shipdate AS DATE) AS "date", CAST(l_suppkey % 3 AS VARCHAR) AS account_id,
   CAST(l_suppkey % 4 AS VARCHAR) AS region, CAST(l_partkey % 16 AS VARCHAR) AS subnet_id,
@@ -30,7 +30,7 @@ def flow(t: Tables) -> DataFrame:
         "l_orderkey", "l_linenumber", text(F.col("l_suppkey")).alias("srcaddr"),
         text(F.col("l_partkey")).alias("dstaddr"), F.col("l_linenumber").alias("dstport"),
         F.col("l_linestatus").alias("protocol"), F.col("l_quantity").cast("bigint").alias("packets"),
-        F.col("l_extendedprice").cast(MONEY).alias("bytes"),
+        F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("bytes"),
         F.when(F.col("l_returnflag") == "R", "REJECT").otherwise("ACCEPT").alias("action"),
         F.col("l_shipdate").alias("start"), F.col("l_shipdate").cast("date").alias("date"),
         text(F.col("l_suppkey") % 3).alias("account_id"), text(F.col("l_suppkey") % 4).alias("region"),
@@ -135,7 +135,7 @@ NET = """net AS (SELECT l_orderkey, l_linenumber, l_suppkey AS src_ip_n,
   '10.0.' || CAST(l_suppkey // 256 AS VARCHAR) || '.' || CAST(l_suppkey % 256 AS VARCHAR) AS srcaddr,
   CASE WHEN l_partkey % 5 = 0 THEN '52.' ELSE '10.' END || CAST(l_partkey // 65536 AS VARCHAR) || '.' ||
     CAST(l_partkey // 256 % 256 AS VARCHAR) || '.' || CAST(l_partkey % 256 AS VARCHAR) AS dstaddr,
-  l_linenumber AS dstport, CAST(l_extendedprice AS DECIMAL(18,2)) AS bytes, l_shipdate AS ts FROM lineitem)"""
+  l_linenumber AS dstport, CAST(round(l_extendedprice * 100) AS BIGINT) AS bytes, l_shipdate AS ts FROM lineitem)"""
 
 
 def net(t: Tables) -> DataFrame:
@@ -146,7 +146,7 @@ def net(t: Tables) -> DataFrame:
         F.concat_ws(".", F.lit("10.0"), part(s / 256), (s % 256).cast("string")).alias("srcaddr"),
         F.concat_ws(".", F.when(p % 5 == 0, "52").otherwise("10"), part(p / 65536),
                     (F.floor(p / 256) % 256).cast("string"), (p % 256).cast("string")).alias("dstaddr"),
-        F.col("l_linenumber").alias("dstport"), F.col("l_extendedprice").cast(MONEY).alias("bytes"),
+        F.col("l_linenumber").alias("dstport"), F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("bytes"),
         F.col("l_shipdate").alias("ts"))
 
 

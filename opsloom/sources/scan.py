@@ -55,16 +55,20 @@ def scan_cdn_logs(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_access_log(df: DataFrame, col: str = "line") -> tuple[DataFrame, DataFrame]:
     """Parsed rows of the combined or detailed format, and the lines that have neither."""
-    group = lambda i: F.regexp_extract(col, ACCESS_LINE, i)
+    # One regex pass per line: the groups are joined by a control character and split again.
+    joined = F.regexp_replace(col, ACCESS_LINE, "\x01" + "\x01".join(f"${i}" for i in range(1, 14)))
+    split = df.withColumn("_joined", joined).withColumn("_parts", F.split("_joined", "\x01"))
+    # An unmatched line comes back unchanged; one that holds the separator has too many parts.
+    fits = F.coalesce((F.col("_joined") != F.col(col)) & (F.size("_parts") == 14), F.lit(False))
+    group = lambda i: F.get("_parts", F.lit(i))
     value = lambda i: F.when(~group(i).isin("", "-"), group(i))
-    fits = F.col(col).rlike(ACCESS_LINE)
-    parsed = df.where(fits).withColumns({
+    parsed = split.where(fits).withColumns({
         "client": group(1), "user": value(2),
         "ts": F.try_to_timestamp(group(3), F.lit("dd/MMM/yyyy:HH:mm:ss Z")), "method": group(4), "path": group(5),
         "protocol": value(6), "status": group(7).cast("int"), "bytes": F.coalesce(value(8).cast("bigint"), F.lit(0)),
         "referer": value(9), "agent": group(10), "rt": value(11).try_cast("double"), "urt": value(12).try_cast("double"),
-        "cache": value(13)}).drop(col)
-    return parsed, df.where(~F.coalesce(fits, F.lit(False)))
+        "cache": value(13)}).drop(col, "_joined", "_parts")
+    return parsed, split.where(~fits).drop("_joined", "_parts")
 
 
 def parse_json_log(df: DataFrame, schema: str, col: str = "line") -> tuple[DataFrame, DataFrame]:
