@@ -191,9 +191,11 @@ def valid_rows(df: DataFrame, rules: Mapping[str, Column]) -> tuple[DataFrame, D
 
 
 def reservoir_sample(df: DataFrame, ts: str, row_id: str, reservoir: int, percent: int) -> DataFrame:
-    """First ``reservoir`` rows of every second, plus ``percent`` of the others by hash."""
-    seconds = df.withColumn("_second", floor_time(column(ts), "second"))
-    certain = first_n(seconds, ["_second"], [F.col(ts), F.col(row_id)], reservoir, F.col(row_id)).select(row_id)
-    tagged = df.join(certain.withColumn("_first", F.lit(True)), row_id, "left")
+    """First ``reservoir`` rows of every second, plus ``percent`` of the others by hash.
+
+    The hash part is a plain filter; only the first rows of each second are shuffled.
+    """
     picked = key_partition(row_id, 100) < percent
-    return tagged.where(F.col("_first").isNotNull() | picked).drop("_first")
+    seconds = df.withColumn("_second", floor_time(column(ts), "second"))
+    certain = first_n(seconds, ["_second"], [F.col(ts), F.col(row_id)], reservoir, F.col(row_id))
+    return df.where(picked).unionByName(certain.drop("_second", "rn").where(~picked))

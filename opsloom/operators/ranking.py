@@ -30,11 +30,14 @@ def zranks(zset: DataFrame, reverse: bool = False) -> DataFrame:
 def zrange(zset: DataFrame, start: int, stop: int, reverse: bool = False) -> DataFrame:
     """Members by position, both ends included, negative positions from the end.
 
-    A range that starts near an end needs only a top-k; others number the whole set.
+    Both positions from the same end need only a top-k; mixed ones number the whole set.
     """
-    order = [F.desc("score"), F.desc("member")] if reverse else [F.asc("score"), F.asc("member")]
+    ascending, descending = [F.asc("score"), F.asc("member")], [F.desc("score"), F.desc("member")]
+    order, backwards = (descending, ascending) if reverse else (ascending, descending)
     if 0 <= start <= stop:
         return zset.orderBy(*order).limit(stop + 1).offset(start)
+    if start <= stop < 0:
+        return zset.orderBy(*backwards).limit(-start).offset(-stop - 1)
     size = zset.agg(F.count(F.lit(1))).scalar()
     place = lambda i: F.lit(i) if i >= 0 else size + F.lit(i)
     return zranks(zset, reverse).where((F.col("rank") >= place(start)) & (F.col("rank") <= place(stop))).drop("rank")

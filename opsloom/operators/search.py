@@ -27,10 +27,14 @@ def inverted_index(docs: DataFrame, doc: str, text: str) -> DataFrame:
 
 
 def text_search(docs: DataFrame, text: str, terms: Sequence[str]) -> DataFrame:
-    """Documents that hold every term: one scan, no shuffle."""
-    words = F.col("_words")
-    hits = docs.withColumn("_words", tokens(text)).where(every([F.array_contains(words, t.lower()) for t in terms]))
-    return hits.drop("_words")
+    """Documents that hold every term: one scan, no shuffle.
+
+    The cheap substring test comes first, so only candidates are split into words.
+    """
+    wanted = [t.lower() for t in terms]
+    candidates = every([F.lower(F.col(text)).contains(t) for t in wanted])
+    missing = F.array_except(F.array(*[F.lit(t) for t in wanted]), tokens(text))
+    return docs.where(candidates & (F.size(missing) == 0))
 
 
 def index_search(index: DataFrame, doc: str, terms: Sequence[str]) -> DataFrame:

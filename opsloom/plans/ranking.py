@@ -28,6 +28,12 @@ def zrange_last_twenty(t):
     return op.zrange(zset(t), -20, -1)
 
 
+@query("E2", sql(ZSET) + """SELECT member, score FROM (SELECT *, row_number() OVER (ORDER BY score, member) AS rn, count(*) OVER () AS n FROM zset)
+WHERE rn >= 4 AND rn <= n - 10""")
+def zrange_mixed_ends(t):
+    return op.zrange(zset(t), 3, -11)
+
+
 @query("E3", sql(ZSET) + "SELECT member, score, row_number() OVER (ORDER BY score, member) - 1 AS rank FROM zset")
 def zrank_all(t):
     return op.zranks(zset(t))

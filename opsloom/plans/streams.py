@@ -236,8 +236,8 @@ def enriched_pipe(t):
 
 # --- real stream runs over the events file; their SQL is that of the batch form -----------------
 
-def _stream(t):
-    return runner.file_stream(t.spark, f"{t.path}/events.parquet")
+def _stream(t, max_files=None):
+    return runner.file_stream(t.spark, f"{t.path}/events.parquet", max_files=max_files)
 
 
 @query("A9 J1 J7", "SELECT event_id FROM events WHERE value > 10")
@@ -298,7 +298,7 @@ def run_dedup_stream(t):
 @query("E21", sql(ANCHORS, recursive=True) + """SELECT user_id, event_id, rn <= 2 AS allowed FROM (SELECT e.user_id, event_id,
 row_number() OVER (PARTITION BY e.user_id, anchor ORDER BY e.ts, event_id) AS rn FROM events e ASOF JOIN a ON e.user_id = a.user_id AND e.ts >= a.anchor)""")
 def run_limiter_stream(t):
-    return runner.run_to_files(runner.rate_anchored_stream(_stream(t), "user_id", "ts", "event_id", 2, 86400), "limiter", t.spark)
+    return runner.run_to_files(runner.rate_anchored_stream(_stream(t, 1), "user_id", "ts", "event_id", 2, 86400), "limiter", t.spark)
 
 
 @query("J23", "SELECT o_orderkey, o_totalprice FROM orders")

@@ -86,6 +86,8 @@ def rate_anchored_stream(stream: DataFrame, key: str, ts: str, row_id: str, limi
     """Streaming form of the anchored limiter: one window start and count per key as state.
 
     Each micro-batch is folded in time order per key; input must arrive in time order across batches.
+    A key's rows of one micro-batch meet in one task, so bound the batch at the source
+    (``maxFilesPerTrigger``, ``maxBytesPerTrigger`` or ``maxOffsetsPerTrigger``).
     """
     span = int(seconds * 1_000_000)
     names = {"key": stream.schema[key].dataType.simpleString(), "id": stream.schema[row_id].dataType.simpleString()}
