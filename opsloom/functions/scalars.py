@@ -30,8 +30,9 @@ def getrange(c: str | Column, start: int, end: int) -> Column:
 
 
 def setrange(c: str | Column, offset: int, value: str) -> Column:
-    """Overwrite from the zero-based ``offset`` on."""
-    return F.overlay(column(c), F.lit(value), F.lit(offset + 1))
+    """Overwrite from the zero-based ``offset`` on; a short value is first padded with zero characters."""
+    padded = F.when(F.length(column(c)) < offset, F.rpad(column(c), offset, "\0")).otherwise(column(c))
+    return F.overlay(padded, F.lit(value), F.lit(offset + 1))
 
 
 def divide(a: str | Column, b: str | Column) -> tuple[Column, Column]:

@@ -138,17 +138,17 @@ def metric_math(t):
 @query("D54", sql(EV) + """, c AS (SELECT date_trunc('hour', ts) AS period, event_type, count(*) AS n FROM ev GROUP BY 1, 2),
 b AS (SELECT *, sum(n) OVER w / count(n) OVER w AS baseline FROM c
   WINDOW w AS (PARTITION BY event_type ORDER BY period ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING))
-SELECT period, event_type, n, baseline FROM b WHERE n >= baseline * 2""")
+SELECT period, event_type, n, baseline FROM b WHERE n >= baseline * 1.25::DOUBLE""")
 def query_volume_spikes(t):
-    return op.volume_anomalies(t.events, ["event_type"], 3600, 24, 2.0)
+    return op.volume_anomalies(t.events, ["event_type"], 3600, 24, 1.25)
 
 
 @query("D62", sql(FLOW) + """, c AS (SELECT date_trunc('day', start) AS period, dstport, count(*) AS n FROM flow WHERE action = 'REJECT' GROUP BY 1, 2),
 b AS (SELECT *, sum(n) OVER w / count(n) OVER w AS baseline FROM c
   WINDOW w AS (PARTITION BY dstport ORDER BY period ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING))
-SELECT period, dstport, n, baseline FROM b WHERE n >= baseline * 3""")
+SELECT period, dstport, n, baseline FROM b WHERE n >= baseline * 1.5::DOUBLE""")
 def reject_spikes(t):
-    return op.volume_anomalies(flow(t).where(F.col("action") == "REJECT"), ["dstport"], 86400, 30, 3.0, "start")
+    return op.volume_anomalies(flow(t).where(F.col("action") == "REJECT"), ["dstport"], 86400, 30, 1.5, "start")
 
 
 @query("D60", sql(WEB) + """, s AS (SELECT CAST(ts AS DATE) AS day, count(*) FILTER (status < 500) AS good, count(*) AS total FROM web GROUP BY 1)

@@ -41,28 +41,32 @@ def scan_flow_records(t):
                                                  F.count_if(F.col("srcport").isNull()).alias("no_port"))
 
 
-def access_lines(t):
+def access_log(t):
+    """Events written as access-log text files; every 50th line is cut short. The referer carries the event id."""
     stamp = F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss")
-    extra = F.when(F.col("event_id") % 2 == 0, F.format_string(" rt=%s urt=%s cs=%s", F.col("rt").cast("string"),
-                   F.when(F.col("event_id") % 4 == 0, "-").otherwise(F.col("rt").cast("string")), "cache")).otherwise("")
-    line = F.concat(F.format_string('%s - - [%s +0000] "%s %s HTTP/1.1" %d %d "-" "%s"', "client", stamp, "method", "path", "status",
-                                    "bytes", "agent"), extra)
-    broken = F.when(F.col("event_id") % 50 == 7, F.substring(line, 1, 20)).otherwise(line)
-    return web(t).select("event_id", broken.alias("line"))
+    rt = F.col("rt").cast("string")
+    extra = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(" rt="), rt, F.lit(" urt="), F.when(
+        F.col("event_id") % 4 == 0, "-").otherwise(rt), F.lit(" cs="), "cache")).otherwise("")
+    line = F.concat(F.format_string('%s - - [%s +0000] "%s %s HTTP/1.1" %d %d "%d" "%s"', "client", stamp, "method", "path", "status",
+                                    "bytes", "event_id", "agent"), extra)
+    path = work_path(t.spark, "access")
+    web(t).select(F.when(F.col("event_id") % 50 == 7, F.substring(line, 1, 20)).otherwise(line)).write.text(path)
+    return t.spark.read.text(path).withColumnRenamed("value", "line")
 
 
 @query("A3", sql(WEB) + """SELECT event_id, client, date_trunc('second', ts) AS ts, method, path, status, bytes, agent,
 CASE WHEN event_id % 2 = 0 THEN CAST(rt AS DOUBLE) ELSE -1 END AS rt, CASE WHEN event_id % 4 = 2 THEN CAST(rt AS DOUBLE) ELSE -1 END AS urt,
 CASE WHEN event_id % 2 = 0 THEN cache ELSE '' END AS cache FROM web WHERE event_id % 50 <> 7""")
 def parsed_access_log(t):
-    good, _ = scan.parse_access_log(access_lines(t))
-    return good.select("event_id", "client", F.col("ts").cast("timestamp_ntz").alias("ts"), "method", "path", "status", "bytes", "agent",
-                       F.coalesce("rt", F.lit(-1.0)).alias("rt"), F.coalesce("urt", F.lit(-1.0)).alias("urt"), F.coalesce("cache", F.lit("")).alias("cache"))
+    good, _ = scan.parse_access_log(access_log(t))
+    return good.select(F.col("referer").cast("bigint").alias("event_id"), "client", F.col("ts").cast("timestamp_ntz").alias("ts"), "method",
+                       "path", "status", "bytes", "agent", F.coalesce("rt", F.lit(-1.0)).alias("rt"), F.coalesce("urt", F.lit(-1.0)).alias("urt"),
+                       F.coalesce("cache", F.lit("")).alias("cache"))
 
 
-@query("A3", "SELECT event_id FROM events WHERE event_id % 50 = 7")
+@query("A3", "SELECT substr(user_id || strftime(ts, ' - - [%d/%b/%Y:%H:%M:%S +0000] '), 1, 20) AS line FROM events WHERE event_id % 50 = 7")
 def unparsed_access_lines(t):
-    return scan.parse_access_log(access_lines(t))[1].select("event_id")
+    return scan.parse_access_log(access_log(t))[1]
 
 
 def _json_lines(t):
@@ -201,6 +205,24 @@ def hash_layout(t):
     return t.spark.read.parquet(path).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
 
+def bucketed_pair(t):
+    tables = []
+    for df, key in ((t.orders.select("o_orderkey", "o_orderpriority"), "o_orderkey"),
+                    (t.lineitem.select("l_orderkey", "l_quantity"), "l_orderkey")):
+        table = "opsloom_" + uuid.uuid4().hex[:10]
+        sinks.write_bucketed(df, table, work_path(t.spark, "buckets"), key, 8)
+        tables.append(t.spark.table(table))
+    return tables
+
+
+@query("A15 C1", """SELECT o_orderpriority, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity
+FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1""")
+def bucketed_join(t):
+    orders, lines = bucketed_pair(t)
+    joined = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    return joined.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("bigint")).alias("quantity"))
+
+
 @query("A17", "SELECT p_partkey FROM part UNION ALL SELECT p_partkey + 5000000 FROM part WHERE p_size < 5")
 def loaded_products(t):
     path = work_path(t.spark, "load")

@@ -49,6 +49,15 @@ def write_partitioned(df: DataFrame, path: str, kind: str, col: str, name: str =
     df.withColumn(name, partition_value(kind, col, **layout)).write.mode("overwrite").partitionBy(name).parquet(path)
 
 
+def write_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int) -> None:
+    """Table hashed and sorted by ``key``: two tables with equal buckets join on it without a shuffle.
+
+    Rows are grouped by bucket before the write, so each bucket becomes one file and not one per task.
+    """
+    grouped = df.repartition(buckets, key)
+    grouped.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+
+
 def drop_partitions(spark: SparkSession, table: str, column: str, before: str) -> list[str]:
     """Drop whole partitions below ``before``; only catalog metadata is read."""
     names = [row[0].split("=", 1)[1] for row in spark.sql(f"SHOW PARTITIONS {table}").collect()]

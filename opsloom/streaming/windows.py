@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsloom.functions.ordered import first_n
+from opsloom.functions.ordered import CHUNK, first_n
 from opsloom.functions.patterns import label_selector, metric_pattern
 from opsloom.functions.timeutil import micros, ntz, time_chunk
 from opsloom.operators.aggregates import n_rows
@@ -55,20 +55,20 @@ def sessions(df: DataFrame, key: str, ts: str, row_id: str, gap_seconds: int, ch
         out = df.groupBy(F.session_window(ts, f"{gap_seconds} seconds").alias("window"), key).agg(n_rows("n"))
         return out.select(*_slot(out), key, "n")
     chunk = time_chunk(ts, chunk_seconds)
-    inside = Window.partitionBy(key, "_part").orderBy(ts, row_id)
+    inside = Window.partitionBy(key, CHUNK).orderBy(ts, row_id)
     silent = lambda since, until: F.when(
         since.isNull() | (micros(until) - micros(since) >= gap_seconds * 1_000_000), 1).otherwise(0)
     # The rows are shuffled once, on (key, chunk); what follows works on sessions and chunks.
-    opened = df.select(key, ts, row_id).withColumn("_part", chunk).withColumn("_opens", silent(F.lag(ts).over(inside), F.col(ts)))
+    opened = df.select(key, ts, row_id).withColumn(CHUNK, chunk).withColumn("_opens", silent(F.lag(ts).over(inside), F.col(ts)))
     numbered = opened.withColumn("_no", F.sum("_opens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    local = numbered.groupBy(key, "_part", "_no").agg(F.min(ts).alias("start"), F.max(ts).alias("_last"), n_rows("n"))
+    local = numbered.groupBy(key, CHUNK, "_no").agg(F.min(ts).alias("start"), F.max(ts).alias("_last"), n_rows("n"))
     # One row per chunk: does its first session continue the chunk before, and how many came earlier?
-    by_chunk = Window.partitionBy(key).orderBy("_part")
-    chunks = local.groupBy(key, "_part").agg(F.min("start").alias("_first"), F.max("_last").alias("_end"), F.max("_no").alias("_count"))
+    by_chunk = Window.partitionBy(key).orderBy(CHUNK)
+    chunks = local.groupBy(key, CHUNK).agg(F.min("start").alias("_first"), F.max("_last").alias("_end"), F.max("_no").alias("_count"))
     chunks = chunks.withColumn("_joins", 1 - silent(F.lag("_end").over(by_chunk), F.col("_first")))
     earlier = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
     chunks = chunks.withColumn("_before", F.coalesce(F.sum(F.col("_count") - F.col("_joins")).over(earlier), F.lit(0)))
-    spans = (local.join(chunks.select(key, "_part", "_joins", "_before"), [key, "_part"])
+    spans = (local.join(chunks.select(key, CHUNK, "_joins", "_before"), [key, CHUNK])
              .groupBy(key, (F.col("_before") + F.col("_no") - F.col("_joins")).alias("_session"))
              .agg(F.min("start").alias("start"), F.max("_last").alias("_last"), F.sum("n").alias("n")))
     return spans.select("start", F.timestamp_add("SECOND", F.lit(gap_seconds), F.col("_last")).alias("end"), key, "n")

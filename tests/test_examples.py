@@ -181,6 +181,7 @@ def test_strings(spark):
     row = frame(spark, [("Hello World",)], "s string").select(
         scalars.getrange("s", 0, 4).alias("a"), scalars.getrange("s", -5, -1).alias("b"), scalars.setrange("s", 6, "Redis").alias("c")).first()
     assert tuple(row) == ("Hello", "World", "Hello Redis")
+    assert frame(spark, [("ab",)], "s string").select(scalars.setrange("s", 4, "x")).first()[0] == "ab\0\0x"
 
 
 def test_client_ip_order(spark):

@@ -7,6 +7,7 @@ from opsloom.operators import aggregates, filters
 from opsloom.plans.catalogue import REGISTRY
 from opsloom.plans.registry import Tables
 from opsloom.plans.roles import flow
+from opsloom.plans.sources import bucketed_pair
 from opsloom.sources import scan, sinks
 
 
@@ -47,6 +48,23 @@ def test_detail_windows_are_chunked(spark, data, name):
     assert "_chunk" in text and "SinglePartition" not in text
 
 
+def test_bucketed_tables_join_without_a_shuffle(spark, data):
+    orders, lines = bucketed_pair(Tables(spark, data))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(orders.join(lines, orders["o_orderkey"] == lines["l_orderkey"]))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "SortMergeJoin" in text and "Exchange" not in text
+
+
+def test_shared_aggregates_are_computed_once(spark, data):
+    df = REGISTRY["hot_keys"](spark, data)
+    df.collect()
+    assert "ReusedExchange" in plan(df)
+
+
 def test_no_broadcast_hints():
     import pathlib
     source = "".join(p.read_text() for p in pathlib.Path("opsloom").rglob("*.py"))
