@@ -1,8 +1,7 @@
-"""Time arithmetic in microseconds.
+"""Time arithmetic on TIMESTAMP_NTZ values.
 
-Sessions run in UTC: ``timestampdiff`` goes through TIMESTAMP, so a zone with daylight
-saving would shift results by an hour around the change. Divisions below are exact, since
-microsecond counts stay under 2**53.
+Sessions run in UTC: ``timestampdiff`` goes through TIMESTAMP. Microsecond counts stay
+under 2**53, so divisions of them are exact.
 """
 
 from __future__ import annotations
@@ -29,17 +28,23 @@ def from_micros(us: str | Column) -> Column:
     return F.timestamp_add("MICROSECOND", column(us), ntz("1970-01-01 00:00:00"))
 
 
-def time_chunk(ts: str | Column, seconds: float) -> Column:
-    """Number of the ``seconds``-wide slot that holds ``ts``; grows with time."""
-    return F.floor(micros(ts) / F.lit(int(seconds * 1_000_000)))
-
-
 # Seconds per unit name.
 UNIT_SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
 
 
 def floor_time(ts: str | Column, unit: str | float) -> Column:
-    """Start of the clock-aligned slot (H8); ``unit`` is a name or a number of seconds."""
-    width = int(UNIT_SECONDS.get(unit, unit) * 1_000_000)
-    us = micros(ts)
-    return from_micros((us - F.pmod(us, F.lit(width))).cast("long"))
+    """Start of the clock-aligned slot (H8); ``unit`` is a name or a number of seconds.
+
+    ``window`` floors the stored long directly, several times faster than date functions.
+    It drops rows without a time, hence the stand-in for null. One operator can hold only
+    one slot width.
+    """
+    seconds = UNIT_SECONDS.get(unit, unit)
+    moment = column(ts).cast("timestamp_ntz")
+    slot = F.window(F.coalesce(moment, ntz("1970-01-01 00:00:00")), f"{int(seconds * 1_000_000)} microseconds")
+    return F.when(moment.isNotNull(), slot.getField("start"))
+
+
+def time_chunk(ts: str | Column, seconds: float) -> Column:
+    """Start of the ``seconds``-wide chunk that holds ``ts``; grows with time."""
+    return floor_time(ts, seconds)

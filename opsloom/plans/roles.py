@@ -132,20 +132,18 @@ def segments(t: Tables) -> DataFrame:
 
 # Addresses: internal 10.a.b.c built from the part key, every fifth one external 52.a.b.c.
 NET = """net AS (SELECT l_orderkey, l_linenumber, l_suppkey AS src_ip_n,
-  '10.0.' || CAST(l_suppkey // 256 AS VARCHAR) || '.' || CAST(l_suppkey % 256 AS VARCHAR) AS srcaddr,
-  CASE WHEN l_partkey % 5 = 0 THEN '52.' ELSE '10.' END || CAST(l_partkey // 65536 AS VARCHAR) || '.' ||
+  '10.0.' || CAST(l_suppkey // 256 % 256 AS VARCHAR) || '.' || CAST(l_suppkey % 256 AS VARCHAR) AS srcaddr,
+  CASE WHEN l_partkey % 5 = 0 THEN '52.' ELSE '10.' END || CAST(l_partkey // 65536 % 256 AS VARCHAR) || '.' ||
     CAST(l_partkey // 256 % 256 AS VARCHAR) || '.' || CAST(l_partkey % 256 AS VARCHAR) AS dstaddr,
   l_linenumber AS dstport, CAST(round(l_extendedprice * 100) AS BIGINT) AS bytes, l_shipdate AS ts FROM lineitem)"""
 
 
 def net(t: Tables) -> DataFrame:
     s, p = F.col("l_suppkey"), F.col("l_partkey")
-    part = lambda c: F.floor(c).cast("string")
+    octet = lambda c, shift: F.shiftright(c, shift).bitwiseAND(F.lit(255)).cast("string")
     return t.lineitem.select(
-        "l_orderkey", "l_linenumber",
-        F.concat_ws(".", F.lit("10.0"), part(s / 256), (s % 256).cast("string")).alias("srcaddr"),
-        F.concat_ws(".", F.when(p % 5 == 0, "52").otherwise("10"), part(p / 65536),
-                    (F.floor(p / 256) % 256).cast("string"), (p % 256).cast("string")).alias("dstaddr"),
+        "l_orderkey", "l_linenumber", F.concat_ws(".", F.lit("10.0"), octet(s, 8), octet(s, 0)).alias("srcaddr"),
+        F.concat_ws(".", F.when(p % 5 == 0, "52").otherwise("10"), octet(p, 16), octet(p, 8), octet(p, 0)).alias("dstaddr"),
         F.col("l_linenumber").alias("dstport"), F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("bytes"),
         F.col("l_shipdate").alias("ts"))
 
