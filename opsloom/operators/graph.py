@@ -21,7 +21,8 @@ def reach(edges: DataFrame, roots: DataFrame, max_hops: int) -> DataFrame:
     """``(node, hops)`` for everything reachable from ``roots(node)``, shortest hop count.
 
     Breadth first: visited nodes never re-enter, which also breaks cycles. Each level is
-    checkpointed, so the plan does not grow with depth.
+    checkpointed, so the plan does not grow with depth. ``edges`` is read once per level; store it
+    first when it is derived from other tables.
     """
     level = cut_lineage(roots.select("node").distinct().withColumn("hops", F.lit(0)))
     levels = [level]
