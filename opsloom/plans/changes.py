@@ -17,15 +17,15 @@ def insert_rows(t):
     return op.insert(t.customer.select("c_custkey"), t.supplier.select((F.col("s_suppkey") + 1000000).alias("c_custkey")))
 
 
-@query("I2", """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment,
-CASE WHEN c_custkey % 2 = 0 THEN 'renamed' ELSE c_name END AS c_name,
-CASE WHEN c_custkey % 2 = 0 OR c_custkey % 3 = 0 THEN TIMESTAMP '2024-02-01' ELSE TIMESTAMP '2024-01-01' END AS updated_at FROM customer""")
+@query("I2", """SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE c_mktsegment END AS c_mktsegment,
+CASE WHEN c_acctbal > 5000 THEN 'renamed' ELSE c_name END AS c_name,
+CASE WHEN c_acctbal > 5000 OR c_mktsegment = 'BUILDING' THEN TIMESTAMP '2024-02-01' ELSE TIMESTAMP '2024-01-01' END AS updated_at FROM customer""")
 def partial_update(t):
     base = t.customer.select("c_custkey", "c_mktsegment", "c_name", F.lit("2024-01-01").cast("timestamp_ntz").alias("updated_at"))
     none = F.create_map().cast("map<string,string>")
-    named = F.when(F.col("c_custkey") % 2 == 0, F.create_map(F.lit("c_name"), F.lit("renamed"))).otherwise(none)
-    cleared = F.when(F.col("c_custkey") % 3 == 0, F.create_map(F.lit("c_mktsegment"), F.lit(None).cast("string"))).otherwise(none)
-    patches = t.customer.where("c_custkey % 2 = 0 OR c_custkey % 3 = 0").select(
+    named = F.when(F.col("c_acctbal") > 5000, F.create_map(F.lit("c_name"), F.lit("renamed"))).otherwise(none)
+    cleared = F.when(F.col("c_mktsegment") == "BUILDING", F.create_map(F.lit("c_mktsegment"), F.lit(None).cast("string"))).otherwise(none)
+    patches = t.customer.where("c_acctbal > 5000 OR c_mktsegment = 'BUILDING'").select(
         "c_custkey", F.map_concat(named, cleared).alias("fields"), F.lit("2024-02-01").cast("timestamp_ntz").alias("updated_at"))
     return op.patch(base, patches, "c_custkey", "updated_at")
 
@@ -36,19 +36,19 @@ def delete_by_key(t):
     return op.delete(t.orders, gone, "o_custkey").select("o_orderkey")
 
 
-@query("I4", """SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN 99 ELSE p_size END AS p_size FROM part
-UNION ALL SELECT p_partkey + 10000000, 99 FROM part WHERE p_partkey % 10 = 0""")
+@query("I4", """SELECT p_partkey, CASE WHEN p_size > 40 THEN 99 ELSE p_size END AS p_size FROM part
+UNION ALL SELECT p_partkey + 10000000, 99 FROM part WHERE p_size > 40""")
 def upsert_rows(t):
-    changed = t.part.where("p_partkey % 10 = 0").select("p_partkey", F.lit(99).alias("p_size"))
+    changed = t.part.where("p_size > 40").select("p_partkey", F.lit(99).alias("p_size"))
     fresh = changed.withColumn("p_partkey", F.col("p_partkey") + 10000000)
     return op.upsert(t.part.select("p_partkey", "p_size"), changed.union(fresh), "p_partkey")
 
 
 @query("I5", """WITH b AS (SELECT o_custkey AS c_custkey, o_orderpriority AS c_mktsegment, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders)
-SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, c_mktsegment FROM b WHERE rn = 1
-AND c_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)""")
+SELECT c_custkey, c_mktsegment FROM customer WHERE c_acctbal > 0 UNION ALL SELECT c_custkey, c_mktsegment FROM b WHERE rn = 1
+AND c_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)""")
 def put_if_absent(t):
-    base = t.customer.where("c_custkey % 2 = 0").select("c_custkey", "c_mktsegment")
+    base = t.customer.where("c_acctbal > 0").select("c_custkey", "c_mktsegment")
     rows = t.orders.select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("c_mktsegment"), "o_orderkey")
     return op.put_if_absent(base, rows, "c_custkey", ["o_orderkey"])
 
@@ -123,10 +123,10 @@ def batch_unprocessed(t):
 
 @query("I9", """SELECT l_orderkey, l_linenumber, CASE WHEN p_partkey IS NULL THEN 'Product not found'
 WHEN p_size < l_quantity THEN 'Insufficient stock' ELSE '' END AS error FROM lineitem
-LEFT JOIN (SELECT * FROM part WHERE p_partkey % 10 <> 3) ON p_partkey = l_partkey""")
+LEFT JOIN (SELECT * FROM part WHERE p_brand <> 'Brand#3') ON p_partkey = l_partkey""")
 def validate_cart(t):
     requests = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
-    known = t.part.where("p_partkey % 10 <> 3").select(F.col("p_partkey").alias("l_partkey"), "p_size")
+    known = t.part.where("p_brand <> 'Brand#3'").select(F.col("p_partkey").alias("l_partkey"), "p_size")
     return op.validate_cart(requests, known, "l_partkey", "l_quantity", "p_size").select("l_orderkey", "l_linenumber", "error")
 
 
@@ -288,7 +288,7 @@ def rate_leaky_bucket(t):
 
 
 @query("E26", """WITH r AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS rn FROM events)
-SELECT event_id, rn <= coalesce(c_nationkey % 4, 0) AS allowed FROM r LEFT JOIN customer ON c_custkey = user_id AND c_custkey % 5 <> 0""")
+SELECT event_id, rn <= coalesce(c_nationkey % 4, 0) AS allowed FROM r LEFT JOIN customer ON c_custkey = user_id AND c_mktsegment <> 'BUILDING'""")
 def tenant_quota(t):
-    quotas = t.customer.where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("user_id"), (F.col("c_nationkey") % 4).alias("quota"))
+    quotas = t.customer.where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("user_id"), (F.col("c_nationkey") % 4).alias("quota"))
     return limits.quota(t.events, quotas, "user_id", "ts", "event_id", 86400).select("event_id", "allowed")

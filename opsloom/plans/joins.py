@@ -42,10 +42,10 @@ def customers_with_large_orders(t):
 
 
 @query("C5", sql(EV, PRODUCTS) + """SELECT event_id, k AS id, coalesce(name, 'Product ' || k) AS name FROM ev
-LEFT JOIN products ON id = k AND id % 3 = 0 WHERE event_type = 'view'""")
+LEFT JOIN products ON id = k AND stock > 25 WHERE event_type = 'view'""")
 def enriched_views(t):
     views = ev(t).where(F.col("event_type") == "view").select("event_id", F.col("k").alias("id"))
-    return op.enrich_names(views, products(t).where("id % 3 = 0").select(F.col("id").cast("int").alias("id"), "name"), "id", "name")
+    return op.enrich_names(views, products(t).where("stock > 25").select(F.col("id").cast("int").alias("id"), "name"), "id", "name")
 
 
 @query("C7", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT s_suppkey * 20 FROM supplier)")
@@ -149,17 +149,16 @@ def not_yet_processed(t):
 
 # Customers order, orders contain parts, parts come from suppliers; supplier n leads back to customer n (a cycle).
 EDGES = """edges AS (SELECT 'C#' || o_custkey AS parent, 'O#' || o_orderkey AS child FROM orders
-  UNION SELECT 'O#' || l_orderkey, 'P#' || l_partkey FROM lineitem WHERE l_linenumber = 1
-  UNION SELECT 'P#' || l_partkey, 'S#' || l_suppkey FROM lineitem WHERE l_linenumber = 1
+  UNION SELECT 'O#' || l_orderkey, 'P#' || l_partkey FROM lineitem
+  UNION SELECT 'P#' || l_partkey, 'S#' || l_suppkey FROM lineitem
   UNION SELECT 'S#' || s_suppkey, 'C#' || s_suppkey FROM supplier)"""
 
 
 def edges(t):
     tag = lambda kind, c: F.concat(F.lit(kind + "#"), F.col(c).cast("string"))
-    first = t.lineitem.where("l_linenumber = 1")
     rows = (t.orders.select(tag("C", "o_custkey").alias("parent"), tag("O", "o_orderkey").alias("child"))
-            .union(first.select(tag("O", "l_orderkey"), tag("P", "l_partkey")))
-            .union(first.select(tag("P", "l_partkey"), tag("S", "l_suppkey")))
+            .union(t.lineitem.select(tag("O", "l_orderkey"), tag("P", "l_partkey")))
+            .union(t.lineitem.select(tag("P", "l_partkey"), tag("S", "l_suppkey")))
             .union(t.supplier.select(tag("S", "s_suppkey"), tag("C", "s_suppkey"))))
     return rows.distinct()
 

@@ -57,12 +57,12 @@ SELECT (SELECT count(DISTINCT user_id) FROM ev WHERE event_type = 'view') AS uni
  (SELECT count(DISTINCT user_id) FROM ev WHERE CAST(ts AS DATE) = DATE '2024-01-30') AS daily_active_users,
  CAST(sum(views) AS BIGINT) AS total_views,
  string_agg(coalesce(name, 'Product ' || k), ',' ORDER BY views DESC, coalesce(name, 'Product ' || k)) AS top_products
-FROM leaders LEFT JOIN products ON id = k AND id % 2 = 0""")
+FROM leaders LEFT JOIN products ON id = k AND stock > 25""")
 def analytics_summary(t):
     views = ev(t).where(F.col("event_type") == "view").select(F.col("k").cast("bigint").alias("product_id"),
                                                               F.col("user_id").alias("visitor_id"))
     logins = _logins(t).where(F.col("day") == F.lit("2024-01-30").cast("date"))
-    names = products(t).where("id % 2 = 0").select(F.col("id").alias("product_id"), "name")
+    names = products(t).where("stock > 25").select(F.col("id").alias("product_id"), "name")
     return op.analytics_summary(views, logins, names)
 
 

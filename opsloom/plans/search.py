@@ -145,12 +145,12 @@ def error_rate_anomalies(t):
     return op.api_anomalies(ev(t), "event_type", "ts", 3600, 24, 1.5, F.col("k") >= 50)
 
 
-@query("T12", """WITH f AS (SELECT doc_id, sha256(text) AS d FROM documents WHERE doc_id % 17 <> 3),
-g AS (SELECT doc_id, sha256(CASE WHEN doc_id % 13 = 5 THEN text || '!' ELSE text END) AS d FROM documents WHERE doc_id % 19 <> 4)
+@query("T12", """WITH f AS (SELECT doc_id, sha256(text) AS d FROM documents WHERE lang <> 'es'),
+g AS (SELECT doc_id, sha256(CASE WHEN doc_id % 13 = 5 THEN text || '!' ELSE text END) AS d FROM documents WHERE lang <> 'de')
 SELECT coalesce(f.doc_id, g.doc_id) AS doc_id, CASE WHEN f.d IS NULL THEN 'missing file' WHEN g.d IS NULL THEN 'no digest' WHEN f.d = g.d THEN 'match' ELSE 'mismatch' END AS state
 FROM f FULL JOIN g ON f.doc_id = g.doc_id""")
 def verified_digests(t):
-    found = t.documents.where("doc_id % 17 <> 3").select("doc_id", F.sha2("text", 256).alias("digest"))
-    listed = t.documents.where("doc_id % 19 <> 4").select(
+    found = t.documents.where("lang <> 'es'").select("doc_id", F.sha2("text", 256).alias("digest"))
+    listed = t.documents.where("lang <> 'de'").select(
         "doc_id", F.sha2(F.when(F.col("doc_id") % 13 == 5, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("digest"))
     return op.verify_digests(found, listed, "doc_id")

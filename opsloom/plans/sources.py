@@ -100,18 +100,17 @@ def scan_one_year(t):
     return scan.scan_partitioned(t.spark, path, F.col("year") == 1997).select("o_orderkey", "year")
 
 
-@query("A7", """SELECT CAST(l_suppkey % 3 AS VARCHAR) AS account, 'r' || l_suppkey % 2 AS zone, strftime(l_shipdate, '%Y-%m-%d') AS day, count(*) AS flows
-FROM lineitem WHERE l_suppkey % 3 IN (0, 2) AND l_suppkey % 2 = 1 AND l_shipdate BETWEEN TIMESTAMP '1997-03-01' AND TIMESTAMP '1997-03-20' GROUP BY 1, 2, 3""")
+@query("A7", """SELECT CAST(l_suppkey % 3 AS VARCHAR) AS account, 'r' || l_suppkey % 2 AS zone, strftime(l_shipdate, '%Y-%m') AS day, count(*) AS flows
+FROM lineitem WHERE l_suppkey % 3 IN (0, 2) AND l_suppkey % 2 = 1 AND l_shipdate BETWEEN TIMESTAMP '1997-03-01' AND TIMESTAMP '1997-05-31' GROUP BY 1, 2, 3""")
 def scan_projected_partitions(t):
     path = work_path(t.spark, "projected")
     lines = flow_lines(t)
-    day = F.date_format(F.timestamp_seconds(F.col("start").cast("bigint")), "yyyy-MM-dd")
-    month = lines.where(day.between("1997-02-15", "1997-04-15"))
-    month.select("*", F.col("account_id").alias("account"), F.col("region").alias("zone"), day.alias("day")).write.partitionBy(
+    day = F.date_format(F.timestamp_seconds(F.col("start").cast("bigint")), "yyyy-MM")
+    lines.repartition("account_id", "region", day).select("*", F.col("account_id").alias("account"), F.col("region").alias("zone"), day.alias("day")).write.partitionBy(
         "account", "zone", "day").option("sep", " ").option("nullValue", "-").csv(path)
     template = path + "/account=${account}/zone=${zone}/day=${day}"
-    rows = scan.scan_projected(t.spark, template, {"account": ["0", "2", "9"], "zone": ["r1"]}, (date(1997, 3, 1), date(1997, 3, 20)),
-                               day_format="%Y-%m-%d")
+    rows = scan.scan_projected(t.spark, template, {"account": ["0", "2", "9"], "zone": ["r1"]}, (date(1997, 3, 1), date(1997, 5, 31)),
+                               day_format="%Y-%m")
     return rows.groupBy("account", "zone", "day").agg(F.count(F.lit(1)).alias("flows"))
 
 

@@ -132,14 +132,14 @@ def claimable_entries(t):
 
 
 LAG = """ends AS (SELECT user_id % 4 AS grp, user_id AS part, max(event_id) AS latest FROM events GROUP BY 1, 2),
-done AS (SELECT user_id % 4 AS grp, user_id AS part, max(event_id) AS committed FROM events WHERE event_type = 'view' AND user_id % 5 <> 0 GROUP BY 1, 2),
+done AS (SELECT user_id % 4 AS grp, user_id AS part, max(event_id) AS committed FROM events WHERE event_type = 'view' AND value > 120 GROUP BY 1, 2),
 lags AS (SELECT e.grp, e.part, latest - coalesce(committed, 0) AS lag FROM ends e LEFT JOIN done d ON e.grp = d.grp AND e.part = d.part)"""
 
 
 def _lags(t):
-    parts = t.events.select((F.col("user_id") % 4).alias("grp"), F.col("user_id").alias("part"), "event_id", "event_type")
+    parts = t.events.select((F.col("user_id") % 4).alias("grp"), F.col("user_id").alias("part"), "event_id", "event_type", "value")
     ends = parts.groupBy("grp", "part").agg(F.max("event_id").alias("latest"))
-    done = parts.where("event_type = 'view' AND part % 5 <> 0").groupBy("grp", "part").agg(F.max("event_id").alias("committed"))
+    done = parts.where("event_type = 'view' AND value > 120").groupBy("grp", "part").agg(F.max("event_id").alias("committed"))
     return log.lag(ends, done, ["grp", "part"])
 
 

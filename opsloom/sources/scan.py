@@ -95,7 +95,7 @@ def scan_partitioned(spark: SparkSession, path: str, predicate: Column, fmt: str
 def projected_paths(template: str, enums: Mapping[str, Sequence[str]], days: tuple[date, date], day_format: str = "%Y/%m/%d") -> str:
     """One glob for the wanted combinations of ``${name}`` values and ``${day}``; absent folders just do not match."""
     span = (days[1] - days[0]).days
-    wanted = {**enums, "day": [(days[0] + timedelta(n)).strftime(day_format) for n in range(span + 1)]}
+    wanted = {**enums, "day": list(dict.fromkeys((days[0] + timedelta(n)).strftime(day_format) for n in range(span + 1)))}
     return re.sub(r"\$\{(\w+)\}", lambda m: "{" + ",".join(wanted[m.group(1)]) + "}", template)
 
 
