@@ -106,7 +106,8 @@ def scan_projected_partitions(t):
     path = work_path(t.spark, "projected")
     lines = flow_lines(t)
     day = F.date_format(F.timestamp_seconds(F.col("start").cast("bigint")), "yyyy-MM")
-    lines.select("*", F.col("account_id").alias("account"), F.col("region").alias("zone"), day.alias("day")).write.partitionBy(
+    # Range partitioning keeps a folder's rows together, and its last key splits a hot folder.
+    lines.repartitionByRange("account_id", "region", day, "dstaddr").select("*", F.col("account_id").alias("account"), F.col("region").alias("zone"), day.alias("day")).write.partitionBy(
         "account", "zone", "day").option("sep", " ").option("nullValue", "-").csv(path)
     template = path + "/account=${account}/zone=${zone}/day=${day}"
     rows = scan.scan_projected(t.spark, template, {"account": ["0", "2", "9"], "zone": ["r1"]}, (date(1997, 3, 1), date(1997, 5, 31)),
