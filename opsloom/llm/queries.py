@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsloom.llm import licenses, mixing, quality, secret_scan, substring
+from opsloom.llm import bpe, licenses, mixing, quality, secret_scan, substring, token_file
+from opsloom.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,6 +34,12 @@ def _documents(spark: SparkSession, path: str) -> DataFrame:
     return _table(spark, path, "documents")
 
 
+def tokenizer(name: str) -> str:
+    """Place of a public vocabulary file, the same on all machines."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 # --- op3 ---------------------------------------------------------------------------------------
 
 @_query()
@@ -90,6 +97,16 @@ def op5_quality_rules(spark: SparkSession, path: str) -> DataFrame:
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 
+# --- op6 ---------------------------------------------------------------------------------------
+
+@_query()
+def op6_token_file(spark: SparkSession, path: str) -> DataFrame:
+    """Every document as read back from a token file of the whole table."""
+    file = work_path(spark, "tokens")
+    token_file.write_tokens(_documents(spark, path), file, tokenizer("byte_bpe_50k.json"))
+    return token_file.read_tokens(spark, file, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 # --- op7 ---------------------------------------------------------------------------------------
 
 def _templates_sql() -> str:
@@ -131,6 +148,15 @@ def op7_license_scan(spark: SparkSession, path: str) -> DataFrame:
         F.coalesce(F.array_max(F.transform("matches", lambda m: m["containment"])), F.lit(0.0)).alias("score")))
 
 
+# --- op9 ---------------------------------------------------------------------------------------
+
+@_query()
+def op9_bpe(spark: SparkSession, path: str) -> DataFrame:
+    """Digests of the ids and of the decoded text of every document."""
+    return bpe.encode(_documents(spark, path), tokenizer("word_bpe_49k.json"),
+                      outputs=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+
 # --- op10 --------------------------------------------------------------------------------------
 
 _W = substring.WIDTH
