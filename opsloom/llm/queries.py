@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsloom.llm import bpe, licenses, mixing, quality, secret_scan, substring, token_file
+from opsloom.llm import bpe, licenses, mixing, neardup, quality, secret_scan, substring, token_file
 from opsloom.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,6 +148,14 @@ def op7_license_scan(spark: SparkSession, path: str) -> DataFrame:
         F.coalesce(F.array_max(F.transform("matches", lambda m: m["containment"])), F.lit(0.0)).alias("score")))
 
 
+# --- op8 ---------------------------------------------------------------------------------------
+
+@_query()
+def op8_near_duplicates(spark: SparkSession, path: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return neardup.near_duplicates(_documents(spark, path)).select("doc_id", "class_id")
+
+
 # --- op9 ---------------------------------------------------------------------------------------
 
 @_query()
