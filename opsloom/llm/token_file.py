@@ -11,8 +11,10 @@ documents, and the coded ``payload``. Spark writes and reads the table, so it ca
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -25,7 +27,7 @@ MAGIC = b"DAC1"
 BLOCK = 512
 PART_TOKENS = 1 << 19
 END_ID = 2
-CACHE = 200_000
+CACHE = 300_000
 
 
 def _directory(bits: np.ndarray) -> np.ndarray:
@@ -112,45 +114,86 @@ class Pieces:
     """Ids of texts by the library, asked once for each piece between lone spaces.
 
     A space between two other characters starts a new word of the byte-level splitter, whatever stands around it, so the
-    pieces (each with its space) can be encoded apart. Runs of white space stay inside a piece.
+    pieces (each with its space) can be encoded apart. Runs of white space stay inside a piece. The library gets the
+    unknown pieces as texts of many pieces: as a piece holds no other space, the tokens that begin with one cut its answer.
+    What is known is kept in two generations, so that frequent pieces outlive the bound.
     """
 
     def __init__(self, path: str, cache: int = CACHE) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import re
-
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
+        space = self.library.pre_tokenizer.pre_tokenize_str(" ")[0][0]
+        size = self.library.get_vocab_size(with_added_tokens=True)
+        self.opens = np.array([(self.library.id_to_token(i) or "").startswith(space) for i in range(size)])
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.lone = re.compile(r"(?<=\S) (?=\S)")
-        self.wide = re.compile(r"\s ")
         self.limit = cache
-        self.known: dict[str, bytes] = {}
-
-    def split(self, text: str) -> list[str]:
-        if not text:
-            return []
-        pieces = text.split(" ")
-        # A piece that is empty or has white space at an end stands beside a run of it.
-        if any(not p or p[0].isspace() or p[-1].isspace() for p in pieces):
-            pieces = self.lone.split(text)
-        return pieces
+        self.young: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
+
+    def _ask(self, texts: Sequence[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(list(texts), add_special_tokens=False)]
+
+    def _learn(self, asked: set[str]) -> None:
+        """Make the pieces known; those that don't stand between lone spaces as None."""
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        missing = asked.difference(self.young)
+        again = missing.intersection(self.old)
+        self.young.update((p, self.old[p]) for p in again)
+        plain, rare = [], []
+        for p in missing - again:
+            if not p or p[0].isspace() or p[-1].isspace():
+                self.young[p] = None
+            elif " " in p or any(s in p for s in self.special):
+                rare.append(p)
+            else:
+                plain.append(p)
+        self.young.update(zip(rare, self._ask([" " + p for p in rare])))
+        groups = [plain[at:at + 512] for at in range(0, len(plain), 512)]
+        for group, packed in zip(groups, self._ask([" " + " ".join(g) for g in groups])):
+            starts = (np.flatnonzero(self.opens[np.frombuffer(packed, "<u4")]) * 4).tolist()
+            self.young.update(zip(group, [packed[a:b] for a, b in zip(starts, [*starts[1:], len(packed)])]))
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [self.split(t) for t in texts]
-        heads = [p[0] for p in split if p]
-        asked = set().union(*[p[1:] for p in split])
-        if len(self.known) + len(asked) > self.limit:
-            self.known.clear()
-        new = list(asked.difference(self.known))
-        found = self.library.encode_batch_fast([" " + x for x in new] + heads, add_special_tokens=False)
-        packed = [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-        self.known.update(zip(new, packed))
-        first = iter(packed[len(new):])
-        get = self.known.__getitem__
-        return [next(first) + b"".join(map(get, p[1:])) if p else b"" for p in split]
+        split = [t.split(" ") for t in texts]
+        self._learn(set().union(*[p[1:] for p in split]))
+        get = self.young.__getitem__
+        found: list[bytes | None] = []
+        for pieces in split:
+            ids = list(map(get, pieces[1:]))
+            bad = None in ids or not pieces[0] or pieces[0][-1].isspace() or pieces[0][0].isspace()
+            found.append(None if bad else b"".join(ids))
+        # Texts with runs of white space, or white space at an end, are cut at lone spaces only.
+        wide = [i for i, x in enumerate(found) if x is None and texts[i]]
+        cut = [self.lone.split(texts[i]) for i in wide]
+        extra = dict(zip(again := sorted({p for pieces in cut for p in pieces[1:-1]}), self._pieces(again)))
+        tails = self._ask([" " + pieces[-1] for pieces in cut if len(pieces) > 1])
+        tail = iter(tails)
+        for i, pieces in zip(wide, cut):
+            split[i] = pieces
+            found[i] = b"".join(map(extra.__getitem__, pieces[1:-1])) + (next(tail) if len(pieces) > 1 else b"")
+        heads = self._ask([pieces[0] for pieces in split])
+        return [head + (x or b"") for head, x in zip(heads, found)]
+
+    def _pieces(self, pieces: Sequence[str]) -> list[bytes]:
+        known = [self.young.get(p) for p in pieces]
+        asked = iter(self._ask([" " + p for p, k in zip(pieces, known) if k is None]))
+        return [next(asked) if k is None else k for k in known]
+
+
+_WORKER: dict[str, Pieces] = {}
+
+
+def worker_pieces(path: str) -> Pieces:
+    """The worker's own pieces: what one task learned serves the next."""
+    if path not in _WORKER:
+        _WORKER[path] = Pieces(path)
+    return _WORKER[path]
 
 
 PARTS = "partition int, number int, docs array<bigint>, ends array<bigint>, payload binary"
@@ -161,7 +204,7 @@ def _code(path: str, end_id: int, part_tokens: int):
     names = ["partition", "number", "docs", "ends", "payload"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, partition, number = Pieces(path), TaskContext.get().partitionId(), 0
+        pieces, partition, number = worker_pieces(path), TaskContext.get().partitionId(), 0
         docs, ids, ends = [], [], [0]
 
         def part() -> pa.RecordBatch:
@@ -175,7 +218,7 @@ def _code(path: str, end_id: int, part_tokens: int):
             at = 0
             while at < batch.num_rows:
                 some, size, low = [], 0, at
-                while at < batch.num_rows and (not some or size < 1 << 20):
+                while at < batch.num_rows and (not some or size < 2 << 20):
                     some.append(texts[at].as_py() or "")
                     size += len(some[-1])
                     at += 1
