@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsloom.llm import bpe, licenses, mixing, neardup, quality, secret_scan, substring, token_file
+from opsloom.llm import ann, bpe, licenses, mixing, neardup, quality, secret_scan, substring, token_file, toxicity
 from opsloom.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,25 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+# --- op1 ---------------------------------------------------------------------------------------
+
+@_query()
+def op1_nearest_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth one, among all."""
+    vectors = _table(spark, path, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+# --- op2 ---------------------------------------------------------------------------------------
+
+@_query()
+def op2_toxicity(spark: SparkSession, path: str) -> DataFrame:
+    """Probabilities of the chain (low quality, then toxic) for every document."""
+    docs = _documents(spark, path)
+    chain = toxicity.train(docs, _table(spark, path, "labels"), {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")})
+    return toxicity.score(docs, chain)
+
+
 # --- op3 ---------------------------------------------------------------------------------------
 
 @_query()
