@@ -19,6 +19,14 @@ from opsloom.functions.timeutil import column
 from opsloom.session import cut_lineage
 
 CHUNK = "_chunk"
+#: Keys and chunk in one struct. A struct is never null, and nulls inside compare as equal, so rows with a null key or a
+#: null time find their own summaries; window and join share its partitioning.
+PLACE = "_place"
+
+
+def placed(df: DataFrame, keys: Sequence[str], chunk: Column) -> DataFrame:
+    """``df`` with ``CHUNK`` and ``PLACE``."""
+    return df.withColumn(CHUNK, chunk).withColumn(PLACE, F.struct(*keys, CHUNK))
 
 
 def slots(c: str | Column, width: int) -> Column:
@@ -29,18 +37,21 @@ def slots(c: str | Column, width: int) -> Column:
 def running_sum(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, values: dict[str, Column]
 ) -> DataFrame:
-    """Running totals per key (the current row counts), named by ``values``' keys."""
+    """Running totals per key (the current row counts), named by ``values``' keys.
+
+    Null keys are one key; rows without a chunk come first.
+    """
     keys, order = list(keys), list(order)
-    detail = df.withColumn(CHUNK, chunk)
-    inside = Window.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    totals = detail.groupBy(*keys, CHUNK).agg(*[F.sum(v).alias(f"_total_{n}") for n, v in values.items()])
-    carry = totals.select(*keys, CHUNK, *[F.sum(f"_total_{n}").over(earlier).alias(f"_carry_{n}") for n in values])
+    detail = placed(df, keys, chunk)
+    inside = Window.partitionBy(PLACE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*[f"{PLACE}.{k}" for k in keys]).orderBy(f"{PLACE}.{CHUNK}").rowsBetween(Window.unboundedPreceding, -1)
+    totals = detail.groupBy(PLACE).agg(*[F.sum(v).alias(f"_total_{n}") for n, v in values.items()])
+    carry = totals.select(PLACE, *[F.sum(f"_total_{n}").over(earlier).alias(f"_carry_{n}") for n in values])
     local = detail.withColumns({n: F.sum(v).over(inside) for n, v in values.items()})
-    joined = local.join(carry, [*keys, CHUNK])
+    joined = local.join(carry, PLACE)
     merged = {n: F.when(F.col(f"_carry_{n}").isNull(), F.col(n))
               .otherwise(F.col(f"_carry_{n}") + F.coalesce(F.col(n), F.lit(0))) for n in values}
-    return joined.withColumns(merged).drop(CHUNK, *[f"_carry_{n}" for n in values])
+    return joined.withColumns(merged).drop(CHUNK, PLACE, *[f"_carry_{n}" for n in values])
 
 
 def previous(
@@ -60,30 +71,31 @@ def last_seen(
 
 def _carry_last(df, keys, order, chunk, packed, values, lag):
     keys, order = list(keys), list(order)
-    detail = df.withColumn(CHUNK, chunk).withColumn("_packed", packed)
-    by_order = Window.partitionBy(*keys, CHUNK).orderBy(*order)
+    detail = placed(df, keys, chunk).withColumn("_packed", packed)
+    by_order = Window.partitionBy(PLACE).orderBy(*order)
     frame = by_order.rowsBetween(Window.unboundedPreceding, 0)
     inside = F.lag("_packed").over(by_order) if lag else F.last("_packed", ignorenulls=True).over(frame)
     # max_by skips null orders: a chunk without a seen row gets a null end but keeps its row,
     # through which an earlier chunk's end is carried on.
-    ends = detail.groupBy(*keys, CHUNK).agg(
+    ends = detail.groupBy(PLACE).agg(
         F.max_by("_packed", F.when(F.col("_packed").isNotNull(), F.struct(*order))).alias("_end"))
-    earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = ends.select(*keys, CHUNK, F.last("_end", ignorenulls=True).over(earlier).alias("_before"))
-    found = detail.withColumn("_found", inside).join(carry, [*keys, CHUNK])
+    earlier = Window.partitionBy(*[f"{PLACE}.{k}" for k in keys]).orderBy(f"{PLACE}.{CHUNK}").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(PLACE, F.last("_end", ignorenulls=True).over(earlier).alias("_before"))
+    found = detail.withColumn("_found", inside).join(carry, PLACE)
     best = F.coalesce("_found", "_before")
     return (found.withColumns({n: best.getField(n) for n in values})
-            .drop(CHUNK, "_packed", "_found", "_before"))
+            .drop(CHUNK, PLACE, "_packed", "_found", "_before"))
 
 
 def position(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, out: str = "pos", size: str | None = None
 ) -> DataFrame:
     """Zero-based place of the row within its key; ``size`` also adds the key's row count."""
-    placed = running_sum(df, keys, order, chunk, {out: F.lit(1)}).withColumn(out, F.col(out) - 1)
+    numbered = running_sum(df, keys, order, chunk, {out: F.lit(1)}).withColumn(out, F.col(out) - 1)
     if size is None:
-        return placed
-    return placed.join(df.groupBy(*keys).agg(F.count(F.lit(1)).alias(size)), list(keys))
+        return numbered
+    sizes = df.groupBy(F.struct(*keys).alias(PLACE)).agg(F.count(F.lit(1)).alias(size))
+    return numbered.withColumn(PLACE, F.struct(*keys)).join(sizes, PLACE).drop(PLACE)
 
 
 def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, salt: Column, salts: int = 64,

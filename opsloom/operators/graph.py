@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,17 +18,17 @@ def neighbours(edges: DataFrame, node: str, direction: str = "out") -> DataFrame
     return {"out": out, "in": back, "both": out.union(back)}[direction].distinct()
 
 
-def reach(edges: DataFrame, roots: DataFrame, max_hops: int) -> DataFrame:
+def reach(edges: DataFrame, roots: DataFrame, max_hops: int | None = None) -> DataFrame:
     """``(node, hops)`` for everything reachable from ``roots(node)``, shortest hop count.
 
-    Breadth first: visited nodes never re-enter, which also breaks cycles. Each level is
+    Without ``max_hops`` it goes on until nothing new is found. Breadth first: visited nodes never re-enter, which also breaks cycles. Each level is
     checkpointed, so the plan does not grow with depth. ``edges`` is read once per level; store it
     first when it is derived from other tables.
     """
     level = cut_lineage(roots.select("node").distinct().withColumn("hops", F.lit(0)))
     levels = [level]
     links = edges.select(F.col("parent").alias("node"), "child")
-    for hop in range(1, max_hops + 1):
+    for hop in count(1) if max_hops is None else range(1, max_hops + 1):
         visited = reduce(DataFrame.union, levels).select("node")
         found = links.join(level.select("node"), "node", "left_semi").select(F.col("child").alias("node")).distinct()
         level = cut_lineage(found.join(visited, "node", "left_anti").withColumn("hops", F.lit(hop)))

@@ -101,16 +101,16 @@ def ipv4(address: str | Column) -> Column:
 def cidr_match(addresses: DataFrame, address: str, inventory: DataFrame, fields: Sequence[str]) -> DataFrame:
     """``(address, prefix_len, *fields)`` of the longest matching prefix.
 
-    Works on distinct addresses: each expands to one row per prefix length in use (33 at
-    most) and meets the inventory in one equi-join on (length, network).
+    Works on distinct addresses: each expands to one row per prefix length (0 to 32) and meets the inventory in one
+    equi-join on (length, network). Inventory rows of other address families or with malformed networks match nothing.
     """
     nets = inventory.select(F.substring_index("cidr", "/", -1).cast("int").alias("prefix_len"),
                             ipv4(F.substring_index("cidr", "/", 1)).alias("_ip"), *fields)
     shifted = lambda ip: F.floor(ip / F.pow(F.lit(2.0), F.lit(32) - F.col("prefix_len"))).cast("bigint")
     nets = nets.withColumn("_net", shifted(F.col("_ip"))).drop("_ip")
-    lengths = [row[0] for row in nets.select("prefix_len").distinct().limit(33).collect()]
-    probes = (addresses.select(address).distinct()
-              .withColumn("prefix_len", F.explode(F.array(*[F.lit(n) for n in lengths])))
+    nets = nets.where(F.col("prefix_len").between(0, 32) & F.col("_net").isNotNull())
+    probes = (addresses.select(address).where(ipv4(address).isNotNull()).distinct()
+              .withColumn("prefix_len", F.explode(F.sequence(F.lit(0), F.lit(32))))
               .withColumn("_net", shifted(ipv4(address))))
     packed = F.struct("prefix_len", *fields)
     best = probes.join(nets, ["prefix_len", "_net"]).groupBy(address).agg(F.max_by(packed, "prefix_len").alias("_best"))
@@ -148,13 +148,14 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, r
     """Each left row with the latest right row of its keys at or before its time.
 
     Both sides are stacked and ordered together, so this is one shuffle with no range join;
-    a right row sorts before a left row of equal time.
+    a right row sorts before a left row of equal time. Left rows without a time stay and match nothing; right rows
+    without one are never matched; null keys match null keys.
     """
     picked = [f.name for f in left.schema.fields if f.name not in keys and f.name != ts]
     a = left.select(*keys, ts, F.lit(1).alias("_side"), F.lit(None).cast(right.schema[right_id].dataType).alias("_rid"),
                     F.struct(*picked).alias("_left"), *[F.lit(None).cast(right.schema[f].dataType).alias(f"_r_{f}") for f in fields])
     empty = F.lit(None).cast(a.schema["_left"].dataType)
-    b = right.select(*keys, ts, F.lit(0).alias("_side"), F.col(right_id).alias("_rid"), empty.alias("_left"),
+    b = right.where(F.col(ts).isNotNull()).select(*keys, ts, F.lit(0).alias("_side"), F.col(right_id).alias("_rid"), empty.alias("_left"),
                      *[F.col(f).alias(f"_r_{f}") for f in fields])
     values = {"_rts": F.col(ts), **{f: F.col(f"_r_{f}") for f in fields}}
     found = last_seen(a.unionByName(b), keys, [ts, "_side", "_rid"], time_chunk(ts, chunk_seconds), F.col("_side") == 0, values)

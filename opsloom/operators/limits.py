@@ -7,6 +7,7 @@ the limiter's state is known to be fresh, and the pieces run in parallel.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -82,14 +83,15 @@ def anchored_fold(limit: int, window_us: int) -> Fold:
 def sliding_fold(limit: int, window_us: int) -> Fold:
     """State: times of the accepted requests still inside the window."""
     def fold(times, amounts, state):
-        held = list(state or [])
+        held = deque(state or [])
         allowed = np.empty(len(times), dtype=bool)
         for i, now in enumerate(times.tolist()):
-            held = [x for x in held if x > now - window_us]
+            while held and held[0] <= now - window_us:
+                held.popleft()
             allowed[i] = len(held) < limit
             if allowed[i]:
                 held.append(now)
-        return allowed, held
+        return allowed, list(held)
     return fold
 
 
@@ -188,9 +190,11 @@ def _stream_segments(cut, key, us, row_id, fold, amounts, schema):
         current, state = None, None
         for pdf in batches:
             flags = np.empty(len(pdf), dtype=bool)
-            starts = np.flatnonzero((pdf[key] != pdf[key].shift()) | (pdf["_seg"] != pdf["_seg"].shift()))
+            missing = pdf[key].isna()
+            same = (pdf[key] == pdf[key].shift()) | (missing & missing.shift(fill_value=False))  # null keys are one key
+            starts = np.flatnonzero(~same | (pdf["_seg"] != pdf["_seg"].shift()))
             for lo, hi in zip(starts, [*starts[1:], len(pdf)]):
-                here = (pdf[key].iat[lo], pdf["_seg"].iat[lo])
+                here = (None if missing.iat[lo] else pdf[key].iat[lo], pdf["_seg"].iat[lo])
                 flags[lo:hi], state = fold(pdf[us].to_numpy()[lo:hi], pdf[amounts].to_numpy()[lo:hi], state if here == current else None)
                 current = here
             yield pd.DataFrame({key: pdf[key], us: pdf[us], row_id: pdf[row_id], "allowed": flags})
@@ -240,7 +244,10 @@ def leaky_bucket(df: DataFrame, key: str, ts: str, row_id: str, per_second: floa
 
 
 def decrement_by(stock: DataFrame, requests: DataFrame, key: str, quantity: str, wanted: str, ts: str, row_id: str, **tuning) -> DataFrame:
-    """Sized requests in time order: accepted while the remaining stock covers them."""
-    rows = (requests.join(stock.select(key, F.col(quantity).cast("bigint").alias("_stock")), key)
-            .select(key, micros(ts).alias("us"), row_id, "_stock", F.col(wanted).cast("bigint").alias("_want")))
+    """Sized requests in time order: accepted while the remaining stock covers them.
+
+    A request for an unknown product is refused, unless it wants nothing.
+    """
+    rows = (requests.join(stock.select(key, F.col(quantity).cast("bigint").alias("_stock")), key, "left")
+            .select(key, micros(ts).alias("us"), row_id, F.coalesce("_stock", F.lit(0)).alias("_stock"), F.col(wanted).cast("bigint").alias("_want")))
     return fold_by_key(rows, key, "us", row_id, stock_fold, None, ["_stock", "_want"], **tuning)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsloom.functions.ordered import previous
-from opsloom.functions.timeutil import column, floor_time, micros, time_chunk
+from opsloom.functions.timeutil import column, floor_time, from_micros, micros, time_chunk
 from opsloom.operators.aggregates import n_rows
 
 # Fixed value: 2**14 registers give the 0.81 % standard error of the distinct counter.
@@ -84,23 +84,24 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequen
     """Nearest-rank percentiles as rows ``(keys, q, value)``, exact for groups of any size.
 
     A histogram finds the slot of ``width`` that holds each rank; only rows of those slots
-    are counted by value. No task ever holds all rows of a group.
+    are counted by value. No task ever holds all rows of a group. Null values don't count; null keys are one group.
     """
     keys = list(keys)
-    slotted = df.select(*keys, value, F.floor(F.col(value) / F.lit(width)).alias("_slot"))
+    slotted = df.where(F.col(value).isNotNull()).select(*keys, value, F.floor(F.col(value) / F.lit(width)).alias("_slot"))
+    slotted = slotted.withColumn("_place", F.struct(*keys, "_slot"))  # joins on a struct keep null keys
     upto = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)
-    sizes = slotted.groupBy(*keys, "_slot").agg(n_rows("_n"))
+    sizes = slotted.groupBy(*keys, "_slot", "_place").agg(n_rows("_n"))
     ranked = (sizes.withColumn("_upto", F.sum("_n").over(upto))
               .withColumn("_total", F.sum("_n").over(Window.partitionBy(*keys)))
               .withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
               .withColumn("_rank", F.greatest(F.lit(1), F.ceil(F.col("q") * F.col("_total"))))
               .where((F.col("_upto") - F.col("_n") < F.col("_rank")) & (F.col("_rank") <= F.col("_upto")))
-              .select(*keys, "_slot", "q", (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_local")))
-    inside = Window.partitionBy(*keys, "_slot").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    by_value = (slotted.join(ranked.select(*keys, "_slot").distinct(), [*keys, "_slot"], "left_semi")
-                .groupBy(*keys, "_slot", value).agg(n_rows("_n")).withColumn("_seen", F.sum("_n").over(inside)))
+              .select("_place", "q", (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_local")))
+    inside = Window.partitionBy("_place").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    by_value = (slotted.join(ranked.select("_place").distinct(), "_place", "left_semi")
+                .groupBy("_place", *keys, value).agg(n_rows("_n")).withColumn("_seen", F.sum("_n").over(inside)))
     hit = (F.col("_seen") - F.col("_n") < F.col("_local")) & (F.col("_local") <= F.col("_seen"))
-    return by_value.join(ranked, [*keys, "_slot"]).where(hit).select(*keys, "q", value)
+    return by_value.join(ranked, "_place").where(hit).select(*keys, "q", value)
 
 
 def _pname(q: float) -> str:
@@ -163,46 +164,56 @@ def port_scans(flows: DataFrame, seconds: float, limit: int, ts: str = "start")
             .agg(F.count_distinct("dstport").alias("ports")).where(F.col("ports") > limit))
 
 
-def trailing_baseline(counts: DataFrame, keys: Sequence[str], period: str, value: str, periods: int) -> DataFrame:
-    """Mean and sample deviation of the ``periods`` rows before this one.
+def trailing_baseline(counts: DataFrame, keys: Sequence[str], period: str, value: str, periods: int, seconds: float) -> DataFrame:
+    """Mean and sample deviation over the ``periods`` periods before this one, as far as the key's series reaches back.
 
-    ``counts`` holds one row per key and period, so a key's rows stay few.
+    ``counts`` holds one row per key and period with rows, so a key's rows stay few; a silent period counts as 0.
     """
-    before = Window.partitionBy(*keys).orderBy(period).rowsBetween(-periods, -1)
-    n, total = F.count(value).over(before), F.sum(value).over(before)
-    squares = F.sum(F.col(value) * F.col(value)).over(before)
+    numbered = F.floor(micros(period) / F.lit(int(seconds * 1_000_000)))
+    counts = counts.withColumn("_number", numbered)
+    every = Window.partitionBy(*keys)
+    before = every.orderBy("_number").rangeBetween(-periods, -1)
+    n = F.least(F.lit(periods), F.col("_number") - F.min("_number").over(every))
+    total = F.coalesce(F.sum(value).over(before), F.lit(0))
+    squares = F.coalesce(F.sum(F.col(value) * F.col(value)).over(before), F.lit(0))
     stats = counts.withColumns({"_n": n, "_sum": total, "_squares": squares})
     variance = F.try_divide((F.col("_n") * F.col("_squares") - F.col("_sum") * F.col("_sum")).cast("double"),
                             F.col("_n") * (F.col("_n") - 1))
     return (stats.withColumn("baseline", F.try_divide(F.col("_sum").cast("double"), F.col("_n")))
-            .withColumn("deviation", F.sqrt(variance)).drop("_n", "_sum", "_squares"))
+            .withColumn("deviation", F.sqrt(variance)).drop("_n", "_sum", "_squares", "_number"))
 
 
 def volume_anomalies(df: DataFrame, keys: Sequence[str], seconds: float, periods: int, ratio: float, ts: str = "ts") -> DataFrame:
     """Periods whose row count is at least ``ratio`` times the trailing mean (D54, D62; ratio is ours)."""
     counts = df.groupBy(floor_time(ts, seconds).alias("period"), *keys).agg(n_rows("n"))
-    judged = trailing_baseline(counts, keys, "period", "n", periods)
+    judged = trailing_baseline(counts, keys, "period", "n", periods, seconds)
     return judged.where(F.col("n") >= F.col("baseline") * ratio).drop("deviation")
 
 
 # --- alarms and gaps --------------------------------------------------------------------------
 
 def alarm(series: DataFrame, keys: Sequence[str], period: str, value: str, seconds: int, threshold: float, n: int, m: int) -> DataFrame:
-    """M-of-N alarm state per period.
+    """M-of-N alarm state per period, silent periods included (their ``value`` is null).
 
-    ``series`` has one row per key and period. The grid is made dense first; a missing period
-    does not breach. ALARM when m of the last n breach, else INSUFFICIENT_DATA when one of the
-    n is missing (our rule), else OK.
+    ``series`` has one row per key and period. The grid from a key's first period to its last is made dense first, a
+    thousand periods at a time; a missing period does not breach. ALARM when m of the last n breach, else
+    INSUFFICIENT_DATA when one of the n is missing (our rule), else OK. Rows without a period are left out.
     """
     width = int(seconds * 1_000_000)
+    series = series.where(F.col(period).isNotNull())
     slots = series.groupBy(*keys).agg(F.min(micros(period)).alias("_lo"), F.max(micros(period)).alias("_hi"))
-    grid = slots.select(*keys, F.explode(F.sequence("_lo", "_hi", F.lit(width))).alias("_us"))
-    dense = grid.join(series.withColumn("_us", micros(period)), [*keys, "_us"], "left")
+    runs = slots.withColumn("_from", F.explode(F.sequence("_lo", "_hi", F.lit(width * 1000))))
+    upto = F.least(F.col("_hi"), F.col("_from") + width * 999)
+    grid = runs.select(*keys, F.explode(F.sequence("_from", upto, F.lit(width))).alias("_us"))
+    rest = [c for c in series.columns if c not in keys and c != period]
+    known = series.select(F.struct(*keys, micros(period).alias("_us")).alias("_place"), *rest)
+    dense = (grid.withColumn("_place", F.struct(*keys, "_us")).join(known, "_place", "left").drop("_place")
+             .withColumn(period, from_micros("_us").cast(series.schema[period].dataType)))
     last = Window.partitionBy(*keys).orderBy("_us").rowsBetween(-(n - 1), 0)
     breaches = F.count_if(F.col(value) > threshold).over(last)
     present = F.count(value).over(last)
     state = F.when(breaches >= m, "ALARM").when(present < n, "INSUFFICIENT_DATA").otherwise("OK")
-    return dense.withColumn("state", state).where(F.col(value).isNotNull()).drop("_us")
+    return dense.withColumn("state", state).drop("_us")
 
 
 def composite(states: DataFrame, by: str, name: str, names: Sequence[str], rule: str) -> DataFrame:

@@ -82,7 +82,7 @@ def api_anomalies(events: DataFrame, api: str, ts: str, seconds: int, periods: i
     """
     chosen = events if bad is None else events.where(bad)
     counts = chosen.groupBy(floor_time(ts, seconds).alias("period"), api).agg(n_rows("n"))
-    judged = trailing_baseline(counts, [api], "period", "n", periods)
+    judged = trailing_baseline(counts, [api], "period", "n", periods, seconds)
     hot = judged.where(F.col("n") > F.col("baseline") + F.col("deviation") * k)
     chunk = time_chunk("period", 86400 * 30)
     lagged = previous(hot, [api], ["period"], chunk, {"_prev": F.col("period")})

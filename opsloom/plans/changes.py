@@ -63,14 +63,14 @@ def decrement_stock(t):
 
 
 @query("I6", """WITH RECURSIVE r AS (SELECT l_partkey AS part, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey * 10 + l_linenumber) AS n,
-  l_orderkey * 10 + l_linenumber AS id, CAST(l_quantity AS BIGINT) AS want, p_size * 5 AS stock FROM lineitem JOIN part ON p_partkey = l_partkey),
+  l_orderkey * 10 + l_linenumber AS id, CAST(l_quantity AS BIGINT) AS want, coalesce(p_size * 5, 0) AS stock FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_size > 5),
 f AS (SELECT part, n, id, want <= stock AS accepted, CASE WHEN want <= stock THEN stock - want ELSE stock END AS stock FROM r WHERE n = 1
   UNION ALL SELECT r.part, r.n, r.id, r.want <= f.stock, CASE WHEN r.want <= f.stock THEN f.stock - r.want ELSE f.stock END
   FROM f JOIN r ON r.part = f.part AND r.n = f.n + 1)
 SELECT id, accepted FROM f""")
 def decrement_stock_sized(t):
     requests = t.lineitem.select("l_partkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "l_shipdate", "l_quantity")
-    stock = t.part.select(F.col("p_partkey").alias("l_partkey"), (F.col("p_size") * 5).alias("stock"))
+    stock = t.part.where("p_size > 5").select(F.col("p_partkey").alias("l_partkey"), (F.col("p_size") * 5).alias("stock"))
     return limits.decrement_by(stock, requests, "l_partkey", "stock", "l_quantity", "l_shipdate", "id").select("id", F.col("allowed").alias("accepted"))
 
 

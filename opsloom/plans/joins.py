@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from opsloom.operators import graph, joins as op
 from opsloom.plans.registry import query
-from opsloom.plans.roles import EV, INVENTORY, NET, PRODUCTS, ev, inventory, net, products, sql
+from opsloom.plans.roles import EV, EV_GAPS, INVENTORY, NET, PRODUCTS, ev, ev_gaps, inventory, net, products, sql
 from opsloom.session import cut_lineage
 
 
@@ -75,6 +75,26 @@ def cidr_enrichment(t):
                        F.coalesce("prefix_len", F.lit(-1)).alias("prefix_len"))
 
 
+@query("C9", sql(NET, OWNED) + """SELECT dstaddr, coalesce(owner, 'external') AS owner, count(*) AS flows
+FROM net LEFT JOIN owned ON ip = dstaddr GROUP BY 1, 2""")
+def cidr_enrichment_mixed_families(t):
+    other = t.part.select(F.format_string("2001:db8:%x::/%d", F.col("p_partkey"), F.lit(33) + F.col("p_size")).alias("cidr"),
+                          F.col("p_name").alias("owner"))
+    rows = op.cidr_enrich(net(t), "dstaddr", inventory(t).unionByName(other), ["owner"])
+    return rows.groupBy("dstaddr", F.coalesce("owner", F.lit("external")).alias("owner")).agg(F.count(F.lit(1)).alias("flows"))
+
+
+@query("C13", sql(EV_GAPS) + """, p AS (SELECT * FROM ev_gaps WHERE event_type = 'purchase'),
+c AS (SELECT * FROM ev_gaps WHERE event_type = 'click' AND ts IS NOT NULL)
+SELECT p.event_id, max_by(c.event_id, (c.ts, c.event_id)) AS click_id FROM p LEFT JOIN c
+ON p.user_id IS NOT DISTINCT FROM c.user_id AND p.ts >= c.ts GROUP BY 1""")
+def last_click_with_nulls(t):
+    e = ev_gaps(t)
+    bought = e.where(F.col("event_type") == "purchase").select("event_id", "user_id", "ts")
+    clicks = e.where(F.col("event_type") == "click").select("user_id", "ts", F.col("event_id").alias("click_id"))
+    return op.asof_join(bought, clicks, ["user_id"], "ts", "click_id", ["click_id"]).select("event_id", "click_id")
+
+
 SCOPED = """scoped AS (SELECT net.*, s.owner AS src_owner, d.owner AS dst_owner FROM net
   LEFT JOIN owned s ON s.ip = srcaddr LEFT JOIN owned d ON d.ip = dstaddr)"""
 

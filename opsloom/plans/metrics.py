@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from opsloom.functions.timeutil import floor_time
 from opsloom.operators import metrics as op
 from opsloom.plans.registry import query
-from opsloom.plans.roles import EV, FLOW, PRODUCTS, WEB, ev, flow, products, sql, web
+from opsloom.plans.roles import EV, EV_GAPS, FLOW, PRODUCTS, WEB, ev, ev_gaps, flow, products, sql, web
 
 
 def _close(estimate, exact):
@@ -83,6 +83,13 @@ def latency_percentiles_exact(t):
     return op.exact_percentiles(ev(t), ["event_type"], "value", [0.5, 0.9, 0.95, 0.99], width=5.0)
 
 
+@query("D36", sql(EV_GAPS) + """, r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value) AS rn,
+  count(*) OVER (PARTITION BY user_id) AS n FROM ev_gaps)
+SELECT user_id, q, CAST(value AS DOUBLE) AS value FROM r JOIN (SELECT unnest([0.5, 0.95])::DOUBLE AS q) ON rn = greatest(1, ceil(q * n))""")
+def percentiles_with_null_group(t):
+    return op.exact_percentiles(ev_gaps(t), ["user_id"], "value", [0.5, 0.95], width=5.0)
+
+
 @query("D36", sql(EV, PCT, """q AS (SELECT event_type, q, CAST(value AS DOUBLE) AS value FROM r
   JOIN (SELECT unnest([0.5, 0.9, 0.95, 0.99])::DOUBLE AS q) ON rn = greatest(1, ceil(q * n)))""") +
        """SELECT event_type, max(CASE WHEN q = 0.5 THEN value END) AS p50, max(CASE WHEN q = 0.9 THEN value END) AS p90,
@@ -136,16 +143,18 @@ def metric_math(t):
 
 
 @query("D54", sql(EV) + """, c AS (SELECT date_trunc('hour', ts) AS period, event_type, count(*) AS n FROM ev GROUP BY 1, 2),
-b AS (SELECT *, sum(n) OVER w / count(n) OVER w AS baseline FROM c
-  WINDOW w AS (PARTITION BY event_type ORDER BY period ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING))
+p AS (SELECT *, epoch_us(period) // 3600000000 AS k FROM c),
+b AS (SELECT *, coalesce(sum(n) OVER w, 0) / nullif(least(24, k - min(k) OVER (PARTITION BY event_type)), 0) AS baseline FROM p
+  WINDOW w AS (PARTITION BY event_type ORDER BY k RANGE BETWEEN 24 PRECEDING AND 1 PRECEDING))
 SELECT period, event_type, n, baseline FROM b WHERE n >= baseline * 1.25::DOUBLE""")
 def query_volume_spikes(t):
     return op.volume_anomalies(t.events, ["event_type"], 3600, 24, 1.25)
 
 
 @query("D62", sql(FLOW) + """, c AS (SELECT date_trunc('day', start) AS period, dstport, count(*) AS n FROM flow WHERE action = 'REJECT' GROUP BY 1, 2),
-b AS (SELECT *, sum(n) OVER w / count(n) OVER w AS baseline FROM c
-  WINDOW w AS (PARTITION BY dstport ORDER BY period ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING))
+p AS (SELECT *, epoch_us(period) // 86400000000 AS k FROM c),
+b AS (SELECT *, coalesce(sum(n) OVER w, 0) / nullif(least(30, k - min(k) OVER (PARTITION BY dstport)), 0) AS baseline FROM p
+  WINDOW w AS (PARTITION BY dstport ORDER BY k RANGE BETWEEN 30 PRECEDING AND 1 PRECEDING))
 SELECT period, dstport, n, baseline FROM b WHERE n >= baseline * 1.5::DOUBLE""")
 def reject_spikes(t):
     return op.volume_anomalies(flow(t).where(F.col("action") == "REJECT"), ["dstport"], 86400, 30, 1.5, "start")
@@ -171,14 +180,14 @@ def _alarms(t):
     return op.alarm(hourly, ["event_type"], "period", "load", 3600, 150.0, 5, 3)
 
 
-@query("E16", sql(EV, ALARM) + "SELECT event_type, period, load, state FROM states WHERE load IS NOT NULL")
+@query("E16", sql(EV, ALARM) + "SELECT event_type, period, load, state FROM states")
 def alarm_states(t):
     return _alarms(t)
 
 
 @query("E17", sql(EV, ALARM) + """SELECT period, CASE WHEN bool_or(event_type = 'view' AND state = 'ALARM')
 AND NOT bool_or(event_type = 'purchase' AND state = 'ALARM') THEN 'ALARM' ELSE 'OK' END AS state
-FROM states WHERE load IS NOT NULL GROUP BY 1""")
+FROM states GROUP BY 1""")
 def composite_alarm(t):
     return op.composite(_alarms(t), "period", "event_type", ["view", "purchase"], "ALARM(view) AND NOT ALARM(purchase)")
 

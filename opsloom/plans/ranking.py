@@ -8,7 +8,7 @@ from opsloom.functions.ordered import slots
 from opsloom.functions.timeutil import time_chunk
 from opsloom.operators import ranking as op, sets
 from opsloom.plans.registry import query
-from opsloom.plans.roles import EV, PRODUCTS, VERSIONS, WEB, ZSET, ev, ntz_literal, products, sql, versions, web, zset
+from opsloom.plans.roles import EV, EV_GAPS, PRODUCTS, VERSIONS, WEB, ZSET, ev, ev_gaps, ntz_literal, products, sql, versions, web, zset
 from opsloom.session import work_path
 
 
@@ -145,6 +145,13 @@ def replay_running(t):
     return op.replay(signed(t), "user_id", ["ts", "event_id"], "amount", time_chunk("ts", 86400)).select("event_id", "user_id", "balance")
 
 
+@query("E13", sql(EV_GAPS) + """SELECT event_id, user_id, CAST(sum(value) OVER (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id) AS DOUBLE) AS balance
+FROM ev_gaps""")
+def replay_running_with_nulls(t):
+    """Null users are one user; rows without a time come first."""
+    return op.replay(ev_gaps(t), "user_id", ["ts", "event_id"], "value", time_chunk("ts", 86400)).select("event_id", "user_id", "balance")
+
+
 @query("E13", sql(EV, SIGNED) + "SELECT user_id, CAST(sum(amount) AS DOUBLE) AS balance FROM signed GROUP BY 1")
 def replay_final(t):
     return op.replay_final(signed(t), "user_id", "amount")
@@ -222,10 +229,10 @@ def drain_queue(t):
 
 
 def _users(t, kind):
-    return t.events.where((F.col("event_type") == kind) & (F.col("value") > 150)).select("user_id")
+    return t.events.where(F.col("event_type") == kind).select("user_id")
 
 
-USERS = "SELECT user_id FROM events WHERE event_type = '{}' AND value > 150"
+USERS = "SELECT user_id FROM events WHERE event_type = '{}'"
 
 
 @query("G1", f"{USERS.format('signup')} UNION {USERS.format('error')}")
@@ -238,9 +245,10 @@ def set_intersection(t):
     return sets.sinter(_users(t, "signup"), _users(t, "error"), _users(t, "view"))
 
 
-@query("G3", f"{USERS.format('view')} EXCEPT {USERS.format('error')} EXCEPT {USERS.format('signup')}")
+@query("G3", "SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders EXCEPT SELECT s_suppkey FROM supplier")
 def set_difference(t):
-    return sets.sdiff(_users(t, "view"), _users(t, "error"), _users(t, "signup"))
+    return sets.sdiff(t.customer.select(F.col("c_custkey").alias("id")), t.orders.select(F.col("o_custkey").alias("id")),
+                      t.supplier.select(F.col("s_suppkey").alias("id")))
 
 
 @query("G4", f"{USERS.format('signup')} UNION {USERS.format('error')}")

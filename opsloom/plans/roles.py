@@ -80,6 +80,17 @@ def ev(t: Tables) -> DataFrame:
                            F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
+# Events as a collector with losses would store them: some users and some times are missing.
+EV_GAPS = """ev_gaps AS (SELECT event_id, event_type, CASE WHEN CAST(json_extract_string(props, '$.k') AS INT) % 11 <> 0 THEN user_id END AS user_id,
+  CASE WHEN CAST(json_extract_string(props, '$.k') AS INT) % 13 <> 0 THEN ts END AS ts, CAST(value AS DECIMAL(18,2)) AS value FROM events)"""
+
+
+def ev_gaps(t: Tables) -> DataFrame:
+    e = ev(t)
+    return e.select("event_id", "event_type", F.when(F.col("k") % 11 != 0, F.col("user_id")).alias("user_id"),
+                    F.when(F.col("k") % 13 != 0, F.col("ts")).alias("ts"), "value")
+
+
 ZSET = """zset AS (SELECT CAST(user_id AS VARCHAR) AS member, CAST(count(*) AS BIGINT) AS score
   FROM events WHERE event_type = 'view' GROUP BY 1)"""
 

@@ -125,9 +125,10 @@ def audit_records(t):
 
 
 ANOMALY = """c AS (SELECT date_trunc('hour', ts) AS period, event_type, count(*) AS n FROM ev {where} GROUP BY 1, 2),
-b AS (SELECT *, CAST(sum(n) OVER w AS DOUBLE) / count(*) OVER w AS baseline,
-  sqrt(CAST(count(*) OVER w * sum(n * n) OVER w - sum(n) OVER w * sum(n) OVER w AS DOUBLE) / nullif(count(*) OVER w * (count(*) OVER w - 1), 0)) AS deviation
-  FROM c WINDOW w AS (PARTITION BY event_type ORDER BY period ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)),
+k AS (SELECT *, epoch_us(period) // 3600000000 AS k FROM c),
+s AS (SELECT *, least(24, k - min(k) OVER (PARTITION BY event_type)) AS m, coalesce(sum(n) OVER w, 0) AS s1, coalesce(sum(n * n) OVER w, 0) AS s2
+  FROM k WINDOW w AS (PARTITION BY event_type ORDER BY k RANGE BETWEEN 24 PRECEDING AND 1 PRECEDING)),
+b AS (SELECT *, CAST(s1 AS DOUBLE) / nullif(m, 0) AS baseline, sqrt(CAST(m * s2 - s1 * s1 AS DOUBLE) / nullif(m * (m - 1), 0)) AS deviation FROM s),
 h AS (SELECT *, CASE WHEN period - lag(period) OVER (PARTITION BY event_type ORDER BY period) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS opens
   FROM b WHERE n > baseline + deviation * 1.5::DOUBLE),
 g AS (SELECT *, sum(opens) OVER (PARTITION BY event_type ORDER BY period) AS run FROM h)

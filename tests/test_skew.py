@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from opsloom.functions import ordered
 from opsloom.functions.timeutil import from_micros
 from opsloom.operators import limits, metrics, traces
+from opsloom.operators.graph import reach
+from opsloom.operators.joins import asof_join, cidr_enrich
 from opsloom.operators.ranking import keep_last, latest_by
 from opsloom.streaming.windows import sessions
 
@@ -155,3 +157,73 @@ def test_burst_anomaly(spark):
     calls = spark.createDataFrame([(t, "CreateUser") for t, n in hours for _ in range(n)], "t string, api string")
     found = traces.api_anomalies(calls.withColumn("ts", F.col("t").cast("timestamp_ntz")), "api", "ts", 3600, 24, 3.0).collect()
     assert [(r["peak"], r["periods"]) for r in found] == [(75, 1)]
+
+
+# --- missing keys and times -------------------------------------------------------------------
+
+GAPS = [(None, 5, 1, 2), (None, 9, 2, 3), ("a", None, 3, 4), ("a", 7, 4, 5), ("a", None, 5, 1), (None, None, 6, 9), ("a", 12, 7, 1)]
+
+
+@pytest.fixture(scope="module")
+def holes(spark):
+    return spark.createDataFrame(GAPS, "k string, us long, id long, v long").repartition(3)
+
+
+def test_rows_with_null_keys_and_times_stay(holes):
+    chunk = ordered.slots("us", 5)
+    got = {r["id"]: (r["s"], r["p"], r["pos"], r["size"]) for r in ordered.position(ordered.previous(
+        ordered.running_sum(holes, ["k"], ["us", "id"], chunk, {"s": F.col("v")}), ["k"], ["us", "id"], chunk, {"p": F.col("id")}),
+        ["k"], ["us", "id"], chunk, "pos", "size").collect()}
+    assert got == {6: (9, None, 0, 3), 1: (11, 6, 1, 3), 2: (14, 1, 2, 3),
+                   3: (4, None, 0, 4), 5: (5, 3, 1, 4), 4: (10, 5, 2, 4), 7: (11, 4, 3, 4)}
+
+
+def test_asof_keeps_left_rows_without_key_or_time(spark, holes):
+    timed = lambda df: df.withColumn("ts", from_micros("us")).drop("us")
+    right = timed(spark.createDataFrame([(None, 6, 100), ("a", 6, 200), ("a", None, 300)], "k string, us long, rid long"))
+    got = {r["id"]: r["rid"] for r in asof_join(timed(holes), right, ["k"], "ts", "rid", ["rid"]).collect()}
+    assert got == {1: None, 2: 100, 3: None, 4: 200, 5: None, 6: None, 7: 200}
+
+
+def test_null_keys_share_one_limiter(spark):
+    df = spark.createDataFrame([(None, i, i) for i in range(3)], "k string, s long, id long").withColumn("ts", from_micros(F.col("s") * 1_000_000))
+    got = {r["id"]: r["allowed"] for r in limits.rate_anchored(df, "k", "ts", "id", 1, 60).collect()}
+    assert got == {0: True, 1: False, 2: False}
+
+
+def test_silent_periods_have_a_state(spark):
+    hours = spark.createDataFrame([("a", h, 1.0) for h in (0, 1, 2, 9)] + [(None, 4, 9.0)], "k string, h long, v double").withColumn(
+        "period", from_micros(F.col("h") * 3_600_000_000)).drop("h")
+    got = metrics.alarm(hours, ["k"], "period", "v", 3600, 5.0, 3, 1).collect()
+    assert len(got) == 11
+    states = {r["period"].hour: r["state"] for r in got if r["k"] == "a"}
+    assert states[2] == "OK" and {states[h] for h in range(3, 10)} == {"INSUFFICIENT_DATA"}
+    assert [r["state"] for r in got if r["k"] is None] == ["ALARM"]
+
+
+def test_foreign_prefixes_hide_no_match(spark):
+    nets = [("10.0.1.0/24", "small"), ("10.0.0.0/8", "large"), ("bad/9", "x"), ("10.0.0.0/40", "y")] + [(f"2001:db8::/{n}", "six") for n in range(33, 129)]
+    inventory = spark.createDataFrame(nets, "cidr string, owner string")
+    flows = spark.createDataFrame([("10.0.1.7",), ("10.9.9.9",), ("11.0.0.1",), (None,), ("::1",)], "addr string")
+    got = {r["addr"]: r["owner"] for r in cidr_enrich(flows, "addr", inventory, ["owner"]).collect()}
+    assert got == {"10.0.1.7": "small", "10.9.9.9": "large", "11.0.0.1": None, None: None, "::1": None}
+
+
+def test_unknown_products_are_refused(spark):
+    stock = spark.createDataFrame([("a", 5)], "p string, n long")
+    asked = spark.createDataFrame([("a", 1, 3, 1), ("b", 1, 3, 2)], "p string, s long, want long, id long").withColumn("ts", from_micros("s"))
+    got = {r["id"]: r["allowed"] for r in limits.decrement_by(stock, asked, "p", "n", "want", "ts", "id").collect()}
+    assert got == {1: True, 2: False}
+
+
+def test_baseline_counts_silent_periods(spark):
+    counts = spark.createDataFrame([("a", 0, 6), ("a", 1, 6), ("a", 10, 4)], "k string, h long, n long").withColumn(
+        "period", from_micros(F.col("h") * 3_600_000_000))
+    got = {r["h"]: r["baseline"] for r in metrics.trailing_baseline(counts, ["k"], "period", "n", 24, 3600).collect()}
+    assert got == {0: None, 1: 6.0, 10: 1.2}
+
+
+def test_reach_goes_on_to_the_end(spark):
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(9)] + [("n9", "n0")], "parent string, child string")
+    got = reach(edges, spark.createDataFrame([("n0",)], "node string")).collect()
+    assert sorted((r["hops"], r["node"]) for r in got) == [(i, f"n{i}") for i in range(10)]
