@@ -191,7 +191,10 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", **options)
     shuffled = F.xxhash64(F.lit(SEED), "_mix_draw.shard", "_mix_draw.pass", "order")
     rows = rows.select("_mix_row.*", F.col("_mix_draw.shard").alias("_mix_shard"), shuffled.alias("_mix_order"),
                        F.col("_mix_draw.taken").alias("_mix_taken"), F.col("size").alias("_mix_size"))
-    pattern = F.concat(F.lit(r"^((?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("_mix_taken").cast("string"), F.lit(r"}).*$"))
-    cut = F.when(F.col("_mix_taken") < F.col("_mix_size"), F.regexp_extract(F.col(text), pattern, 1)).otherwise(F.col(text))
+    # A word with the white space behind it is one piece; white space at the start is a piece of its own.
+    pieces = F.split(F.col(text), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    blank = F.regexp_like(F.col(text), F.lit(r"^[\x20\x09-\x0D]")).cast("bigint")
+    first = F.array_join(F.slice(pieces, 1, (F.col("_mix_taken") + blank).cast("int")), "")
+    cut = F.when(F.col("_mix_taken") < F.col("_mix_size"), first).otherwise(F.col(text))
     rows = rows.withColumn(text, cut)
     return rows.repartition("_mix_shard").sortWithinPartitions("_mix_shard", "_mix_order").select(*columns)

@@ -27,7 +27,7 @@ from opsloom.session import cut_lineage
 SAMPLE = 20_000
 FOLDS = 5
 #: Terms per category, the documents a term needs, and the least G-squared of its association.
-TERMS, LEAST_DOCS, LEAST_SCORE = 96, 5, 30.0
+TERMS, LEAST_DOCS, LEAST_SCORE = 96, 4, 16.0
 RIDGE = 1.0
 ROUNDS = 12
 
