@@ -245,10 +245,10 @@ def set_intersection(t):
     return sets.sinter(_users(t, "signup"), _users(t, "error"), _users(t, "view"))
 
 
-@query("G3", "SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders EXCEPT SELECT s_suppkey FROM supplier")
+@query("G3", "SELECT o_custkey AS id FROM orders EXCEPT SELECT s_suppkey FROM supplier EXCEPT SELECT n_nationkey FROM nation")
 def set_difference(t):
-    return sets.sdiff(t.customer.select(F.col("c_custkey").alias("id")), t.orders.select(F.col("o_custkey").alias("id")),
-                      t.supplier.select(F.col("s_suppkey").alias("id")))
+    return sets.sdiff(t.orders.select(F.col("o_custkey").alias("id")), t.supplier.select(F.col("s_suppkey").alias("id")),
+                      t.nation.select(F.col("n_nationkey").alias("id")))
 
 
 @query("G4", f"{USERS.format('signup')} UNION {USERS.format('error')}")
