@@ -18,18 +18,37 @@ HLL_PRECISION = 14
 
 # --- distinct counts --------------------------------------------------------------------------
 
-def unique_sketch(df: DataFrame, keys: Sequence[str], member: str) -> DataFrame:
-    """One mergeable sketch per key."""
-    return df.groupBy(*keys).agg(F.hll_sketch_agg(member, F.lit(HLL_PRECISION)).alias("sketch"))
+def unique_registers(df: DataFrame, keys: Sequence[str], member: str) -> DataFrame:
+    """A mergeable sketch per key, as rows ``(keys, register, rho)``: at most ``2**HLL_PRECISION`` rows a key.
 
-
-def unique_visitors(df: DataFrame, member: str, *keys: str) -> DataFrame:
-    return unique_sketch(df, keys, member).select(*keys, F.hll_sketch_estimate("sketch").alias("uniques"))
+    The first 52 bits of the member's MD5 give the register and the place of the first set bit, so other engines can
+    reproduce the estimate. Null members don't count.
+    """
+    rest_bits = 52 - HLL_PRECISION
+    digest = F.conv(F.substring(F.md5(F.col(member).cast("string").cast("binary")), 1, 13), 16, 10).cast("bigint")
+    rest = F.pmod("_h", F.lit(1 << rest_bits))
+    rho = F.when(rest == 0, rest_bits + 1).otherwise(rest_bits + 1 - F.length(F.bin(rest)))
+    hashed = df.where(F.col(member).isNotNull()).withColumn("_h", digest)
+    return hashed.groupBy(*keys, F.shiftright("_h", rest_bits).alias("register")).agg(F.max(rho).alias("rho"))
 
 
-def merge_uniques(sketches: DataFrame, *keys: str) -> DataFrame:
+def merge_registers(registers: DataFrame, *keys: str) -> DataFrame:
     """Daily sketches merged into longer periods, without touching the raw rows."""
-    return sketches.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("uniques"))
+    return registers.groupBy(*keys, "register").agg(F.max("rho").alias("rho"))
+
+
+def estimate_uniques(registers: DataFrame, *keys: str) -> DataFrame:
+    """The distinct counts that the registers stand for (standard error 0.81 %), rounded."""
+    m = float(1 << HLL_PRECISION)
+    sums = registers.groupBy(*keys).agg(F.sum(F.pow(F.lit(2.0), -F.col("rho"))).alias("_s"), n_rows("_n"))
+    empty = F.lit(m) - F.col("_n")
+    raw = F.lit(0.7213 / (1 + 1.079 / m) * m * m) / (F.col("_s") + empty)
+    small = (raw <= 2.5 * m) & (empty > 0)
+    return sums.select(*keys, F.round(F.when(small, m * F.log(m / empty)).otherwise(raw)).cast("bigint").alias("uniques"))
+
+
+def unique_visitors(df: DataFrame, member: str, *keys: str) -> DataFrame:
+    return estimate_uniques(unique_registers(df, keys, member), *keys)
 
 
 def login_bitmaps(df: DataFrame, user: str, day: str) -> DataFrame:

@@ -10,26 +10,27 @@ from opsloom.plans.registry import query
 from opsloom.plans.roles import EV, EV_GAPS, FLOW, PRODUCTS, WEB, ev, ev_gaps, flow, products, sql, web
 
 
-def _close(estimate, exact):
-    """Within 3 % (over three standard errors) of the exact figure."""
-    return (F.abs(estimate - exact) <= exact * 0.03).alias("within_tolerance")
+def _registers(key: str, member: str, table: str) -> str:
+    """The same registers and estimate as the operator, for SQL."""
+    return f"""WITH h AS (SELECT {key} AS k, CAST('0x' || substr(md5(CAST({member} AS VARCHAR)), 1, 13) AS BIGINT) AS h FROM {table}),
+r AS (SELECT k, h >> 38 AS register, max(CASE WHEN h % 274877906944 = 0 THEN 39 ELSE 39 - length(bin(h % 274877906944)) END) AS rho FROM h GROUP BY 1, 2),
+s AS (SELECT k, sum(pow(2.0::DOUBLE, -rho)) AS s, 16384 - count(*) AS e FROM r GROUP BY 1),
+u AS (SELECT k, e, 0.7213::DOUBLE / (1 + 1.079::DOUBLE / 16384.0::DOUBLE) * 16384.0::DOUBLE * 16384.0::DOUBLE / (s + e) AS raw FROM s),
+uniques AS (SELECT k, CAST(round(CASE WHEN raw <= 40960 AND e > 0 THEN 16384.0::DOUBLE * ln(16384.0::DOUBLE / e) ELSE raw END) AS BIGINT) AS uniques FROM u)
+"""
 
 
-@query("D29", "SELECT event_type, count(DISTINCT user_id) AS uniques, true AS within_tolerance FROM events GROUP BY 1")
+@query("D29", _registers("event_type", "user_id", "events") + "SELECT k AS event_type, uniques FROM uniques")
 def unique_visitors(t):
-    exact = t.events.groupBy("event_type").agg(F.count_distinct("user_id").alias("exact"))
-    return op.unique_visitors(t.events, "user_id", "event_type").join(exact, "event_type").select(
-        "event_type", F.col("exact").alias("uniques"), _close(F.col("uniques"), F.col("exact")))
+    return op.unique_visitors(t.events, "user_id", "event_type")
 
 
-@query("D30", """SELECT date_trunc('month', l_shipdate) AS month, count(DISTINCT l_orderkey) AS uniques, true AS within_tolerance
-FROM lineitem GROUP BY 1""")
+@query("D30", _registers("date_trunc('month', l_shipdate)", "l_orderkey", "lineitem") + "SELECT k AS month, uniques FROM uniques")
 def merged_uniques(t):
     month = F.make_timestamp_ntz(F.year("l_shipdate"), F.month("l_shipdate"), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
     days = t.lineitem.select(F.col("l_shipdate").cast("date").alias("day"), month.alias("month"), "l_orderkey")
-    merged = op.merge_uniques(op.unique_sketch(days, ["day", "month"], "l_orderkey"), "month")
-    exact = days.groupBy("month").agg(F.count_distinct("l_orderkey").alias("exact"))
-    return merged.join(exact, "month").select("month", F.col("exact").alias("uniques"), _close(F.col("uniques"), F.col("exact")))
+    daily = op.unique_registers(days, ["day", "month"], "l_orderkey")
+    return op.estimate_uniques(op.merge_registers(daily, "month"), "month")
 
 
 def _logins(t):
@@ -90,12 +91,9 @@ def percentiles_with_null_group(t):
     return op.exact_percentiles(ev_gaps(t), ["user_id"], "value", [0.5, 0.95], width=5.0)
 
 
-@query("D36", sql(EV, PCT, """q AS (SELECT event_type, q, CAST(value AS DOUBLE) AS value FROM r
-  JOIN (SELECT unnest([0.5, 0.9, 0.95, 0.99])::DOUBLE AS q) ON rn = greatest(1, ceil(q * n)))""") +
-       """SELECT event_type, max(CASE WHEN q = 0.5 THEN value END) AS p50, max(CASE WHEN q = 0.9 THEN value END) AS p90,
-max(CASE WHEN q = 0.95 THEN value END) AS p95, max(CASE WHEN q = 0.99 THEN value END) AS p99 FROM q GROUP BY 1""")
+@query("D36")
 def latency_percentiles(t):
-    return op.latency_percentiles(ev(t), ["event_type"], "value", [0.5, 0.9, 0.95, 0.99], 1_000_000)
+    return op.latency_percentiles(ev(t), ["event_type"], "value", [0.5, 0.9, 0.95, 0.99])
 
 
 @query("D38", sql(WEB) + """SELECT edge, count(*) FILTER (status BETWEEN 400 AND 499) * 100.0::DOUBLE / count(*) AS rate_4xx,

@@ -227,3 +227,20 @@ def test_reach_goes_on_to_the_end(spark):
     edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(9)] + [("n9", "n0")], "parent string, child string")
     got = reach(edges, spark.createDataFrame([("n0",)], "node string")).collect()
     assert sorted((r["hops"], r["node"]) for r in got) == [(i, f"n{i}") for i in range(10)]
+
+
+def test_bounded_percentiles_keep_their_rank_error(spark):
+    df = spark.range(200_000).select(F.lit("a").alias("k"), F.pmod(F.xxhash64("id"), F.lit(1_000_003)).alias("v"))
+    got = metrics.latency_percentiles(df, ["k"], "v", [0.5, 0.95], 1_000).first()
+    values = np.sort([r["v"] for r in df.collect()])
+    for q, name in ((0.5, "p50"), (0.95, "p95")):
+        assert abs(np.searchsorted(values, got[name]) / len(values) - q) <= 1 / 1_000
+
+
+def test_merged_registers_are_those_of_all_rows(spark):
+    df = spark.range(60_000).select((F.col("id") % 7).alias("day"), F.lit("m").alias("month"), F.pmod(F.xxhash64("id"), F.lit(20_000)).alias("u"))
+    merged = metrics.estimate_uniques(metrics.merge_registers(metrics.unique_registers(df, ["day", "month"], "u"), "month"), "month")
+    whole = metrics.unique_visitors(df, "u", "month")
+    assert merged.collect() == whole.collect()
+    exact = df.agg(F.count_distinct("u")).first()[0]
+    assert abs(whole.first()["uniques"] / exact - 1) < 0.03
