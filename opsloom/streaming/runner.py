@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -47,34 +47,41 @@ def run_complete(stream: DataFrame, label: str, spark: SparkSession) -> DataFram
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def run_updates(stream: DataFrame, label: str, spark: SparkSession, keys: list[str]) -> DataFrame:
+    """Final table of an aggregation in update mode.
+
+    Each micro-batch writes the rows that changed, in a folder of its own, so a repeated batch replaces itself; reading
+    takes the latest of each key. State ends with the watermark, where the stream has one.
+    """
+    from opsloom.operators.ranking import latest_by
+
+    out = work_path(spark, label)
+    run_to_batches(stream, label, spark, "update", lambda df, batch: df.withColumn("_batch", F.lit(batch).cast("bigint"))
+                   .write.mode("overwrite").parquet(f"{out}/v{batch}"))
+    return latest_by(spark.read.parquet(f"{out}/v*"), keys, ["_batch"]).drop("_batch")
+
+
 def write_idempotent(path: str) -> Callable[[DataFrame, int], None]:
     """Sink whose output folder is named by the batch: a repeated batch replaces itself."""
     return lambda df, batch: df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
 def upsert_latest(path: str, key: str, version: str, spark: SparkSession) -> Callable[[DataFrame, int], None]:
-    """Sink that keeps the newest row per key; applying a batch twice changes nothing.
+    """Sink for the newest row per key; applying a batch twice changes nothing.
 
-    Each batch writes a new table version, so readers of the old one are not disturbed.
+    Each batch writes its own newest rows only; readers compact the folders ``v*`` with ``latest_by``.
     """
     from opsloom.operators.ranking import latest_by
 
     def sink(df: DataFrame, batch: int) -> None:
-        merged = df if batch == 0 else df.unionByName(spark.read.schema(df.schema).parquet(f"{path}/v{batch - 1}"))
-        latest_by(merged, [key], [version]).select(*df.columns).write.mode("overwrite").parquet(f"{path}/v{batch}")
+        latest_by(df, [key], [version]).select(*df.columns).write.mode("overwrite").parquet(f"{path}/v{batch}")
 
     return sink
 
 
-def fan_out_sinks(paths: Mapping[str, str], column: str) -> Callable[[DataFrame, int], None]:
-    """One pass over the micro-batch, one folder per subscription."""
-    def sink(df: DataFrame, batch: int) -> None:
-        df.persist()
-        for name, path in paths.items():
-            df.where(F.col(column) == name).write.mode("overwrite").parquet(f"{path}/batch={batch}")
-        df.unpersist()
-
-    return sink
+def fan_out_sinks(path: str, column: str) -> Callable[[DataFrame, int], None]:
+    """One write per micro-batch, with a folder per subscription in it."""
+    return lambda df, batch: df.write.mode("overwrite").partitionBy(column).parquet(f"{path}/batch={batch}")
 
 
 def deliver(stream: DataFrame, path: str, checkpoint: str, every: str) -> Any:

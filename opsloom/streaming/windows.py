@@ -49,7 +49,7 @@ def sessions(df: DataFrame, key: str, ts: str, row_id: str, gap_seconds: int, ch
     """Sessions closed by ``gap_seconds`` of silence: start, end of the gap and row count.
 
     A stream uses ``session_window``. The batch form cuts at gaps found chunk by chunk, so a
-    key without pauses is not sorted in one task.
+    key without pauses is not sorted in one task. Null keys are one key; rows without a time are left out.
     """
     if df.isStreaming:
         out = df.groupBy(F.session_window(ts, f"{gap_seconds} seconds").alias("window"), key).agg(n_rows("n"))
@@ -59,7 +59,7 @@ def sessions(df: DataFrame, key: str, ts: str, row_id: str, gap_seconds: int, ch
     silent = lambda since, until: F.when(
         since.isNull() | (micros(until) - micros(since) >= gap_seconds * 1_000_000), 1).otherwise(0)
     # The rows are shuffled once, on (key, chunk); what follows works on sessions and chunks.
-    opened = df.select(key, ts, row_id).withColumn(CHUNK, chunk).withColumn("_opens", silent(F.lag(ts).over(inside), F.col(ts)))
+    opened = df.where(F.col(ts).isNotNull()).select(key, ts, row_id).withColumn(CHUNK, chunk).withColumn("_opens", silent(F.lag(ts).over(inside), F.col(ts)))
     numbered = opened.withColumn("_no", F.sum("_opens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     local = numbered.groupBy(key, CHUNK, "_no").agg(F.min(ts).alias("start"), F.max(ts).alias("_last"), n_rows("n"))
     # One row per chunk: does its first session continue the chunk before, and how many came earlier?
@@ -68,7 +68,8 @@ def sessions(df: DataFrame, key: str, ts: str, row_id: str, gap_seconds: int, ch
     chunks = chunks.withColumn("_joins", 1 - silent(F.lag("_end").over(by_chunk), F.col("_first")))
     earlier = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
     chunks = chunks.withColumn("_before", F.coalesce(F.sum(F.col("_count") - F.col("_joins")).over(earlier), F.lit(0)))
-    spans = (local.join(chunks.select(key, CHUNK, "_joins", "_before"), [key, CHUNK])
+    place = F.struct(key, CHUNK).alias("_place")  # joins null keys too
+    spans = (local.select("*", place).join(chunks.select(place, "_joins", "_before"), "_place")
              .groupBy(key, (F.col("_before") + F.col("_no") - F.col("_joins")).alias("_session"))
              .agg(F.min("start").alias("start"), F.max("_last").alias("_last"), F.sum("n").alias("n")))
     return spans.select("start", F.timestamp_add("SECOND", F.lit(gap_seconds), F.col("_last")).alias("end"), key, "n")
