@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,7 +13,6 @@ from opsloom.functions.ordered import first_n
 from opsloom.functions.patterns import every
 
 EARTH_KM = 6371.0088
-MAX_QUERIES = 10_000
 
 
 def tokens(text: str) -> Column:
@@ -71,31 +70,38 @@ def geo_radius(df: DataFrame, lon: str, lat: str, centre: tuple[float, float], k
     return near.withColumn("km", distance).where(F.col("km") <= km)
 
 
-def knn(vectors: DataFrame, row_id: str, embedding: str, queries: Sequence[tuple[int, Sequence[float]]], k: int) -> DataFrame:
-    """Exact ``k`` nearest by cosine for a bounded list of query vectors.
+def knn(vectors: DataFrame, row_id: str, embedding: str, queries: DataFrame, k: int, query_block: int = 2_048,
+        vector_block: int = 16_384) -> DataFrame:
+    """Exact ``k`` nearest by cosine for ``queries(query_id, vector)``, however many.
 
-    Each partition keeps its own k best per query in one pass; only those rows are shuffled.
-    Returns ``(query_id, rank, row_id, cosine)``; equal cosines rank by row id.
+    Blocks of queries meet blocks of vectors; a task holds one of each and gives its own k best per query. Zero and null
+    vectors have no direction and take no part. Returns ``(query_id, rank, row_id, cosine)``; equal cosines rank by row id.
     """
-    if len(queries) > MAX_QUERIES:
-        raise ValueError(f"knn takes at most {MAX_QUERIES} query vectors; join in batches beyond that")
-    names = np.array([q for q, _ in queries], dtype=np.int64)
-    units = np.array([v for _, v in queries], dtype=np.float64)
-    units /= np.linalg.norm(units, axis=1, keepdims=True)
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = np.empty((len(names), 0), dtype=np.int64)
-        scores = np.empty((len(names), 0))
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            block = np.stack(pdf[embedding].to_numpy()).astype(np.float64)
-            block /= np.linalg.norm(block, axis=1, keepdims=True)
-            scores = np.hstack([scores, units @ block.T])
-            ids = np.hstack([ids, np.broadcast_to(pdf[row_id].to_numpy(), (len(names), len(pdf)))])
-            order = np.lexsort((ids, -scores.round(9)), axis=1)[:, :k]
-            scores, ids = np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
-        yield pd.DataFrame({"query_id": np.repeat(names, ids.shape[1]), row_id: ids.ravel(), "cosine": scores.ravel().round(9)})
-
-    local = vectors.select(row_id, embedding).mapInPandas(best, f"query_id bigint, {row_id} bigint, cosine double")
+    directed = lambda c: F.exists(c, lambda x: x != 0)
+    asked, known = queries.where(directed("vector")), vectors.select(row_id, embedding).where(directed(embedding))
+    blocks = lambda df, size: df.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / size))).scalar()
+    asked_blocks, known_blocks = blocks(asked, query_block), blocks(known, vector_block)
+    repeated = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+    left = known.withColumn("_v", F.pmod(F.xxhash64(row_id), known_blocks)).withColumn("_q", repeated(asked_blocks))
+    right = (asked.select("query_id", "vector").withColumn("_q", F.pmod(F.xxhash64("query_id"), asked_blocks))
+             .withColumn("_v", repeated(known_blocks)))
+
+    def units(column: pd.Series) -> np.ndarray:
+        found = np.stack(column.to_numpy()).astype(np.float64)
+        return found / np.linalg.norm(found, axis=1, keepdims=True)
+
+    def best(block: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
+        if block.empty or some.empty:
+            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), row_id: pd.Series(dtype="int64"), "cosine": pd.Series(dtype="float64")})
+        points, ids = units(block[embedding]), block[row_id].to_numpy()
+        parts = []
+        for at in range(0, len(some), 256):
+            names = some["query_id"].to_numpy()[at:at + 256]
+            scores = (units(some["vector"].iloc[at:at + 256]) @ points.T).round(9)
+            order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
+            parts.append(pd.DataFrame({"query_id": np.repeat(names, order.shape[1]), row_id: ids[order].ravel(),
+                                       "cosine": np.take_along_axis(scores, order, 1).ravel()}))
+        return pd.concat(parts)
+
+    local = left.groupBy("_q", "_v").cogroup(right.groupBy("_q", "_v")).applyInPandas(best, f"query_id bigint, {row_id} bigint, cosine double")
     return first_n(local, ["query_id"], [F.desc("cosine"), F.asc(row_id)], k, F.col(row_id), out="rank")

@@ -61,8 +61,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, v
 SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS INT) AS rank, vec_id, round(cosine, 6) AS cosine FROM r WHERE rank <= 10""")
 def nearest_vectors(t):
     # One query vector per label: the first of each.
-    firsts = t.embeddings.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("v")).limit(search.MAX_QUERIES + 1).collect()
-    found = search.knn(t.embeddings, "vec_id", "embedding", [(r["label"], r["v"]) for r in firsts], 10)
+    firsts = t.embeddings.groupBy(F.col("label").cast("bigint").alias("query_id")).agg(F.min_by("embedding", "vec_id").alias("vector"))
+    found = search.knn(t.embeddings, "vec_id", "embedding", firsts, 10)
     return found.select("query_id", "rank", "vec_id", F.round("cosine", 6).alias("cosine"))
 
 

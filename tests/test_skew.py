@@ -13,6 +13,7 @@ from opsloom.operators import limits, metrics, traces
 from opsloom.operators.graph import reach
 from opsloom.operators.joins import asof_join, cidr_enrich
 from opsloom.operators.ranking import keep_last, latest_by
+from opsloom.operators.search import knn
 from opsloom.streaming.windows import sessions
 
 
@@ -244,3 +245,13 @@ def test_merged_registers_are_those_of_all_rows(spark):
     assert merged.collect() == whole.collect()
     exact = df.agg(F.count_distinct("u")).first()[0]
     assert abs(whole.first()["uniques"] / exact - 1) < 0.03
+
+
+def test_nearest_by_blocks_equals_one_block(spark):
+    rng = np.random.default_rng(1)
+    vectors = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(120, 5)))] + [(500, [0.0] * 5), (501, None)]
+    df = spark.createDataFrame(vectors, "id long, v array<double>")
+    asked = df.select(F.col("id").alias("query_id"), F.col("v").alias("vector"))
+    small = knn(df, "id", "v", asked, 4, query_block=7, vector_block=11).collect()
+    assert sorted(map(tuple, small)) == sorted(map(tuple, knn(df, "id", "v", asked, 4).collect()))
+    assert len(small) == 480 and all(r["id"] == r["query_id"] for r in small if r["rank"] == 1)
