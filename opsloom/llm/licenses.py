@@ -122,7 +122,7 @@ def match_templates(docs: DataFrame, text: str = "text", templates: Sequence[Tem
 
     ``start`` and ``n_words`` describe the block; ``places`` are the first words of the phrase of an exact template (such a
     template matches only where it has one). Null and empty texts have no words and no match. Rows are independent, so
-    repeated rows and null ids make no difference; a column named as ``out`` is replaced.
+    repeated rows and null ids make no difference, an empty table gives no rows; a column named as ``out`` is replaced.
     """
     longest = max(len(t.words) for t in templates)
     if longest > STRIDE:

@@ -194,7 +194,8 @@ def scan_secrets(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("do
 
     Base spans are those of the three fixed patterns, leftmost and non-overlapping per kind; ``guess`` spans are values in
     a credential context whose guess cost reaches ``threshold``. ``masked`` is the text with all spans replaced (null
-    without ``with_text``). A null text is scanned as empty and stays null. Positions are code points, ends exclusive.
+    without ``with_text``). A null text is scanned as empty and stays null. Positions are code points, ends exclusive. Rows are independent: repeated
+    rows and null ids make no difference, an empty table gives no rows. Kept columns must not carry an output's name.
     """
     keep = list(keep)
     rows = docs.select(*keep, F.col(text).alias("_text"))

@@ -204,7 +204,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kee
     A word goes if a window over it has a word sequence that also starts in a document with a smaller key. Windows are
     judged on the input. Kept words are joined by one space. Rows with a null key neither lose words nor take any from
     others; a null or blank text has no words. Rows that share a key don't remove from each other; repeated rows get the
-    same result each. Columns other than the named ones are ignored.
+    same result each. Columns other than the named ones are ignored; kept ones must not carry an output's name. An empty table
+    gives no rows.
     """
     cuts = repeated_intervals(docs, key, text, width, buckets).groupBy("_id", "_row").agg(
         F.collect_list(F.struct("first", "stop")).alias("_cuts"))

@@ -269,7 +269,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """``doc_id``, ``start`` (ids before it in the file), ``n_tokens``, ``ids_crc32`` and ``ids`` of every document of a file."""
-    parts = spark.read.parquet(path)
+    parts = spark.read.schema(PARTS).parquet(path)
     rows = parts.mapInArrow(_read, "partition int, number int, doc_id long, in_part long, n_tokens long, ids_crc32 long, ids binary")
     if not with_ids:
         rows = rows.drop("ids")
