@@ -96,10 +96,11 @@ def apply_batch(df: DataFrame, ops: DataFrame, key: str, op: str, order: Sequenc
     return table, tagged.where(~F.col("_ok")).drop("_ok")
 
 
-def validate_cart(requests: DataFrame, products: DataFrame, key: str, quantity: str, stock: str) -> DataFrame:
+def validate_cart(requests: DataFrame, products: DataFrame, key: str, quantity: str, stock: str, unknown: str = "unknown product",
+                  short: str = "not enough in stock") -> DataFrame:
     """Requests with an ``error`` text (empty when acceptable)."""
     joined = requests.join(products.select(key, stock, F.lit(True).alias("_known")), key, "left")
-    error = F.when(F.col("_known").isNull(), "Product not found").when(F.col(stock) < F.col(quantity), "Insufficient stock").otherwise("")
+    error = F.when(F.col("_known").isNull(), unknown).when(F.col(stock) < F.col(quantity), short).otherwise("")
     return joined.withColumn("error", error).drop("_known", stock)
 
 

@@ -121,8 +121,8 @@ def batch_unprocessed(t):
     return _batch(t)[1].select("event_id")
 
 
-@query("I9", """SELECT l_orderkey, l_linenumber, CASE WHEN p_partkey IS NULL THEN 'Product not found'
-WHEN p_size < l_quantity THEN 'Insufficient stock' ELSE '' END AS error FROM lineitem
+@query("I9", """SELECT l_orderkey, l_linenumber, CASE WHEN p_partkey IS NULL THEN 'unknown product'
+WHEN p_size < l_quantity THEN 'not enough in stock' ELSE '' END AS error FROM lineitem
 LEFT JOIN (SELECT * FROM part WHERE p_brand <> 'Brand#3') ON p_partkey = l_partkey""")
 def validate_cart(t):
     requests = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")

@@ -218,7 +218,7 @@ def echoed_messages(t):
     return log.echo(t.conversations, "role", "text").select("conv_id", "turn", "reply")
 
 
-@query("J26", """SELECT conv_id, count(*) AS n, 'You have sent ' || count(*) || ' messages. Please expect a delayed response.' AS reply FROM conversations GROUP BY 1""")
+@query("J26", """SELECT conv_id, count(*) AS n, count(*) || ' requests received' AS reply FROM conversations GROUP BY 1""")
 def collected_requests(t):
     return log.collect_requests(t.conversations, "conv_id")
 

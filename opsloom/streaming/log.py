@@ -136,11 +136,10 @@ def echo(df: DataFrame, name: str, message: str) -> DataFrame:
     return df.withColumn("reply", F.concat_ws(": ", name, message))
 
 
-def collect_requests(df: DataFrame, client: str) -> DataFrame:
-    """Number of requests per client stream and the closing message; the requests stay rows."""
+def collect_requests(df: DataFrame, client: str, closing: str = "%d requests received") -> DataFrame:
+    """Number of requests per client stream and a closing message about it; the requests stay rows."""
     counted = df.groupBy(client).agg(F.count(F.lit(1)).alias("n"))
-    text = F.format_string("You have sent %d messages. Please expect a delayed response.", F.col("n"))
-    return counted.withColumn("reply", text)
+    return counted.withColumn("reply", F.format_string(closing, F.col("n")))
 
 
 def pipe(df: DataFrame, spec: Mapping, dim: DataFrame, key: str) -> DataFrame:
