@@ -226,7 +226,10 @@ def build_index(vectors: DataFrame, path: str, key: str = "vec_id", vector: str
         F.col(key).cast("long").alias("id"), F.size(vector).alias("dims"), F.col(vector).cast("array<double>").alias("vector"))
     sizes = rows.groupBy("dims").agg(F.ceil(F.count(F.lit(1)) / shard_rows).alias("shards"))
     placed = rows.join(sizes, "dims").withColumn("shard", F.pmod(F.xxhash64("id"), "shards")).drop("shards")
-    placed.dropDuplicates(["shard", "dims", "id", "vector"]).groupBy("dims", "shard").applyInArrow(_build(links, width), INDEX).write.parquet(path)
+    # A given number of partitions: a shard is little data but much work, and should not share its task.
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = placed.dropDuplicates(["shard", "dims", "id", "vector"]).repartition(parts, "dims", "shard")
+    distinct.groupBy("dims", "shard").applyInArrow(_build(links, width), INDEX).write.parquet(path)
 
 
 def _search(top: int, width: int):
