@@ -6,8 +6,10 @@ do, and a run of windows travels as a few bytes a window. A bucket finds for eac
 of larger ids are repeated, and adjacent ones leave it as one interval. Spark groups the intervals of each document.
 
 A map task sends only the windows of the smallest id that it saw for a hash: the others are already known to be repeated,
-so a passage that a third of the documents share arrives once per batch. Bucket memory is bounded by the bucket count, a
-multiple of ``spark.sql.shuffle.partitions``.
+so a passage that a third of the documents share arrives once per batch. Windows that differ but share a frequent short
+span would still fill one bucket, so the windows of every bucket are counted first, in a pass of its own over the texts;
+one of more than twice the mean is divided by the window hash, and equal windows still meet. Bucket memory is so bounded
+by the bucket count, a multiple of ``spark.sql.shuffle.partitions``.
 
 Equality is judged on ``56 + log2(buckets)`` hash bits: about ``n**2 / 2**(57 + log2(buckets))`` windows of ``n`` would be
 taken for repeats by accident, 1e-3 in 10 billion windows with 4,096 buckets.
@@ -15,6 +17,7 @@ taken for repeats by accident, 1e-3 in 10 billion windows with 4,096 buckets.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -31,6 +34,8 @@ SPAN = 5
 #: Bytes of a window hash that travel; the bucket number adds the rest.
 KEPT = 7
 BUCKETS_PER_PARTITION = 4
+#: Windows that a bucket may always hold undivided.
+LEAST_WINDOWS = 8_192
 
 BLOBS = "bucket int, hashes binary, places binary, docs binary, intervals binary"
 INTERVALS = pa.schema([("_id", pa.int64()), ("_row", pa.int64()), ("first", pa.int32()), ("stop", pa.int32())])
@@ -73,23 +78,60 @@ def _repeated(hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def _spread(buckets: int, width: int):
+def _windows(batch: pa.RecordBatch, buckets: int, width: int):
+    """Hash, document, place, bucket of each window, whether a smaller id in the batch has it too, and all first words."""
+    data, bounds = batch_bytes(batch.column(2))
+    hashed, first = word_hashes(data, bounds)
+    windows, at, doc = window_hashes(hashed, first, width)
+    if not len(windows):
+        return None
     span = min(SPAN, width)
+    short, short_at, _ = window_hashes(hashed, first, span)
+    # Short spans lie in document order too; a window's own ones are neighbours.
+    where = np.searchsorted(short_at, at)
+    anchor = _sliding_min(short, width - span + 1)[where]
+    bucket = (mix(anchor) % np.uint64(buckets)).astype(np.int32)
+    return windows, at, doc, bucket, _repeated(windows, batch.column(0).to_numpy(zero_copy_only=False)[doc]), first
+
+
+def _count(buckets: int, width: int):
+    """Windows that a task sends to each bucket."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(buckets, dtype=np.int64)
+        for batch in batches:
+            for some in slices(batch, "_text"):
+                if (found := _windows(some, buckets, width)) is not None:
+                    total += np.bincount(found[3][~found[4]], minlength=buckets)
+        held = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(held, pa.int32()), pa.array(total[held], pa.int64())], names=["bucket", "n"])
+
+    return run
+
+
+def crowded(rows: DataFrame, buckets: int, width: int) -> dict[int, int]:
+    """Parts of each bucket of more than twice the mean number of windows. A count per bucket comes to the driver."""
+    sizes = rows.mapInArrow(_count(buckets, width), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    names, n = sizes.column("bucket").to_numpy(), sizes.column("n").to_numpy()
+    mean = max(n.sum() / buckets, LEAST_WINDOWS)
+    return {int(b): math.ceil(k / mean) for b, k in zip(names, n) if k > 2 * mean}
+
+
+def _spread(buckets: int, width: int, parts: dict[int, int] | None = None):
+    # A divided bucket keeps its number for its first part; the others are numbered behind all buckets.
+    split = np.ones(buckets, dtype=np.int64)
+    for b, n in (parts or {}).items():
+        split[b] = n
+    behind = buckets + np.cumsum(split - 1) - split
 
     def part(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        data, bounds = batch_bytes(batch.column(2))
         ids, rows = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-        hashed, first = word_hashes(data, bounds)
-        windows, at, doc = window_hashes(hashed, first, width)
-        if not len(windows):
+        if (found := _windows(batch, buckets, width)) is None:
             return
-        short, short_at, _ = window_hashes(hashed, first, span)
-        # Short spans lie in document order too; a window's own ones are neighbours.
-        where = np.searchsorted(short_at, at)
-        anchor = _sliding_min(short, width - span + 1)[where]
-        bucket = (mix(anchor) % np.uint64(buckets)).astype(np.int32)
+        windows, at, doc, bucket, known, first = found
+        if parts:
+            share = (mix(windows) % split[bucket].astype(np.uint64)).astype(np.int64)
+            bucket = np.where(share > 0, behind[bucket] + share, bucket).astype(np.int32)
         place = at - first[doc]
-        known = _repeated(windows, ids[doc])
         cut = np.flatnonzero(known)
         a, b = _runs(doc[cut], at[cut])
         local = np.stack([ids[doc[cut[a]]], rows[doc[cut[a]]], place[cut[a]], place[cut[b]] + width]) if len(a) else None
@@ -164,7 +206,7 @@ def repeated_intervals(docs: DataFrame, key: str = "doc_id", text: str = "text",
     buckets = buckets or BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(
         F.col(key).cast("long").alias("_id"), F.xxhash64(text).alias("_row"), F.col(text).cast("binary").alias("_text"))
-    blobs = rows.mapInArrow(_spread(buckets, width), BLOBS)
+    blobs = rows.mapInArrow(_spread(buckets, width, crowded(rows, buckets, width)), BLOBS)
     return blobs.groupBy("bucket").applyInArrow(_gather(width), "_id long, _row long, first int, stop int")
 
 

@@ -172,3 +172,21 @@ def test_a_hot_passage_travels_once_per_batch(documents):
     sent = documents(rows).select(F.col("doc_id").alias("_id"), F.xxhash64("text"), F.col("text").cast("binary").alias("_text"))
     blobs = sent.mapInArrow(substring._spread(4, 50), substring.BLOBS).agg(F.sum(F.length("hashes"))).first()[0]
     assert blobs // substring.KEPT < 3 * 11 + 400 * 30
+
+
+def test_a_hot_short_passage_is_divided(documents, monkeypatch):
+    monkeypatch.setattr(substring, "LEAST_WINDOWS", 64)
+    rnd = random.Random(3)
+    own = lambda n: " ".join(f"w{rnd.randrange(10 ** 9)}" for _ in range(n))
+    passage = own(20)
+    rows = [(i, f"{own(60)} {passage} {own(60)}" if i % 3 == 0 else own(140)) for i in range(300)]
+    rows += [(1000 + i, f"{own(5)} {rows[3 * i][1]} {own(5)}") for i in range(20)]  # repeats that pass over the hot windows
+    docs = documents(rows)
+    got = substring.remove_repeats(docs, buckets=48)
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_text"]) for r in got.collect()) == brute_repeats(rows, 50)
+    sent = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_row"), F.col("text").cast("binary").alias("_text"))
+    held = lambda parts: [r[0] // substring.KEPT for r in sent.mapInArrow(substring._spread(48, 50, parts), substring.BLOBS)
+                          .groupBy("bucket").agg(F.sum(F.length("hashes")).alias("n")).where("n > 0").select("n").collect()]
+    whole, divided = held(None), held(substring.crowded(sent, 48, 50))
+    assert sum(whole) == sum(divided)
+    assert max(whole) > 3 * sum(whole) / 48 and max(divided) < 2.5 * sum(whole) / 48
