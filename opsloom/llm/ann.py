@@ -3,7 +3,8 @@
 Vectors are dealt to shards of about ``SHARD_ROWS`` by a hash of their id. A shard keeps its distinct vectors and one flat
 array of neighbours per layer; equal vectors are one graph node with many ids, so a vector that fills a third of the table
 doesn't crowd the graph. The largest inner product becomes a nearest neighbour by one more coordinate, the rest of the
-shard's largest norm. Nodes enter in blocks: a block is searched in the graph as it stands, its members also see each
+shard's largest norm. A shard holds vectors of one norm class, scaled by its largest component, and queries are scaled by
+theirs: a vector much longer than the others would leave nothing of their differences in single precision. Nodes enter in blocks: a block is searched in the graph as it stands, its members also see each
 other, and each link is chosen so that it is nearer to the node than to the links already taken.
 
 Queries meet each shard in blocks; a task holds one shard and one block of queries. Scores are inner products of the
@@ -26,6 +27,8 @@ LINKS = 16
 BUILD_WIDTH, SEARCH_WIDTH = 96, 160
 #: Nodes searched together.
 TOGETHER = 256
+#: Norms of a class differ by less than this power of two; norms around 1 are inside one class.
+NORM_BITS = 4
 
 
 def _levels(n: int, links: int) -> np.ndarray:
@@ -184,6 +187,21 @@ def usable(vector: str | Column) -> Column:
     return F.coalesce((F.size(c) > 0) & ~F.exists(c, bad) & F.exists(c, lambda x: x != 0), F.lit(False))
 
 
+def norm_class(vector: str | Column) -> Column:
+    """Number of the class of a usable vector's norm. Components are divided by the largest, so that no square overflows."""
+    c = F.col(vector) if isinstance(vector, str) else vector
+    most = F.array_max(F.transform(c, F.abs))
+    squares = F.aggregate(c, F.lit(0.0), lambda a, x: a + (x / most) * (x / most))
+    return F.floor((F.log2(most) + F.log2(squares) / 2 + NORM_BITS / 2) / NORM_BITS)
+
+
+def _points(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of one norm class in single precision, scaled, with the coordinate that brings all to the largest norm."""
+    points = vectors / np.abs(vectors).max()
+    squares = np.einsum("ij,ij->i", points, points)
+    return np.concatenate((points, np.sqrt(np.maximum(squares.max() - squares, 0))[:, None]), axis=1).astype(np.float32)
+
+
 INDEX = "node int, shard bigint, dims int, ids array<bigint>, vector array<double>, levels array<array<int>>, entry boolean"
 
 
@@ -197,10 +215,7 @@ def _build(links: int, width: int):
         ids, vectors = ids[order], vectors[order]
         distinct, where = np.unique(vectors, axis=0, return_inverse=True)
         where = where.ravel()
-        points = distinct.astype(np.float32)
-        squares = np.einsum("ij,ij->i", points, points)
-        points = np.concatenate((points, np.sqrt(np.maximum(squares.max() - squares, 0))[:, None]), axis=1)
-        graph = Graph(points, links, width).build()
+        graph = Graph(_points(distinct), links, width).build()
         members: list[list[int]] = [[] for _ in distinct]
         for i, w in zip(ids.tolist(), where.tolist()):
             members[w].append(i)
@@ -220,12 +235,14 @@ def build_index(vectors: DataFrame, path: str, key: str = "vec_id", vector: str
     """Write the index of all usable vectors: one row per node, with its ids, vector and flat neighbours on every layer.
 
     Rows with a null key, and vectors that are null, empty, zero or hold a null or non-finite component, are left out.
-    Vectors of different lengths go to different shards. Repeated rows count once.
+    Vectors of different numbers of components, and of different norm classes, go to different shards. Repeated rows count once.
     """
     rows = vectors.where(F.col(key).isNotNull() & usable(vector)).select(
         F.col(key).cast("long").alias("id"), F.size(vector).alias("dims"), F.col(vector).cast("array<double>").alias("vector"))
-    sizes = rows.groupBy("dims").agg(F.ceil(F.count(F.lit(1)) / shard_rows).alias("shards"))
-    placed = rows.join(sizes, "dims").withColumn("shard", F.pmod(F.xxhash64("id"), "shards")).drop("shards")
+    rows = rows.withColumn("norm", norm_class("vector"))
+    sizes = rows.groupBy("dims", "norm").agg(F.ceil(F.count(F.lit(1)) / shard_rows).alias("shards"))
+    placed = rows.join(sizes, ["dims", "norm"]).withColumn(
+        "shard", F.col("norm") * F.lit(1 << 40) + F.pmod(F.xxhash64("id"), "shards")).drop("shards", "norm")
     # A given number of partitions: a shard is little data but much work, and should not share its task.
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     distinct = placed.dropDuplicates(["shard", "dims", "id", "vector"]).repartition(parts, "dims", "shard")
@@ -243,9 +260,7 @@ def _search(top: int, width: int):
         n, dims = left.num_rows, left.column("dims")[0].as_py()
         flat = lambda t, c: t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
         vectors = flat(left, "vector").reshape(n, dims)
-        points = vectors.astype(np.float32)
-        squares = np.einsum("ij,ij->i", points, points)
-        graph = Graph(np.concatenate((points, np.sqrt(np.maximum(squares.max() - squares, 0))[:, None]), axis=1))
+        graph = Graph(_points(vectors))
         height = len(left.column("levels")[0])
         levels = left.column("levels").combine_chunks().flatten()
         graph.layers = []
@@ -260,7 +275,8 @@ def _search(top: int, width: int):
         # One more than asked for: the query itself may be among them.
         for at in range(0, len(keys), TOGETHER):
             some = queries[at:at + TOGETHER]
-            wide = np.concatenate((some.astype(np.float32), np.zeros((len(some), 1), np.float32)), axis=1)
+            unit = (some / np.abs(some).max(axis=1, keepdims=True)).astype(np.float32)
+            wide = np.concatenate((unit, np.zeros((len(some), 1), np.float32)), axis=1)
             pool, far = graph.search(wide, max(width, 2 * top))
             for row, (query, key) in enumerate(zip(some, keys[at:at + TOGETHER].tolist())):
                 found = pool[row][np.isfinite(far[row])]

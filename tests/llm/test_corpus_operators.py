@@ -263,6 +263,24 @@ def test_nearest_vectors(spark, shared):
     assert ann.nearest(df.where("false"), df.where("false")).collect() == []
 
 
+@pytest.mark.parametrize("long", [1e4, 1e20, 1e150])
+def test_a_very_long_vector_hides_no_other(spark, shared, long):
+    rnd = np.random.default_rng(4)
+    matrix = rnd.normal(size=(1500, 12))
+    matrix /= np.linalg.norm(matrix, axis=1)[:, None]
+    matrix[700] *= long
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(matrix)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in ann.nearest(df, df.where("vec_id % 20 = 0")).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = 0
+    for q in range(0, 1500, 20):
+        scores = matrix @ matrix[q]
+        scores[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-scores)[:20].tolist()))
+    assert hits / (20 * 75) >= 0.97
+
+
 def test_toxicity_chain(documents, spark):
     rnd = random.Random(12)
     rows, labels = [], []
