@@ -29,7 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the spans of secrets masked."""
-    rows = secret_scan.scan_secrets(docs, keep=["doc_id", "lang", "source"])
+    rows = secret_scan.scan_secrets(docs, keep=["doc_id", "lang", "source"], words=secret_scan.frequent_words(docs))
     return rows.withColumn("n_chars", F.char_length("masked").cast("long")).withColumnRenamed("masked", "text").select(*COLUMNS)
 
 

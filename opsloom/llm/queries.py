@@ -74,7 +74,8 @@ def op3_source_mix(spark: SparkSession, path: str) -> DataFrame:
 @_query()
 def op4_secret_scan(spark: SparkSession, path: str) -> DataFrame:
     """Spans of secrets in every document."""
-    return secret_scan.scan_secrets(_documents(spark, path), with_text=False).drop("masked")
+    docs = _documents(spark, path)
+    return secret_scan.scan_secrets(docs, words=secret_scan.frequent_words(docs), with_text=False).drop("masked")
 
 
 # --- op5 ---------------------------------------------------------------------------------------

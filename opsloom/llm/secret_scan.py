@@ -2,7 +2,9 @@
 
 The guess cost of a value is the least sum, over all segmentations, of the log10 guesses of its parts: words, dates,
 repeats, keyboard walks and brute-force spans, found by dynamic programming. A value that is cheap to guess is a
-placeholder or prose; a dear one is a secret. Texts are scanned whole, in Arrow batches, without a shuffle.
+placeholder or prose; a dear one is a secret. Words are ranked by the documents that hold them outside credential contexts
+(``frequent_words``: a count, and a list of at most ``WORDS`` words). Texts are scanned whole, in Arrow batches, without a
+shuffle.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opsloom.session import cut_lineage
+
 # The base patterns. A match must reach the given length to count.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -42,6 +46,9 @@ ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0?[1-9]|1[0-2])(?:[-/._]?(?:0?[1-9]|[12]\d|3[01]))?)?|"
                   r"(?:0?[1-9]|[12]\d|3[01])[-/._](?:0?[1-9]|1[0-2])[-/._](?:\d{4}|\d\d)")
 
+#: Words ranked by the documents at most, and the documents that must hold one.
+WORDS, LEAST_DOCS = 100_000, 2
+
 #: A value whose guess cost reaches this many decimal digits is a secret.
 THRESHOLD = 10.0
 #: Cost of starting another part: the choice of its kind.
@@ -165,6 +172,29 @@ def masked(text: str, spans: Sequence[tuple[int, int, str]], mask: str = "<secre
 SCHEMA = ("struct<n_assign:bigint,n_access:bigint,n_hex:bigint,n_guess:bigint,base_sha256:string,spans:string,masked:string>")
 
 
+def frequent_words(docs: DataFrame, text: str = "text", most: int = WORDS) -> list[str]:
+    """``COMMON``, then the words of 3 to 24 letters that most documents hold, in order of rank; at most ``most`` of these.
+
+    A word counts once per row. Values in a credential context don't count, so that a secret that is often copied doesn't
+    become a word; nor do parts of a run with digits.
+    """
+    outside = F.regexp_replace(F.col(text), f"(?i){CONTEXT.pattern}", " ")
+    found = F.array_distinct(F.split(F.lower(outside), r"[^\p{L}\p{M}\p{N}]+"))
+    words = docs.select(F.explode(found).alias("w")).where(F.col("w").rlike(r"^[\p{L}\p{M}]{3,24}$"))
+    counts = cut_lineage(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_DOCS)
+                         .withColumn("bin", F.floor(F.log2("n") * 16)))
+    # A sort would send a list of every task to the driver: whole bins of like counts instead, and a share of the last one.
+    room, low, share = most, 0, 1.0
+    for r in sorted(counts.groupBy("bin").agg(F.count(F.lit(1)).alias("k")).collect(), key=lambda r: -r["bin"]):
+        if r["k"] > room:
+            low, share = r["bin"], room / r["k"]
+            break
+        room -= r["k"]
+    taken = (F.col("bin") > low) | ((F.col("bin") == low) & (F.pmod(F.xxhash64("w"), F.lit(1 << 30)) < int(share * (1 << 30))))
+    found = sorted(((-r["n"], r["w"]) for r in counts.where(taken).collect()))[:most]
+    return list(dict.fromkeys([*COMMON, *(w for _, w in found)]))
+
+
 def _scan(names: list[str], text: str, threshold: float, words: Sequence[str], with_text: bool):
     kinds = pa.struct([("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("n_guess", pa.int64()),
                        ("base_sha256", pa.string()), ("spans", pa.string()), ("masked", pa.string())])

@@ -133,6 +133,18 @@ def test_guess_costs_and_masks():
     assert secret_scan.masked(text_, spans) == 'pwd: "<secret>" and <secret>'
 
 
+def test_ordinary_words_in_a_context_are_no_secrets(documents):
+    plain = "the ingredient was required by the certificate of the authority"
+    quoted = 'the secret "ingredient", auth: required, bearer: certificate and password: "Ingredient-required"'
+    copied = "password: zmwqpvtkrhxb and token=zmwqpvtkrhxb"
+    rows = [(i, plain) for i in range(5)] + [(10, quoted)] + [(i, copied) for i in range(20, 50)] + [(60, None), (61, "")]
+    got = {r["doc_id"]: r for r in rows_of(_run("op4_secret_scan", documents(rows)).select("doc_id", "n_guess"))}
+    assert got[10]["n_guess"] == 0 and all(got[i]["n_guess"] == 2 for i in range(20, 50))
+    words = secret_scan.frequent_words(documents(rows))
+    assert words[:len(set(secret_scan.COMMON))] == list(dict.fromkeys(secret_scan.COMMON)) and "zmwqpvtkrhxb" not in words
+    assert len(secret_scan.frequent_words(documents(rows), most=2)) <= len(words) - 1
+
+
 def brute_repeats(rows, width):
     least = {}
     for d, t in rows:
