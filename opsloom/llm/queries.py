@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsloom.llm import ann, bpe, licenses, mixing, neardup, quality, secret_scan, substring, token_file, toxicity
+from opsloom.llm import ann, bpe, licenses, merkle, mixing, neardup, quality, secret_scan, substring, token_file, toxicity
 from opsloom.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -206,3 +206,57 @@ def op10_substring_dedup(spark: SparkSession, path: str) -> DataFrame:
     """Every document without the 50-word windows that also start in an earlier document."""
     return substring.remove_repeats(_documents(spark, path)).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+# --- op11 --------------------------------------------------------------------------------------
+
+def _crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII text; needs ``crc_table``, whose one row has the 256 remainders, in its FROM clause."""
+    return (f"xor(list_reduce(list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda a, b: "
+            "xor(crc_table.t[CAST(xor(a, b) & 255 AS BIGINT) + 1], a >> 8), CAST(4294967295 AS BIGINT)), "
+            "CAST(4294967295 AS BIGINT))")
+
+
+_CRC_TABLE_SQL = """crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k:
+    CASE WHEN c % 2 = 1 THEN xor(c // 2, CAST(3988292384 AS BIGINT)) ELSE c // 2 END, i)) AS t)"""
+
+
+def _leaf_sql(n_chars: str) -> str:
+    fields = [f"CAST({c} AS VARCHAR)" for c in ("doc_id", "source", "lang", n_chars, "text")]
+    return "sha256(" + " || ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in fields) + ")"
+
+
+@_query(f"""
+WITH RECURSIVE {_CRC_TABLE_SQL},
+d AS (SELECT doc_id, CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END AS g, {_leaf_sql("n_chars")} AS leaf,
+             CASE WHEN {_crc32_sql("CAST(doc_id AS VARCHAR)")} % 7 = 0 THEN {_leaf_sql("(n_chars + 1)")} END AS altered FROM documents, crc_table),
+p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM d),
+lv AS (SELECT g, 0 AS k, i, leaf AS h, n FROM p
+       UNION ALL
+       SELECT g, any_value(k) + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), any_value((n + 1) // 2) FROM lv WHERE n > 1 GROUP BY g, i // 2),
+s AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM lv WHERE n = 1),
+up AS (SELECT 0 AS k, i, subroot AS h, n FROM s
+       UNION ALL
+       SELECT any_value(k) + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), any_value((n + 1) // 2) FROM up WHERE n > 1 GROUP BY i // 2),
+low AS (SELECT g, i, list(coalesce(x.h, '') ORDER BY k) AS path FROM (
+            SELECT p.g, p.i, lv.k, max(CASE WHEN lv.i = xor(p.i >> lv.k, 1) THEN lv.h END) AS h FROM p JOIN lv
+            ON lv.g = p.g AND lv.n > 1 AND lv.i IN (p.i >> lv.k, xor(p.i >> lv.k, 1)) GROUP BY ALL) AS x GROUP BY g, i),
+high AS (SELECT i, list(coalesce(x.h, '') ORDER BY k) AS path FROM (
+            SELECT s.i, up.k, max(CASE WHEN up.i = xor(s.i >> up.k, 1) THEN up.h END) AS h FROM s JOIN up
+            ON up.n > 1 AND up.i IN (s.i >> up.k, xor(s.i >> up.k, 1)) GROUP BY ALL) AS x GROUP BY i),
+f AS (SELECT p.doc_id, p.g, p.leaf, p.altered, p.i, s.subroot, s.i AS si, coalesce(low.path, []) AS lp, coalesce(high.path, []) AS hp
+      FROM p JOIN s USING (g) LEFT JOIN low ON low.g = p.g AND low.i = p.i LEFT JOIN high ON high.i = s.i),
+fold AS (SELECT *, list_reduce(list_zip(lp || hp, range(len(lp)) || range(len(hp)), list_transform(lp, lambda x: i) || list_transform(hp, lambda x: si)),
+             lambda a, x: ROW(CASE WHEN (x[3] >> x[2]) % 2 = 1 THEN sha256(x[1] || a[1]) ELSE sha256(a[1] || x[1]) END, 0::BIGINT, 0::BIGINT),
+             ROW(coalesce(altered, leaf), 0::BIGINT, 0::BIGINT)) AS folded FROM f)
+SELECT doc_id, leaf, subroot, (SELECT h FROM up WHERE n = 1) AS root, sha256(array_to_string(lp || hp, '')) AS proof_sha256,
+       folded[1] AS folded_root, folded[1] = (SELECT h FROM up WHERE n = 1) AS verified FROM fold""")
+def op11_merkle_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and what the root would be after tampering with some of them."""
+    docs = _documents(spark, path)
+    marked = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 0
+    fields = [F.col(c) for c in ("doc_id", "source", "lang")] + [F.col("n_chars") + 1, F.col("text")]
+    rows = merkle.manifest(docs, carry={"altered": F.when(marked, merkle.digest(fields))})
+    rows = rows.withColumn("folded_root", merkle.fold(F.coalesce("altered", "leaf"), F.col("path")))
+    return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof(F.col("path")), 256).alias("proof_sha256"),
+                       "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
