@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsloom.llm import ann, bpe, licenses, merkle, mixing, neardup, quality, secret_scan, substring, token_file, toxicity
+from opsloom.llm import ann, bpe, dialogue, licenses, merkle, mixing, neardup, quality, secret_scan, substring, token_file, toxicity
 from opsloom.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -260,3 +260,57 @@ def op11_merkle_manifest(spark: SparkSession, path: str) -> DataFrame:
     rows = rows.withColumn("folded_root", merkle.fold(F.coalesce("altered", "leaf"), F.col("path")))
     return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof(F.col("path")), 256).alias("proof_sha256"),
                        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+# --- op12 --------------------------------------------------------------------------------------
+
+@_query(rf"""
+WITH RECURSIVE {_CRC_TABLE_SQL},
+c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             {_crc32_sql("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS z
+      FROM conversations, crc_table),
+r AS (SELECT coalesce('=' || conv_id, '') AS g, turn, CASE WHEN z = 4 THEN 'user' ELSE role END AS role,
+             CASE z WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+             unnest(CASE WHEN z = 3 THEN [0, 1] ELSE [0] END) AS copy FROM c WHERE z > 0),
+n AS (SELECT g, turn, role, text, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i,
+             row_number() OVER (PARTITION BY g, role, text ORDER BY turn NULLS FIRST, copy) AS seen FROM r),
+f AS (SELECT *, left(role, 1) AS a, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN seen > 1 THEN 'duplicate'
+             WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault FROM n),
+turns AS (SELECT * FROM (VALUES (0, 2), (1, 2), (2, 3), (3, 2)) AS t(s, t)),
+names AS (SELECT * FROM (VALUES (2, 'user'), (3, 'assistant')) AS t(t, role)),
+kept AS (SELECT * FROM (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)) AS t(s, a, t)),
+ins AS (SELECT s, s AS t, 0 AS cost, '' AS ops, CAST([] AS VARCHAR[]) AS lines FROM turns
+        UNION ALL SELECT s, turns.t, 2, 'I', [role || ':'] FROM turns JOIN names USING (t)
+        UNION ALL SELECT a.s, b.t, 4, 'II', [x.role || ':', y.role || ':'] FROM turns a JOIN turns b ON b.s = a.t
+                  JOIN names x ON x.t = a.t JOIN names y ON y.t = b.t),
+dp AS (SELECT g, CAST(0 AS BIGINT) AS i, 0 AS s, {{'cost': 0, 'ops': '', 'lines': CAST([] AS VARCHAR[])}} AS best FROM (SELECT DISTINCT g FROM f)
+       UNION ALL
+       SELECT g, i + 1, t, min(next) FROM (
+           SELECT dp.g, dp.i, e.t, {{'cost': best.cost + ins.cost + e.cost, 'ops': best.ops || ins.ops || e.op,
+                                    'lines': best.lines || ins.lines || e.line}} AS next
+           FROM dp JOIN ins ON ins.s = dp.s JOIN f ON f.g = dp.g AND f.i = dp.i + 1, LATERAL (
+               SELECT ins.t AS t, 3 AS cost, 'D' AS op, CAST([] AS VARCHAR[]) AS line
+               UNION ALL SELECT k.t, CASE f.fault WHEN 'truncated' THEN 1 ELSE 0 END, 'K', [f.role || ':' || f.text] FROM kept k
+                         WHERE k.s = ins.t AND k.a = f.a AND f.fault IN ('', 'truncated')
+               UNION ALL SELECT u.t, CASE f.fault WHEN 'truncated' THEN 3 ELSE 2 END, 'R', [m.role || ':' || f.text] FROM turns u JOIN names m USING (t)
+                         WHERE u.s = ins.t AND f.fault IN ('', 'truncated')) AS e) GROUP BY g, i, t),
+sizes AS (SELECT g, count(*) AS n, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+                 count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated FROM f GROUP BY g),
+pairs AS (SELECT x.g, count(*) AS illegal FROM f x JOIN f y ON y.g = x.g AND y.i = x.i + 1 WHERE x.a || y.a NOT IN ('su', 'ua', 'au') GROUP BY x.g),
+done AS (SELECT dp.g, min({{'cost': best.cost + ins.cost, 'ops': best.ops || ins.ops, 'lines': best.lines || ins.lines}}) AS b
+         FROM dp JOIN sizes ON sizes.g = dp.g AND sizes.n = dp.i JOIN ins ON ins.s = dp.s WHERE ins.t IN (0, 3) GROUP BY dp.g)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(b.cost, 0) AS BIGINT) AS cost,
+       coalesce(b.ops, '') AS audit, sha256(coalesce(array_to_string(b.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce('=' || conv_id, '') AS g FROM conversations) AS o
+LEFT JOIN sizes USING (g) LEFT JOIN pairs USING (g) LEFT JOIN done USING (g)""")
+def op12_conversation_repair(spark: SparkSession, path: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, after planted damage."""
+    rows = _table(spark, path, "conversations")
+    repair = dialogue.Repair(dialogue.damage(rows))
+    known = rows.select(F.struct("conv_id").alias("_conv")).distinct()
+    same = lambda df, name: df.select(F.struct("conv_id").alias("_conv"), F.struct(*[c for c in df.columns if c != "conv_id"]).alias(name))
+    found = known.join(same(repair.summary(), "s"), "_conv", "left").join(same(repair.digests(), "d"), "_conv", "left")
+    counts = [F.coalesce(F.col(f"s.{c}"), F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select("_conv.conv_id", *counts, F.coalesce("s.audit", F.lit("")).alias("audit"),
+                        F.coalesce("d.sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
