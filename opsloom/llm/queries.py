@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsloom.llm import ann, bpe, dialogue, licenses, merkle, mixing, neardup, quality, secret_scan, substring, token_file, toxicity
+from opsloom.llm import ann, bpe, dialogue, licenses, merkle, mixing, nbsvm, neardup, quality, secret_scan, substring, token_file, toxicity
 from opsloom.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -314,3 +314,14 @@ def op12_conversation_repair(spark: SparkSession, path: str) -> DataFrame:
     counts = [F.coalesce(F.col(f"s.{c}"), F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return found.select("_conv.conv_id", *counts, F.coalesce("s.audit", F.lit("")).alias("audit"),
                         F.coalesce("d.sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+# --- op13 --------------------------------------------------------------------------------------
+
+@_query()
+def op13_quality_classifier(spark: SparkSession, path: str) -> DataFrame:
+    """Quality of every document; a third of the ids is held out of training."""
+    docs, labels = _documents(spark, path), _table(spark, path, "labels")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+    model = nbsvm.train(docs, labels.where(~held_out))
+    return nbsvm.score(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
