@@ -7,7 +7,7 @@ uniform shuffle of all blocks would put there. A shard then takes the next block
 orders its documents by a hash. Each permuted block is drawn once per pass over its source; the last block of a target is
 cut at a word.
 
-All steps are DataFrame operations. The rows of one block meet in one task; a source is never gathered.
+All steps are DataFrame operations. A source is never gathered, and rows of a block meet only where a target cuts it.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opsloom.functions.ordered import running_sum
 from opsloom.llm.text import SPACE_CLASS, let
 from opsloom.session import cut_lineage
 
@@ -105,7 +106,9 @@ def _uniform(*parts: Column | int) -> Column:
 def split_quotas(quotas: DataFrame, shards: int) -> DataFrame:
     """``(shard, rank, quota)`` from one row with an array ``quotas`` (by source rank): the splitting tree, level by level."""
     nodes = quotas.select(F.lit(0).alias("low"), F.lit(shards).alias("high"), "quotas")
-    for _ in range(math.ceil(math.log2(shards)) if shards > 1 else 0):
+    for level in range(math.ceil(math.log2(shards)) if shards > 1 else 0):
+        if level and level % 10 == 0:  # a task of 1,024 nodes deals them out
+            nodes = nodes.repartition("low")
         middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
         whole = F.aggregate("quotas", F.lit(0).cast("long"), lambda a, q: a + q)
         share = F.floor(whole * (middle - F.col("low")) / (F.col("high") - F.col("low"))).cast("long")
@@ -129,72 +132,103 @@ def split_quotas(quotas: DataFrame, shards: int) -> DataFrame:
 
 # --- the mix -----------------------------------------------------------------------------------
 
-def mix_plan(docs: DataFrame, source: str = "source", text: str = "text", weights: Sequence[float] = WEIGHTS,
-             share: float = SHARE, cap: float = CAP, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS,
-             keep: Sequence[str] = ("doc_id",), ids: Sequence[str] | None = None) -> DataFrame:
-    """One row per document: ``keep``, ``source``, ``size``, ``source_size``, ``target``, ``order`` and ``draws``.
-
-    ``size`` is the number of words; ``draws`` has (pass, shard, taken) for every time the mix takes the document. A
-    document is taken at most once per pass, so never more than ``ceil(cap)`` times; a source's taken words sum to its
-    rounded target. Null texts have size 0 and are never taken; a null source is a source of its own; the order inside a
-    source is a hash of ``ids`` (default: ``keep``) and the text, so reruns agree. Repeated rows are rows of their own.
-    An empty table gives no rows.
-    """
-    ids = list(ids if ids is not None else keep)
+def _sized(docs: DataFrame, source: str, text: str, ids: Sequence[str], extra: Sequence[str]) -> DataFrame:
+    """``extra`` columns with the row's source, size in words, and place in the order of its source."""
     count = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(NOT_SPACE)).cast("long")
     order = F.xxhash64(F.lit(SEED), *[F.col(c) for c in ids], F.col(text))
-    sized = cut_lineage(docs.select(*keep, F.col(source).alias("source"), count.alias("size"), order.alias("order")))
+    return docs.select(*extra, F.col(source).alias("source"), count.alias("size"), order.alias("order"))
+
+
+def _block_draws(sized: DataFrame, weights: Sequence[float], share: float, cap: float, block_words: int,
+                 shard_words: int) -> tuple[DataFrame, DataFrame]:
+    """The sources' targets, and for each block that the mix takes its size ``_all`` and draws (pass, shard, words)."""
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
     targets = cut_lineage(source_targets(totals, weights, share, cap).withColumn("blocks", F.greatest(
         F.lit(1).cast("long"), F.ceil(F.col("source_size") / block_words), F.ceil(F.col("source_rows") / BLOCK_ROWS))))
     # One figure: how many shards the targets fill.
     shards = max(1, math.ceil((targets.agg(F.sum("target")).first()[0] or 0) / shard_words))
 
-    joined = sized.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "source_rows")
-    placed = joined.withColumn("block", F.pmod("order", F.col("blocks")))
-    blocks = placed.groupBy("rank", "block").agg(F.sum("size").alias("words"), F.max("target").alias("target"),
-                                                 F.max("source_size").alias("source_size"))
+    blocks = _placed(sized, targets).groupBy("rank", "block").agg(
+        F.sum("size").alias("words"), F.max("target").alias("target"), F.max("source_size").alias("source_size"))
     passes = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("target") / F.col("source_size")).cast("int") - 1))
-    drawn = blocks.where("words > 0").withColumn("pass", F.explode(passes))
-    permuted = Window.partitionBy("rank").orderBy("pass", F.xxhash64(F.lit(SEED), "rank", "pass", "block"), "block")
-    earlier = F.coalesce(F.sum("words").over(permuted.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    drawn = (drawn.withColumn("words", F.least(F.col("words"), F.round("target").cast("long") - earlier))
-             .withColumn("number", F.row_number().over(permuted) - 1).where("words > 0"))
+    drawn = blocks.where("words > 0").withColumn("pass", F.explode(passes)).withColumn("shuffled", F.xxhash64(F.lit(SEED), "rank", "pass", "block"))
+    # A source's permuted blocks in ranges of the hash, so that no task holds all of them.
+    drawn = running_sum(drawn, ["rank"], ["pass", "shuffled", "block"], F.struct("pass", F.shiftright("shuffled", 48)),
+                        {"upto": F.col("words"), "number": F.lit(1)})
+    drawn = cut_lineage(drawn.withColumn("number", F.col("number") - 1).withColumn("_all", F.col("words")).withColumn(
+        "words", F.least(F.col("words"), F.round("target").cast("long") - F.col("upto") + F.col("words"))).where("words > 0"))
 
     quotas = targets.select("rank").join(drawn.groupBy("rank").agg(F.count(F.lit(1)).alias("quota")), "rank", "left")
     vector = quotas.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.coalesce("quota", F.lit(0)).alias("quota")))),
                                     lambda x: x["quota"]).alias("quotas")).where(F.size("quotas") > 0)
-    split = split_quotas(vector, shards)
-    upto = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = split.withColumn("from", F.coalesce(F.sum("quota").over(upto), F.lit(0))).where("quota > 0")
-    taken_by = ranges.select("rank", "shard", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("quota") - 1)).alias("number"))
-    plan = drawn.join(taken_by, ["rank", "number"]).groupBy("rank", "block").agg(
-        F.array_sort(F.collect_list(F.struct("pass", "shard", "words"))).alias("_draws"))
-
-    inside = Window.partitionBy("rank", "block").orderBy("order").rowsBetween(Window.unboundedPreceding, -1)
-    rows = placed.withColumn("_before", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(plan, ["rank", "block"], "left")
-    draws = F.transform("_draws", lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard"), F.greatest(
-        F.lit(0).cast("long"), F.least(F.col("size"), d["words"] - F.col("_before"))).alias("taken")))
-    draws = F.filter(F.coalesce(draws, F.array().cast("array<struct<pass:int,shard:int,taken:bigint>>")), lambda d: d["taken"] > 0)
-    return rows.select(*keep, "source", "size", "source_size", "target", "order", draws.alias("draws"))
-
-
-def mix(docs: DataFrame, source: str = "source", text: str = "text", **options) -> DataFrame:
+    split = running_sum(split_quotas(vector, shards), ["rank"], ["shard"], F.shiftright("shard", 12), {"upto": F.col("quota")})
+    numbers = F.sequence(F.col("upto") - F.col("quota"), F.col("upto") - 1)
+    taken_by = split.where("quota > 0").select("rank", "shard", F.explode(numbers).alias("number"))
+    return targets, cut_lineage(drawn.join(taken_by, ["rank", "number"]).groupBy("rank", "block").agg(
+        F.max("_all").alias("_all"), F.array_sort(F.collect_list(F.struct("pass", "shard", "words"))).alias("_draws")))
+
+
+def _placed(sized: DataFrame, targets: DataFrame) -> DataFrame:
+    joined = sized.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "source_rows")
+    return joined.withColumn("block", F.pmod("order", F.col("blocks"))).drop("blocks")
+
+
+def _draw(sized: DataFrame, targets: DataFrame, plan: DataFrame) -> DataFrame:
+    """``sized`` with ``source_size``, ``target`` and ``draws``.
+
+    Most blocks are drawn whole, whatever the order of their rows. The one block that ends a source's target is cut: only its
+    rows are numbered.
+    """
+    placed = _placed(sized, targets)
+    cut = F.exists("_draws", lambda d: d["words"] < F.col("_all"))
+    rows = placed.join(plan.withColumn("_cut", cut), ["rank", "block"], "left")
+    kind = "array<struct<pass:int,shard:int,taken:bigint>>"
+    whole = rows.where("NOT coalesce(_cut, false)").withColumn("draws", F.when(F.col("size") > 0, F.transform("_draws", lambda d: F.struct(
+        d["pass"].alias("pass"), d["shard"].alias("shard"), F.col("size").alias("taken")))))
+    ended = rows.where("coalesce(_cut, false)").withColumn("_twin", F.monotonically_increasing_id())
+    inside = Window.partitionBy("rank", "block").orderBy("order", "_twin").rowsBetween(Window.unboundedPreceding, -1)
+    ended = ended.withColumn("_before", F.coalesce(F.sum("size").over(inside), F.lit(0))).withColumn("draws", F.filter(
+        F.transform("_draws", lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard"), F.greatest(
+            F.lit(0).cast("long"), F.least(F.col("size"), d["words"] - F.col("_before"))).alias("taken"))), lambda d: d["taken"] > 0))
+    both = whole.unionByName(ended.drop("_twin", "_before"))
+    return both.withColumn("draws", F.coalesce("draws", F.array().cast(kind))).drop("rank", "block", "_all", "_draws", "_cut")
+
+
+def mix_plan(docs: DataFrame, source: str = "source", text: str = "text", weights: Sequence[float] = WEIGHTS,
+             share: float = SHARE, cap: float = CAP, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS,
+             keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """One row per document: ``keep``, ``source``, ``size``, ``source_size``, ``target``, ``order`` and ``draws``.
+
+    ``size`` is the number of words; ``draws`` has (pass, shard, taken) for every time the mix takes the document. A
+    document is taken at most once per pass, so never more than ``ceil(cap)`` times; a source's taken words sum to its
+    rounded target. Null texts have size 0 and are never taken; a null source is a source of its own; the order inside a
+    source is a hash of ``keep`` and the text, so reruns agree. Repeated rows are rows of their own.
+    An empty table gives no rows.
+    """
+    sized = cut_lineage(_sized(docs, source, text, keep, keep))
+    targets, plan = _block_draws(sized, weights, share, cap, block_words, shard_words)
+    return _draw(sized, targets, plan).select(*keep, "source", "size", "source_size", "target", "order", "draws")
+
+
+def mix(docs: DataFrame, source: str = "source", text: str = "text", weights: Sequence[float] = WEIGHTS, share: float = SHARE,
+        cap: float = CAP, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
     """The mixed rows, shard by shard and shuffled inside each: the columns of ``docs``, with ``text`` cut where a target ends.
 
-    A document that the mix takes twice gives two rows. Columns named ``_mix_...`` must not exist in ``docs``.
+    A document that the mix takes twice gives two rows. The blocks are planned without texts; these meet their blocks' draws
+    in one shuffle, and their shards in another.
     """
     columns = docs.columns
-    plan = mix_plan(docs.withColumn("_mix_row", F.struct(*[F.col(f"`{c}`") for c in columns])), source, text,
-                    keep=["_mix_row"], ids=[c for c in columns if c in ("doc_id",)], **options)
-    rows = plan.withColumn("_mix_draw", F.explode("draws"))
-    shuffled = F.xxhash64(F.lit(SEED), "_mix_draw.shard", "_mix_draw.pass", "order")
-    rows = rows.select("_mix_row.*", F.col("_mix_draw.shard").alias("_mix_shard"), shuffled.alias("_mix_order"),
-                       F.col("_mix_draw.taken").alias("_mix_taken"), F.col("size").alias("_mix_size"))
+    ids = [c for c in columns if c == "doc_id"]
+    targets, plan = _block_draws(cut_lineage(_sized(docs, source, text, ids, [])), weights, share, cap, block_words, shard_words)
+    row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
+    rows = _draw(_sized(docs, source, text, ids, [row]), targets, plan).withColumn("draw", F.explode("draws"))
+    shuffled = F.xxhash64(F.lit(SEED), "draw.shard", "draw.pass", "order")
     # A word with the white space behind it is one piece; white space at the start is a piece of its own.
-    pieces = F.split(F.col(text), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
-    blank = F.regexp_like(F.col(text), F.lit(r"^[\x20\x09-\x0D]")).cast("bigint")
-    first = F.array_join(F.slice(pieces, 1, (F.col("_mix_taken") + blank).cast("int")), "")
-    cut = F.when(F.col("_mix_taken") < F.col("_mix_size"), first).otherwise(F.col(text))
-    rows = rows.withColumn(text, cut)
-    return rows.repartition("_mix_shard").sortWithinPartitions("_mix_shard", "_mix_order").select(*columns)
+    whole = F.col("row").getField(text)
+    pieces = F.split(whole, r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    blank = F.regexp_like(whole, F.lit(r"^[\x20\x09-\x0D]")).cast("bigint")
+    first = F.array_join(F.slice(pieces, 1, (F.col("draw.taken") + blank).cast("int")), "")
+    cut = F.when(F.col("draw.taken") < F.col("size"), first).otherwise(whole)
+    rows = rows.select("row", cut.alias("text"), F.col("draw.shard").alias("shard"), shuffled.alias("place"))
+    ordered = rows.repartition("shard").sortWithinPartitions("shard", "place")
+    return ordered.select(*[F.col("text").alias(text) if c == text else F.col("row").getField(c).alias(c) for c in columns])
