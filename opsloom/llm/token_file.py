@@ -19,6 +19,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -131,54 +132,75 @@ class Pieces:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.lone = re.compile(r"(?<=\S) (?=\S)")
         self.limit = cache
-        self.young: dict[str, bytes | None] = {}
-        self.old: dict[str, bytes | None] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _ask(self, texts: Sequence[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(list(texts), add_special_tokens=False)]
 
-    def _learn(self, asked: set[str]) -> None:
-        """Make the pieces known; those that don't stand between lone spaces as None."""
-        if len(self.young) > self.limit:
-            self.old, self.young = self.young, {}
-        missing = asked.difference(self.young)
-        again = missing.intersection(self.old)
-        self.young.update((p, self.old[p]) for p in again)
-        plain, rare = [], []
-        for p in missing - again:
-            if not p or p[0].isspace() or p[-1].isspace():
-                self.young[p] = None
-            elif " " in p or any(s in p for s in self.special):
-                rare.append(p)
-            else:
-                plain.append(p)
-        self.young.update(zip(rare, self._ask([" " + p for p in rare])))
-        groups = [plain[at:at + 512] for at in range(0, len(plain), 512)]
-        for group, packed in zip(groups, self._ask([" " + " ".join(g) for g in groups])):
+    def _learn(self, unknown: set[str]) -> None:
+        """Make the pieces known, but for those that don't stand between lone spaces."""
+        again = {p: self.old[p] for p in unknown if p in self.old}
+        self.young.update(again)
+        plain = [p for p in unknown if p and p not in again and not p[0].isspace() and not p[-1].isspace()]
+        for at in range(0, len(plain), 512):
+            group = plain[at:at + 512]
+            joined = " " + " ".join(group)
+            if any(s in joined for s in self.special):
+                rare = [p for p in group if any(s in p for s in self.special)]
+                self.young.update(zip(rare, self._ask([" " + p for p in rare])))
+                group = [p for p in group if p not in self.young]
+                joined = " " + " ".join(group)
+            packed = self._ask([joined])[0]
             starts = (np.flatnonzero(self.opens[np.frombuffer(packed, "<u4")]) * 4).tolist()
             self.young.update(zip(group, [packed[a:b] for a, b in zip(starts, [*starts[1:], len(packed)])]))
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        split = [t.split(" ") for t in texts]
-        self._learn(set().union(*[p[1:] for p in split]))
-        get = self.young.__getitem__
-        found: list[bytes | None] = []
-        for pieces in split:
-            ids = list(map(get, pieces[1:]))
-            bad = None in ids or not pieces[0] or pieces[0][-1].isspace() or pieces[0][0].isspace()
-            found.append(None if bad else b"".join(ids))
+        """Little-endian 32-bit ids of each text.
+
+        The pieces of all texts are numbered by Arrow, so that Python looks at each different piece once; numpy then gathers
+        the ids of all pieces.
+        """
+        if not texts:
+            return []
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        first = np.asarray(split.offsets).astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        which, different = np.asarray(coded.indices), coded.dictionary.to_pylist()
+        known = list(map(self.young.get, different))
+        missing = {p for p, x in zip(different, known) if x is None}
+        if missing:
+            self._learn(missing)
+            known = list(map(self.young.get, different))
+        # The first piece has no space before it.
+        begins = [different[i] for i in which[first[:-1]]]
+        heads = self._ask(begins)
+        values = np.frombuffer(b"".join([x or b"" for x in known] + heads), dtype="<u4")
+        sizes = np.fromiter((len(x or b"") // 4 for x in (*known, *heads)), dtype=np.int64, count=len(known) + len(heads))
+        unit = which.astype(np.int64)
+        unit[first[:-1]] = len(known) + np.arange(len(heads))
+        counts = sizes[unit]
+        ends = np.cumsum(counts)
+        starts = (np.cumsum(sizes) - sizes)[unit]
+        ids = values[np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1])]
+        bounds = np.concatenate(([0], ends[first[1:] - 1]))
         # Texts with runs of white space, or white space at an end, are cut at lone spaces only.
-        wide = [i for i, x in enumerate(found) if x is None and texts[i]]
-        cut = [self.lone.split(texts[i]) for i in wide]
+        bad = np.array([x is None for x in known] + [not p or p[0].isspace() or p[-1].isspace() for p in begins])[unit]
+        wide = np.flatnonzero(np.logical_or.reduceat(bad, first[:-1])).tolist()
+        found = [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+        for i, packed in zip(wide, self._wide([texts[i] for i in wide])):
+            found[i] = packed
+        return found
+
+    def _wide(self, texts: Sequence[str]) -> list[bytes]:
+        cut = [self.lone.split(t) for t in texts]
         extra = dict(zip(again := sorted({p for pieces in cut for p in pieces[1:-1]}), self._pieces(again)))
-        tails = self._ask([" " + pieces[-1] for pieces in cut if len(pieces) > 1])
-        tail = iter(tails)
-        for i, pieces in zip(wide, cut):
-            split[i] = pieces
-            found[i] = b"".join(map(extra.__getitem__, pieces[1:-1])) + (next(tail) if len(pieces) > 1 else b"")
-        heads = self._ask([pieces[0] for pieces in split])
-        return [head + (x or b"") for head, x in zip(heads, found)]
+        tails = iter(self._ask([" " + pieces[-1] for pieces in cut if len(pieces) > 1]))
+        heads = self._ask([pieces[0] for pieces in cut])
+        return [head + b"".join(map(extra.__getitem__, pieces[1:-1])) + (next(tails) if len(pieces) > 1 else b"")
+                for head, pieces in zip(heads, cut)]
 
     def _pieces(self, pieces: Sequence[str]) -> list[bytes]:
         known = [self.young.get(p) for p in pieces]
@@ -218,7 +240,7 @@ def _code(path: str, end_id: int, part_tokens: int):
             at = 0
             while at < batch.num_rows:
                 some, size, low = [], 0, at
-                while at < batch.num_rows and (not some or size < 2 << 20):
+                while at < batch.num_rows and (not some or size < 8 << 20):
                     some.append(texts[at].as_py() or "")
                     size += len(some[-1])
                     at += 1
