@@ -196,14 +196,12 @@ def calibrate(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return max(float(w[0]), 1e-3), float(w[1])
 
 
-def fit(counts: np.ndarray, totals: np.ndarray, sample: tuple[list[np.ndarray], np.ndarray], held: tuple[list[np.ndarray], np.ndarray]) -> Model:
-    """The model from class counts, fitting rows and calibrating rows, each as (cells, labels)."""
-    scale = log_ratios(counts, totals)
+def fit(scale: np.ndarray, sample: tuple[list[np.ndarray], np.ndarray], held: tuple[list[np.ndarray], np.ndarray]) -> Model:
+    """The model from the cells' ratios, fitting rows and calibrating rows, each as (cells, labels)."""
     features = np.flatnonzero(scale)
     place = np.zeros(len(scale), dtype=np.int64)
     place[features] = np.arange(len(features))
     rows, labels = sample
-    rows = [r[scale[r] != 0] for r in rows]
     values = []
     for r in rows:
         v = scale[r]
@@ -237,12 +235,24 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(seen.astype(np.int32)), pa.array(sums[0, seen]), pa.array(sums[1, seen])], names=["cell", "low", "high"])
 
 
-def _sample(rows: DataFrame, total: int, most: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """About ``most`` rows of the smallest id hashes, and never more; a repeated id counts once, with its least cells."""
+def _only(features: np.ndarray):
+    """A function for ``mapInArrow`` that leaves no cells but the features."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = (np.frombuffer(c.as_buffer() or b"", dtype=np.int32) for c in batch.column(2))
+            packed = pa.array([c[np.isin(c, features)].tobytes() for c in found], pa.binary())
+            yield pa.record_batch([batch.column(0), batch.column(1), packed], names=batch.schema.names)
+    return run
+
+
+def _sample(rows: DataFrame, total: int, most: int, features: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """About ``most`` rows of the smallest id hashes, and never more, with their features; a repeated id counts once."""
     span = 1 << 62
     share = min(1.0, 0.95 * most / total) if total else 0.0
     spot = F.shiftrightunsigned(F.xxhash64(F.lit(77), "key"), 2)
     picked = rows.where(spot < int(span * share)) if share < 1 else rows
+    kind = rows.schema["key"].dataType.simpleString()
+    picked = picked.select("key", "label", "cells").mapInArrow(_only(features), f"key {kind}, label int, cells binary")
     table = picked.groupBy("key").agg(F.min(F.struct("label", "cells")).alias("r")).orderBy("key").limit(most).select("r.*").toArrow()
     found = [np.frombuffer(c.as_buffer() or b"", dtype=np.int32) for c in table.column("cells")]
     return found, np.array(table.column("label").to_pylist(), dtype=np.int64)
@@ -254,7 +264,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
     Rows of ``labels`` with a null key or label are left out; a key with several labels has the smallest. Repeated documents
     count as often as they occur, but enter the fitted sample once per key. With one class or no labelled document the model
     gives its (smoothed) share. Null texts count as empty. The driver gets the cell counts (at most ``CELLS``) and ``sample``
-    rows for each of fit and calibration.
+    rows, of at most ``FEATURES`` cells, for each of fit and calibration.
     """
     spark = docs.sparkSession
     known = (labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where("key IS NOT NULL AND label IN (0, 1)")
@@ -276,7 +286,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
         F.count(F.lit(1)).alias("n"), F.approx_count_distinct("key").alias("ids")).collect()}
     totals = np.array([sizes.get((False, c), (0, 0))[0] for c in (0, 1)], dtype=float)
     ids = [sum(sizes.get((held, c), (0, 0))[1] for c in (0, 1)) for held in (False, True)]
-    return fit(counts, totals, _sample(counted, ids[0], sample), _sample(rows.where("spot = 0"), ids[1], sample))
+    scale = log_ratios(counts, totals)
+    features = np.flatnonzero(scale).astype(np.int32)
+    return fit(scale, _sample(counted, ids[0], sample, features), _sample(rows.where("spot = 0"), ids[1], sample, features))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
