@@ -40,7 +40,6 @@ BASE = (Rule("too_few_words", "n_words", low=50), Rule("repeated_windows", "n_re
 
 #: Length, symbol, stop-word and line ratios. Limits leave a margin around ordinary prose.
 RULES = (
-    Rule("too_many_words", "n_words", high=2_000_000),
     Rule("mean_word_length", "word_chars", "n_words", low=2.5, high=12.0),
     Rule("symbols_per_word", "n_symbols", "n_words", high=0.1),
     Rule("exclamations_per_word", "n_exclamations", "n_words", high=0.3),
