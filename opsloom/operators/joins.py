@@ -101,17 +101,19 @@ def ipv4(address: str | Column) -> Column:
 def cidr_match(addresses: DataFrame, address: str, inventory: DataFrame, fields: Sequence[str]) -> DataFrame:
     """``(address, prefix_len, *fields)`` of the longest matching prefix.
 
-    Works on distinct addresses: each expands to one row per prefix length (0 to 32) and meets the inventory in one
-    equi-join on (length, network). Inventory rows of other address families or with malformed networks match nothing.
+    Works on distinct addresses: each is parsed once, expands to one row per prefix length in use (33 at most) and meets the
+    inventory in one equi-join on (length, network). Inventory rows of other address families or with malformed networks
+    match nothing, and neither do malformed addresses.
     """
     nets = inventory.select(F.substring_index("cidr", "/", -1).cast("int").alias("prefix_len"),
                             ipv4(F.substring_index("cidr", "/", 1)).alias("_ip"), *fields)
     shifted = lambda ip: F.floor(ip / F.pow(F.lit(2.0), F.lit(32) - F.col("prefix_len"))).cast("bigint")
     nets = nets.withColumn("_net", shifted(F.col("_ip"))).drop("_ip")
     nets = nets.where(F.col("prefix_len").between(0, 32) & F.col("_net").isNotNull())
-    probes = (addresses.select(address).where(ipv4(address).isNotNull()).distinct()
-              .withColumn("prefix_len", F.explode(F.sequence(F.lit(0), F.lit(32))))
-              .withColumn("_net", shifted(ipv4(address))))
+    lengths = nets.agg(F.collect_set("prefix_len").alias("_lengths"))
+    # The array between parse and use keeps the parsed address from being put in again wherever it is named.
+    probes = (addresses.select(address).distinct().withColumn("_ip", F.explode(F.array(ipv4(address))))
+              .withColumn("prefix_len", F.explode(lengths.scalar())).withColumn("_net", shifted(F.col("_ip"))).drop("_ip"))
     packed = F.struct("prefix_len", *fields)
     best = probes.join(nets, ["prefix_len", "_net"]).groupBy(address).agg(F.max_by(packed, "prefix_len").alias("_best"))
     return best.select(address, "_best.*")

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from opsloom.operators.limits import anchored_fold
 from opsloom.operators.ranking import latest_by
 from opsloom.plans.changes import ANCHORS
 from opsloom.plans.ranking import stream_entries
 from opsloom.plans.registry import query
 from opsloom.plans.roles import EV, PRODUCTS, WEB, ev, products, sql, web
 from opsloom.session import work_path
-from opsloom.streaming import log, runner, windows as win
+from opsloom.streaming import log, runner, stateful, windows as win
 
 
 @query("J1", sql(EV) + "SELECT event_id FROM ev WHERE value > 10")
@@ -252,10 +253,45 @@ def run_tumbling_stream(t):
     return runner.run_updates(counts, "tumbling", t.spark, ["start", "end"])
 
 
+# Events arrive in three micro-batches of half a month each; some of them one batch late. A last heartbeat ends all state.
+HALF, LATE_BY = 15, 7
+ARRIVALS = f"""a AS (SELECT *, epoch_us(ts) AS us, (day(ts) - 1) // {HALF} + CASE WHEN event_id % {LATE_BY} = 3 THEN 1 ELSE 0 END AS slot FROM events),
+tops AS (SELECT slot, max(us) // 1000 AS top FROM a GROUP BY 1)"""
+
+
+def _marks(days):
+    """SQL: the watermark (us) when each micro-batch begins."""
+    return f"marks AS (SELECT s.slot, (max(m.top) - {days * 86400000}) * 1000 AS mark FROM tops s LEFT JOIN tops m ON m.slot < s.slot GROUP BY 1)"
+
+
+def _arrivals(t):
+    slot = F.floor((F.dayofmonth("ts") - 1) / HALF) + F.when(F.col("event_id") % LATE_BY == 3, 1).otherwise(0)
+    return [t.events.where(slot == n) for n in range(3)] + [stateful.heartbeat(t.events, "ts", 90 * 86400)]
+
+
+@query("J5 J2", sql(ARRIVALS, _marks(3), """j AS (SELECT a.*, (us // 86400000000 + 1) * 86400000000 <= mark AS late FROM a JOIN marks USING (slot))""") + """
+SELECT event_type, 'late' AS kind, NULL AS start, NULL AS "end", NULL AS n, event_id FROM j WHERE late
+UNION ALL SELECT event_type, 'window', date_trunc('day', ts), date_trunc('day', ts) + INTERVAL 1 DAY, count(*), NULL FROM j WHERE late IS NOT true GROUP BY 1, 3""")
+def run_windows_and_late(t):
+    build = lambda s: stateful.windows_and_late(s, "ts", 86400, "event_type", "event_id", "3 days")
+    return stateful.run_arrivals(t.spark, _arrivals(t), build, "windows")
+
+
+@query("J4 J5", sql(ARRIVALS, _marks(3), """j AS (SELECT a.*, us + 21600000000 <= mark AS late FROM a JOIN marks USING (slot))""",
+                    """l AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY user_id ORDER BY us, event_id) < 21600000000 THEN 0 ELSE 1 END AS opens FROM j WHERE late IS NOT true)""",
+                    """s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY us, event_id) AS sid FROM l)""") + """
+SELECT user_id, 'late' AS kind, NULL AS start, NULL AS "end", NULL AS n, event_id FROM j WHERE late
+UNION ALL SELECT user_id, 'session', min(ts), max(ts) + INTERVAL 6 HOUR, count(*), NULL FROM s GROUP BY user_id, sid""")
+def run_sessions_and_late(t):
+    build = lambda s: stateful.sessions_and_late(s, "ts", 21600, "user_id", "event_id", "3 days")
+    return stateful.run_arrivals(t.spark, _arrivals(t), build, "sessions-late")
+
+
 @query("J4 J5", SESSIONS)
 def run_session_stream(t):
-    timed = win.with_event_time(_stream(t), "ts", "10 minutes")
-    return runner.run_complete(win.sessions(timed, "user_id", "ts", "event_id", 21600), "sessions", t.spark)
+    # No event is later than the watermark's delay, so the stream finds the sessions of the whole table.
+    build = lambda s: stateful.sessions_and_late(s, "ts", 21600, "user_id", "event_id", "31 days")
+    return stateful.run_arrivals(t.spark, _arrivals(t), build, "sessions").select("start", "end", "user_id", "n")
 
 
 @query("J6", "SELECT user_id, event_type, CAST(sum(CASE WHEN event_type = 'error' THEN -1 ELSE 1 END) AS BIGINT) AS quantity FROM events GROUP BY 1, 2")
@@ -289,17 +325,39 @@ def run_dead_letter_stream(t):
     return runner.run_to_files(bad.select("event_id", "error"), "dead-letters", t.spark)
 
 
-@query("J19", "SELECT DISTINCT user_id, event_type FROM events")
+CONTENT = "c AS (SELECT event_id, ts, user_id || '/' || event_type AS content FROM events)"
+CONTENT_ANCHORS = """ca AS (SELECT content, min(ts) AS anchor FROM c GROUP BY 1
+  UNION ALL SELECT content, nxt FROM (SELECT ca.content, (SELECT min(ts) FROM c WHERE c.content = ca.content AND c.ts >= ca.anchor + INTERVAL 2 DAY) AS nxt FROM ca) WHERE nxt IS NOT NULL)"""
+
+
+@query("J19", sql(CONTENT, CONTENT_ANCHORS, recursive=True) + """SELECT content, event_id FROM (SELECT c.content, event_id,
+row_number() OVER (PARTITION BY c.content, anchor ORDER BY c.ts, event_id) AS rn FROM c ASOF JOIN ca ON c.content = ca.content AND c.ts >= ca.anchor) WHERE rn = 1""")
 def run_dedup_stream(t):
-    keyed = _stream(t).withColumn("content", F.concat_ws("/", F.col("user_id").cast("string"), "event_type"))
-    fresh = log.dedup(keyed, "content", "ts", "event_id", 40 * 86400).select("user_id", "event_type")
-    return runner.run_to_files(fresh, "dedup", t.spark)
+    # The first message of a content opens an interval of two days; later ones in it are dropped.
+    keyed = [f.withColumn("content", F.concat_ws("/", F.col("user_id").cast("string"), "event_type")) for f in _arrivals(t)]
+    build = lambda s: stateful.limiter_by_time(s, "ts", "content", "event_id", anchored_fold(1, 2 * 86400 * 1_000_000), 2 * 86400, "16 days")
+    return stateful.run_arrivals(t.spark, keyed, build, "dedup").where("allowed").select("content", "event_id")
 
 
 @query("E21", sql(ANCHORS, recursive=True) + """SELECT user_id, event_id, rn <= 2 AS allowed FROM (SELECT e.user_id, event_id,
 row_number() OVER (PARTITION BY e.user_id, anchor ORDER BY e.ts, event_id) AS rn FROM events e ASOF JOIN a ON e.user_id = a.user_id AND e.ts >= a.anchor)""")
 def run_limiter_stream(t):
-    return runner.run_to_files(runner.rate_anchored_stream(_stream(t, 1), "user_id", "ts", "event_id", 2, 86400), "limiter", t.spark)
+    # Events come up to 15 days late; the watermark waits for 16.
+    build = lambda s: stateful.limiter_by_time(s, "ts", "user_id", "event_id", anchored_fold(2, 86400 * 1_000_000), 86400, "16 days")
+    return stateful.run_arrivals(t.spark, _arrivals(t), build, "limiter").select("user_id", "event_id", "allowed")
+
+
+@query("E21 J5", sql(
+    ARRIVALS, _marks(3), "j AS (SELECT a.*, (us + 999) // 1000 * 1000 <= mark AS late FROM a JOIN marks USING (slot))",
+    "fine AS (SELECT * FROM j WHERE late IS NOT true)", """an AS (SELECT user_id, min(ts) AS anchor FROM fine GROUP BY 1
+  UNION ALL SELECT user_id, nxt FROM (SELECT an.user_id, (SELECT min(ts) FROM fine e WHERE e.user_id = an.user_id AND e.ts >= an.anchor + INTERVAL 1 DAY) AS nxt FROM an) WHERE nxt IS NOT NULL)""",
+    recursive=True) + """
+SELECT user_id, 'late' AS kind, event_id, NULL AS allowed FROM j WHERE late
+UNION ALL SELECT user_id, 'decided', event_id, rn <= 2 FROM (SELECT e.user_id, event_id,
+row_number() OVER (PARTITION BY e.user_id, anchor ORDER BY e.ts, event_id) AS rn FROM fine e ASOF JOIN an ON e.user_id = an.user_id AND e.ts >= an.anchor)""")
+def run_limiter_and_late(t):
+    build = lambda s: stateful.limiter_by_time(s, "ts", "user_id", "event_id", anchored_fold(2, 86400 * 1_000_000), 86400, "3 days")
+    return stateful.run_arrivals(t.spark, _arrivals(t), build, "limiter-late")
 
 
 @query("J23", "SELECT o_orderkey, o_totalprice FROM orders")

@@ -1,14 +1,12 @@
-"""Running streams: file sinks with checkpoints, idempotent batches, keyed state."""
+"""Running streams: file sinks with checkpoints, idempotent batches."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from opsloom.session import work_path
 
@@ -40,13 +38,6 @@ def run_to_batches(stream: DataFrame, label: str, spark: SparkSession, mode: str
     stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", state).foreachBatch(sink).start().awaitTermination()
 
 
-def run_complete(stream: DataFrame, label: str, spark: SparkSession) -> DataFrame:
-    """Final table of an aggregation in complete mode: the last micro-batch holds everything."""
-    out = work_path(spark, label)
-    run_to_batches(stream, label, spark, "complete", lambda df, _: df.write.mode("overwrite").parquet(out))
-    return spark.read.schema(stream.schema).parquet(out)
-
-
 def run_updates(stream: DataFrame, label: str, spark: SparkSession, keys: list[str]) -> DataFrame:
     """Final table of an aggregation in update mode.
 
@@ -87,30 +78,3 @@ def fan_out_sinks(path: str, column: str) -> Callable[[DataFrame, int], None]:
 def deliver(stream: DataFrame, path: str, checkpoint: str, every: str) -> Any:
     """Buffered delivery: one write per interval; size bounds sit on the source (``maxFilesPerTrigger``)."""
     return stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(processingTime=every).start(path)
-
-
-def rate_anchored_stream(stream: DataFrame, key: str, ts: str, row_id: str, limit: int, seconds: float) -> DataFrame:
-    """Streaming form of the anchored limiter: one window start and count per key as state.
-
-    Each micro-batch is folded in time order per key; input must arrive in time order across batches.
-    A key's rows of one micro-batch meet in one task, so bound the batch at the source
-    (``maxFilesPerTrigger``, ``maxBytesPerTrigger`` or ``maxOffsetsPerTrigger``).
-    """
-    span = int(seconds * 1_000_000)
-    names = {"key": stream.schema[key].dataType.simpleString(), "id": stream.schema[row_id].dataType.simpleString()}
-
-    def fold(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, used = state.get if state.exists else (None, 0)
-        rows = pd.concat(frames).sort_values(["us", row_id])
-        flags = []
-        for now in rows["us"].tolist():
-            if start is None or now >= start + span:
-                start, used = now, 0
-            used = min(used + 1, limit + 1)
-            flags.append(used <= limit)
-        state.update((start, used))
-        yield pd.DataFrame({key: rows[key], row_id: rows[row_id], "allowed": flags})
-
-    us = F.unix_micros(F.col(ts).cast("timestamp")).alias("us")
-    return stream.select(key, us, row_id).groupBy(key).applyInPandasWithState(
-        fold, f"{key} {names['key']}, {row_id} {names['id']}, allowed boolean", "start bigint, used int", "append", GroupStateTimeout.NoTimeout)

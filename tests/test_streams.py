@@ -1,13 +1,16 @@
 """Streams: equal to the batch form, late rows, state across micro-batches, repeated batches."""
 
 import datetime
+import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from opsloom.operators import limits
 from opsloom.operators.ranking import latest_by
 from opsloom.session import work_path
 from opsloom.sources.scan import read_stream
-from opsloom.streaming import log, runner, windows
+from opsloom.streaming import log, runner, stateful, windows
 
 
 def rows(df):
@@ -28,7 +31,8 @@ def test_windows_equal_batch(spark, data):
     for build in (lambda d: windows.tumbling(d, "ts", "1 hour", ["event_type"]),
                   lambda d: windows.sliding(d, "ts", "2 hours", "1 hour"),
                   lambda d: windows.downsample(d.withColumn("value", F.col("value").cast("decimal(18,2)")), "ts", "value", "1 day", "avg")):
-        assert rows(runner.run_complete(build(stream()), "equal", spark)) == rows(build(events))
+        keys = [c for c in build(events).columns if c in ("start", "end", "event_type")]
+        assert rows(runner.run_updates(build(stream()), "equal", spark, keys)) == rows(build(events))
 
 
 def test_late_rows_are_dropped(spark):
@@ -42,15 +46,64 @@ def test_late_rows_are_dropped(spark):
     assert [(r["start"].hour, r["n"]) for r in out.orderBy("start").collect()] == [(12, 3)]
 
 
-def test_limiter_state_spans_batches(spark):
-    made = [("a", datetime.datetime(2024, 1, 1, 0, 0, s), s) for s in range(0, 60, 5)]
-    df = spark.createDataFrame(made, "k string, ts timestamp_ntz, id long")
-    path = work_path(spark, "limits")
-    for number in range(4):
-        df.where(F.floor(F.col("id") / 15) == number).coalesce(1).write.parquet(f"{path}/f{number}")
-    stream = read_stream(spark, path + "/*", df.schema, maxFilesPerTrigger="1")
-    out = runner.run_to_files(runner.rate_anchored_stream(stream, "k", "ts", "id", 2, 20), "limits-out", spark)
-    assert [r["id"] for r in out.where("allowed").orderBy("id").collect()] == [0, 5, 20, 25, 40, 45]
+BASE = datetime.datetime(2024, 1, 1)
+EVENTS = "k string, ts timestamp_ntz, id long"
+
+
+def arrivals(spark, batches):
+    """Micro-batches of (key, second, id); a second of None is a row without a time."""
+    at = lambda s: None if s is None else BASE + datetime.timedelta(seconds=s)
+    return [spark.createDataFrame([(k, at(s), i) for k, s, i in rows], EVENTS) for rows in batches]
+
+
+def test_limiter_decides_in_event_time_order(spark):
+    """Requests arrive in any order; the decisions are those of one pass in time order, and no state stays."""
+    rng = random.Random(3)
+    made = [(rng.choice(["a", "a", None, "c"]), s, s) for s in range(0, 300)]
+    late_by = {i: rng.randrange(3) for _, _, i in made}
+    batches = [[r for r in made if r[1] // 100 + late_by[r[2]] == n] for n in range(5)] + [[(None, 10_000, None)]]
+    for b in batches:
+        rng.shuffle(b)
+    left = []
+    build = lambda s: stateful.limiter_by_time(s, "ts", "k", "id", limits.anchored_fold(2, 20_000_000), 20, "300 seconds")
+    out = stateful.run_arrivals(spark, arrivals(spark, batches), build, "limits", left)
+    got = {r["id"]: (r["kind"], r["allowed"]) for r in out.collect()}
+    want = {}
+    for key in {k for k, _, _ in made}:
+        mine = sorted((s * 1_000_000, i) for k, s, i in made if k == key)
+        flags, _ = limits.anchored_fold(2, 20_000_000)(np.array([m[0] for m in mine]), None, None)
+        want |= {i: ("decided", bool(f)) for (_, i), f in zip(mine, flags)}
+    assert got == want
+    assert left[0] > 0 and left[-1] == 0
+
+
+def test_late_rows_come_out_and_state_ends(spark):
+    batches = [[("a", 10, 1), ("a", 70, 2), (None, 15, 3)], [("a", 130, 4), ("a", 20, 5)], [("a", 30, 6), ("b", None, 7), (None, 200, 8)], [(None, 9_000, None)]]
+    left = []
+    build = lambda s: stateful.windows_and_late(s, "ts", 60, "k", "id", "60 seconds")
+    out = stateful.run_arrivals(spark, arrivals(spark, batches), build, "late", left).collect()
+    windows_ = sorted((str(r["k"]), (r["start"] - BASE).seconds, r["n"]) for r in out if r["kind"] == "window")
+    # After the second batch the watermark is 70 s: row 6 is late, row 5 came in time.
+    assert windows_ == [("None", 0, 1), ("None", 180, 1), ("a", 0, 2), ("a", 60, 1), ("a", 120, 1)]
+    assert [(r["kind"], r["id"]) for r in out if r["kind"] != "window"] in ([("late", 6), ("untimed", 7)], [("untimed", 7), ("late", 6)])
+    assert left[-1] == 0
+
+
+def test_sessions_merge_across_batches(spark):
+    rng = random.Random(5)
+    made = [(rng.choice("ab"), rng.randrange(0, 900), i) for i in range(120)]
+    batches = [[r for r in made if r[1] // 300 + (r[2] % 4 == 0) == n] for n in range(4)] + [[(None, 50_000, None)]]
+    left = []
+    out = stateful.run_arrivals(spark, arrivals(spark, batches), lambda s: stateful.sessions_and_late(s, "ts", 12, "k", "id", "400 seconds"), "sessions", left)
+    got = sorted((r["k"], (r["start"] - BASE).seconds, (r["end"] - BASE).seconds, r["n"]) for r in out.collect())
+    want = []
+    for key in "ab":
+        for s in sorted(s for k, s, _ in made if k == key):
+            if want and want[-1][0] == key and s - (want[-1][2] - 12) < 12:
+                want[-1] = (key, want[-1][1], s + 12, want[-1][3] + 1)
+            else:
+                want.append((key, s, s + 12, 1))
+    assert got == sorted(want) and left[-1] == 0
 
 
 def test_repeated_batch_changes_nothing(spark):
