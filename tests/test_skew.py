@@ -102,26 +102,43 @@ def test_fixed_window_salts(df, rows):
 
 
 FOLDS = {
-    "anchored": (limits.anchored_fold(3, 100), 100), "sliding": (limits.sliding_fold(3, 100), 100),
-    "token": (limits.token_fold(3, 40), 120), "leaky": (limits.leaky_fold(2, 40), 120),
+    "anchored": (limits.anchored_fold(3, 100), {"reset_us": 100, "harmless": limits._within(3, 100)}),
+    "sliding": (limits.sliding_fold(3, 100), {"reset_us": 100, "harmless": limits._within(3, 100)}),
+    "token": (limits.token_fold(3, 40), {"cost_us": 40, "harmless": limits._below(120, 40)}),
+    "leaky": (limits.leaky_fold(2, 40), {"cost_us": 40, "harmless": limits._below(120, 40)}),
 }
 
 
 @pytest.mark.parametrize("name", sorted(FOLDS))
-@pytest.mark.parametrize("max_rows", [10**6, 400, 60, 11])
-def test_folds_equal_one_pass_per_key(df, rows, name, max_rows):
-    fold, reset = FOLDS[name]
-    got = {r["id"]: r["allowed"] for r in limits.fold_by_key(df, "k", "us", "id", fold, reset, max_rows=max_rows, chunk_us=1000).collect()}
+@pytest.mark.parametrize("chunk_us", [10**9, 1000, 70])
+def test_folds_equal_one_pass_per_key(df, rows, name, chunk_us):
+    fold, options = FOLDS[name]
+    got = {r["id"]: r["allowed"] for r in limits.fold_by_key(df, "k", "us", "id", fold, chunk_us=chunk_us, **options).collect()}
     assert len(got) == len(rows)
     for group in by_key(rows).values():
         flags, _ = fold(np.array([r[1] for r in group]), np.empty((len(group), 0)), None)
         assert [got[r[2]] for r in group] == flags.tolist()
 
 
+def test_busy_periods_split_a_key_that_never_pauses(spark):
+    """A hot key below its rate has many periods, and none of them is decided request by request."""
+    df = spark.createDataFrame([("hot", 45 * i + (i % 3), i) for i in range(600)], "k string, us long, id long")
+    segments = limits._busy_periods(df, "k", "us", "id", 40, 500).groupBy("_seg").count().collect()
+    assert len(segments) > 300
+
+    def deny(times, amounts, state):
+        return np.zeros(len(times), dtype=bool), [0]
+    found = limits.fold_by_key(df, "k", "us", "id", deny, cost_us=40, harmless=limits._below(120, 40))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") <= 2  # the input, also behind the chunks' summaries
+    # Only the last period of a batch, which may go on, is decided request by request.
+    assert sum(r["allowed"] for r in found.collect()) >= 600 - 4 * 4
+
+
 def test_sized_requests_in_slices(spark, rows):
     stock = spark.createDataFrame([("hot", 900), *[(f"k{i}", 40) for i in range(6)]], "k string, stock long")
     asks = spark.createDataFrame([(k, us, i, abs(v)) for k, us, i, v in rows], "k string, us long, id long, want long").withColumn("ts", from_micros("us"))
-    got = {r["id"]: r["allowed"] for r in limits.decrement_by(stock, asks, "k", "stock", "want", "ts", "id", max_rows=150, chunk_us=1000).collect()}
+    got = {r["id"]: r["allowed"] for r in limits.decrement_by(stock, asks, "k", "stock", "want", "ts", "id").collect()}
     left = {"hot": 900, **{f"k{i}": 40 for i in range(6)}}
     for k, _, i, v in sorted(rows, key=lambda r: (r[1], r[2])):
         ok = abs(v) <= left[k]
