@@ -175,7 +175,7 @@ def _pauses(rows: DataFrame, key: str, us: str, row_id: str, reset_us: int, chun
 
 
 def fold_by_key(df: DataFrame, key: str, us: str, row_id: str, fold: Fold, reset_us: int | None = None, cost_us: int | None = None,
-                amounts: list[str] | None = None, harmless: Harmless | None = None, chunk_us: int = 3_600_000_000) -> DataFrame:
+                amounts: list[str] | None = None, harmless: Harmless | None = None, chunk_us: int = 86_400_000_000) -> DataFrame:
     """``(key, us, row_id, allowed)`` from a per-key fold in time order.
 
     A key is cut into segments that each begin with a fresh limiter: busy periods, where the limiter drains steadily

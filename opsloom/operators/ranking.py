@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opsloom.functions.ordered import first_n, global_position, position, running_sum
@@ -145,6 +145,65 @@ def replay_from(snapshots: DataFrame, events: DataFrame, key: str, seq: str, amo
             .select(key, (F.coalesce("_base", F.lit(0)) + F.coalesce("_later", F.lit(0))).alias("balance")))
 
 
+# --- order-statistics directory ---------------------------------------------------------------
+
+class Ordered:
+    """A table stored once in one total order, with a directory of how many rows each of its parts holds.
+
+    The rows are range-partitioned and sorted; each partition is a folder. A position is found by the running counts of the
+    directory (one row per part), and only the part or parts that hold it are opened, so a deep page costs what the first
+    one does. Null order values come first in an ascending column and last in a descending one.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, order: Sequence[tuple[str, bool]]) -> None:
+        self.spark, self.path, self.order = spark, path, list(order)
+
+    @staticmethod
+    def write(df: DataFrame, path: str, order: Sequence[tuple[str, bool]], parts: int | None = None) -> Ordered:
+        """Store ``df``, ordered by (column, descending) pairs that tell all rows apart, in ``parts`` (default: Spark's)."""
+        keys = [F.desc(c) if down else F.asc(c) for c, down in order]
+        ranged = df.repartitionByRange(parts, *keys) if parts else df.repartitionByRange(*keys)
+        placed = ranged.withColumn("_part", F.spark_partition_id())
+        placed.sortWithinPartitions("_part", *keys).write.partitionBy("_part").parquet(f"{path}/rows")
+        stored = Ordered(df.sparkSession, path, order)
+        counts = stored._rows().groupBy("_part").agg(F.count(F.lit(1)).alias("rows"))
+        upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+        counts.withColumn("upto", F.sum("rows").over(upto)).coalesce(1).write.parquet(f"{path}/directory")
+        return stored
+
+    def _rows(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/rows")
+
+    def directory(self) -> DataFrame:
+        """``_part, rows, upto``: one row per part that has rows."""
+        return self.spark.read.schema("_part int, rows bigint, upto bigint").parquet(f"{self.path}/directory")
+
+    def size(self) -> int:
+        """Number of rows, from the directory."""
+        return self.directory().agg(F.max("upto")).first()[0] or 0
+
+    def slice(self, start: int, stop: int) -> DataFrame:
+        """Rows at positions ``start`` to ``stop`` (both included, negative ones from the end), with ``pos`` from 0.
+
+        The directory's rows of the parts hit come to the driver: as many as parts hold the range.
+        """
+        if start < 0 or stop < 0:
+            n = self.size()
+            start, stop = (max(0, i + n) if i < 0 else i for i in (start, stop)) if stop >= -n else (1, 0)
+        hit = self.directory().where((F.col("upto") > start) & (F.col("upto") - F.col("rows") <= stop)).collect()
+        rows = self._rows().where(F.col("_part").isin([r["_part"] for r in hit]))
+        before = F.coalesce(*[F.when(F.col("_part") == r["_part"], F.lit(r["upto"] - r["rows"])) for r in hit]) if hit else F.lit(0)
+        keys = [F.desc(c) if down else F.asc(c) for c, down in self.order]
+        inside = F.row_number().over(Window.partitionBy("_part").orderBy(*keys)) - 1
+        numbered = rows.withColumn("pos", (before + inside).cast("bigint"))
+        return numbered.where(F.col("pos").between(start, stop)).drop("_part")
+
+    def page(self, number: int, size: int) -> DataFrame:
+        """Page ``number`` (from 1) with ``total`` and ``page``."""
+        found = self.slice((number - 1) * size, number * size - 1)
+        return found.withColumns({"total": F.lit(self.size()).cast("bigint"), "page": F.lit(number)})
+
+
 # --- pages ------------------------------------------------------------------------------------
 
 def page(df: DataFrame, skip: int, limit: int, newest: str, row_id: str, category: Column | None = None) -> DataFrame:

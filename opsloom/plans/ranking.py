@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsloom.functions.ordered import slots
@@ -34,6 +37,14 @@ def zrange_mixed_ends(t):
     return op.zrange(zset(t), 3, -11)
 
 
+@query("E2", sql(ZSET) + """SELECT member, score, pos FROM (SELECT *, row_number() OVER (ORDER BY score, member) - 1 AS pos, count(*) OVER () AS n FROM zset)
+WHERE pos BETWEEN n // 2 AND n // 2 + 9 OR pos >= n - 3""")
+def zrange_deep_by_directory(t):
+    stored = op.Ordered.write(zset(t), work_path(t.spark, "zset"), [("score", False), ("member", False)])
+    middle = stored.size() // 2
+    return stored.slice(middle, middle + 9).union(stored.slice(-3, -1))
+
+
 @query("E3", sql(ZSET) + "SELECT member, score, row_number() OVER (ORDER BY score, member) - 1 AS rank FROM zset")
 def zrank_all(t):
     return op.zranks(zset(t))
@@ -188,6 +199,15 @@ def page_by_offset(t):
     return op.page(t.orders, 40, 20, "o_orderdate", "o_orderkey", F.col("o_orderpriority") == "2-HIGH").select("o_orderkey", "total", "page")
 
 
+@query("F3", """SELECT o_orderkey, count(*) OVER () AS total, CAST(pos // 20 + 1 AS INT) AS page FROM (SELECT o_orderkey,
+row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) - 1 AS pos FROM orders)
+QUALIFY pos // 20 + 1 IN (1, 400, (SELECT count(*) FROM orders) // 20)""")
+def page_by_directory(t):
+    stored = op.Ordered.write(t.orders.select("o_orderkey", "o_orderdate"), work_path(t.spark, "pages"), [("o_orderdate", True), ("o_orderkey", False)])
+    pages = [stored.page(number, 20) for number in (1, 400, stored.size() // 20)]
+    return reduce(DataFrame.union, pages).select("o_orderkey", "total", "page")
+
+
 @query("F4", "SELECT o_orderkey, '125' AS next_token FROM orders WHERE o_orderkey > 100 ORDER BY 1 LIMIT 25")
 def page_by_key(t):
     return op.page_after(t.orders, "o_orderkey", 100, 25).select("o_orderkey", "next_token")
@@ -203,14 +223,20 @@ def stream_entries(t):
                                                    (F.col("event_id") % 3).cast("string")).alias("id"), "ts")
 
 
-@query("F6", "SELECT event_id FROM events ORDER BY epoch_us(ts) // 1000 DESC, event_id % 3 DESC LIMIT 40")
+def unique_entries(t):
+    """Entries whose ids are unique: a limit over them cuts at one defined row."""
+    ms = F.unix_millis(F.col("ts").cast("timestamp")).cast("string")
+    return t.events.select("event_id", F.concat_ws("-", ms, F.col("event_id").cast("string")).alias("id"))
+
+
+@query("F6", "SELECT event_id FROM events ORDER BY epoch_us(ts) // 1000 DESC, event_id DESC LIMIT 40")
 def newest_entries(t):
-    return op.tail(stream_entries(t), "id", 40).select("event_id")
+    return op.tail(unique_entries(t), "id", 40).select("event_id")
 
 
-@query("F6", "SELECT event_id FROM events ORDER BY epoch_us(ts) // 1000, event_id % 3 LIMIT 40")
+@query("F6", "SELECT event_id FROM events ORDER BY epoch_us(ts) // 1000, event_id LIMIT 40")
 def oldest_entries(t):
-    return op.head(stream_entries(t), "id", 40).select("event_id")
+    return op.head(unique_entries(t), "id", 40).select("event_id")
 
 
 @query("F7", sql(WEB) + "SELECT event_id, CAST(rt AS DOUBLE) AS rt FROM web ORDER BY web.rt DESC, event_id LIMIT 20")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from opsloom.operators.limits import anchored_fold
 from opsloom.operators.ranking import latest_by
 from opsloom.plans.changes import ANCHORS
-from opsloom.plans.ranking import stream_entries
+from opsloom.plans.ranking import stream_entries, unique_entries
 from opsloom.plans.registry import query
 from opsloom.plans.roles import EV, PRODUCTS, WEB, ev, products, sql, web
 from opsloom.session import work_path
@@ -103,10 +103,10 @@ def transformed_records(t):
 
 # --- event log --------------------------------------------------------------------------------
 
-@query("J10 J11", """SELECT event_id FROM events WHERE epoch_us(ts) // 1000 * 10 + event_id % 3 BETWEEN 17048448000000 AND 17049312000001
-ORDER BY epoch_us(ts) // 1000, event_id % 3 LIMIT 100""")
+@query("J10 J11", """SELECT event_id FROM (SELECT event_id, epoch_us(ts) // 1000 AS ms FROM events)
+WHERE ms >= 1704844800000 AND (ms < 1704931200000 OR (ms = 1704931200000 AND event_id <= 1)) ORDER BY ms, event_id LIMIT 100""")
 def range_of_entries(t):
-    return log.range_read(stream_entries(t), "id", "1704844800000-0", "1704931200000-1", 100).select("event_id")
+    return log.range_read(unique_entries(t), "id", "1704844800000-0", "1704931200000-1", 100).select("event_id")
 
 
 @query("J12", "SELECT event_id FROM events WHERE epoch_us(ts) // 1000 * 10 + event_id % 3 > 17050000000001")

@@ -69,3 +69,23 @@ def test_no_broadcast_hints():
     import pathlib
     source = "".join(p.read_text() for p in pathlib.Path("opsloom").rglob("*.py"))
     assert "F.broadcast(" not in source and "localCheckpoint" not in source and "crossJoin" not in source
+
+
+def test_deep_pages_open_one_part(spark):
+    """A position deep in the order reads the parts that hold it, without a top-k over all rows before it."""
+    from opsloom.operators.ranking import Ordered
+    from opsloom.session import work_path
+    df = spark.range(5_000).select((F.col("id") % 7).alias("a"), F.col("id").alias("b"))
+    stored = Ordered.write(df, work_path(spark, "ordered"), [("a", True), ("b", False)], parts=16)
+    want = sorted(((i % 7, i) for i in range(5_000)), key=lambda r: (-r[0], r[1]))
+    for start, stop in [(0, 4), (3_111, 3_130), (4_990, 6_000), (-3, -1), (-9_000, 1), (7, 2), (-2, -9_000)]:
+        low, high = (max(0, i + 5_000) if i < 0 else i for i in (start, stop))
+        rows = sorted((r["pos"], r["a"], r["b"]) for r in stored.slice(start, stop).collect())
+        assert rows == [(i, *want[i]) for i in range(low, min(high + 1, 5_000)) if stop >= -5_000]
+    page = stored.page(200, 20)
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "PartitionFilters" in plan and "PartitionFilters: []" not in plan
+    assert {r["total"] for r in page.collect()} == {5_000} and page.count() == 20
+    assert stored.directory().count() > 8
+    empty = Ordered.write(df.where("b < 0"), work_path(spark, "ordered"), [("a", True), ("b", False)])
+    assert empty.size() == 0 and empty.slice(0, 9).count() == 0
