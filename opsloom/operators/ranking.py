@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from opsloom.functions.ordered import first_n, global_position, position, running_sum
 from opsloom.functions.timeutil import column
@@ -155,8 +156,8 @@ class Ordered:
     one does. Null order values come first in an ascending column and last in a descending one.
     """
 
-    def __init__(self, spark: SparkSession, path: str, order: Sequence[tuple[str, bool]]) -> None:
-        self.spark, self.path, self.order = spark, path, list(order)
+    def __init__(self, spark: SparkSession, path: str, order: Sequence[tuple[str, bool]], schema: T.StructType) -> None:
+        self.spark, self.path, self.order, self.schema = spark, path, list(order), schema
 
     @staticmethod
     def write(df: DataFrame, path: str, order: Sequence[tuple[str, bool]], parts: int | None = None) -> Ordered:
@@ -165,14 +166,14 @@ class Ordered:
         ranged = df.repartitionByRange(parts, *keys) if parts else df.repartitionByRange(*keys)
         placed = ranged.withColumn("_part", F.spark_partition_id())
         placed.sortWithinPartitions("_part", *keys).write.partitionBy("_part").parquet(f"{path}/rows")
-        stored = Ordered(df.sparkSession, path, order)
+        stored = Ordered(df.sparkSession, path, order, df.schema)
         counts = stored._rows().groupBy("_part").agg(F.count(F.lit(1)).alias("rows"))
         upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
         counts.withColumn("upto", F.sum("rows").over(upto)).coalesce(1).write.parquet(f"{path}/directory")
         return stored
 
     def _rows(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/rows")
+        return self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("_part", T.IntegerType())])).parquet(f"{self.path}/rows")
 
     def directory(self) -> DataFrame:
         """``_part, rows, upto``: one row per part that has rows."""
