@@ -281,15 +281,18 @@ def _search(top: int, width: int):
             for row, (query, key) in enumerate(zip(some, keys[at:at + TOGETHER].tolist())):
                 found = pool[row][np.isfinite(far[row])]
                 scores = (vectors[found] * query).sum(axis=1)
-                left_over = top
-                for i in np.lexsort((found, -scores)):
-                    ids = [x for x in members[int(found[i])].as_py()[: top + 1] if x != key]
-                    out_q += [key] * len(ids)
-                    out_v += ids
-                    out_s += [float(scores[i])] * len(ids)
-                    left_over -= len(ids)
-                    if left_over <= 0:
+                near: list[tuple[float, int]] = []
+                last = -np.inf
+                # Nodes of one score are taken together: which of their ids come first is for the ids to say.
+                for i in np.argsort(-scores, kind="stable"):
+                    if len(near) >= top and scores[i] < last:
                         break
+                    last = scores[i]
+                    near += [(-last, x) for x in members[int(found[i])].as_py()[: top + 1] if x != key]
+                near = sorted(near)[:top]
+                out_q += [key] * len(near)
+                out_v += [x for _, x in near]
+                out_s += [float(-s) for s, _ in near]
         return pa.table({"query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_v, pa.int64()), "score": pa.array(out_s, pa.float64())})
 
     return run

@@ -336,3 +336,12 @@ def test_pipeline(documents, spark, tmp_path):
             assert "f4k9" not in lib.decode(np.frombuffer(r["ids"], "<u4").tolist()).replace(" ", "")
     documents([(1, "x")]).where("false").write.parquet(str(tmp_path / "none" / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_equal_products_go_to_the_smaller_ids(spark, shared):
+    """Different vectors of one inner product with the query: the smaller ids win."""
+    rng = np.random.default_rng(2)
+    rows = [(0, [1.0, 0.0, 0.0, 0.0])] + [(i, [0.5, *map(float, rng.normal(0, 0.2, 3))]) for i in range(1, 120)]
+    df = spark.createDataFrame([(int(i), [float(x) for x in v]) for i, v in rows], "vec_id bigint, embedding array<float>")
+    got = ann.nearest(df, df.where("vec_id = 0"), width=200).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == list(range(1, 21)) and {r.score for r in got} == {0.5}
