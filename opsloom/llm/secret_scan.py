@@ -46,6 +46,9 @@ ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0?[1-9]|1[0-2])(?:[-/._]?(?:0?[1-9]|[12]\d|3[01]))?)?|"
                   r"(?:0?[1-9]|[12]\d|3[01])[-/._](?:0?[1-9]|1[0-2])[-/._](?:\d{4}|\d\d)")
 
+#: A date at every place where one begins.
+DATES = re.compile(f"(?=({DATE.pattern}))")
+
 #: Words ranked by the documents at most, and the documents that must hold one.
 WORDS, LEAST_DOCS = 100_000, 2
 
@@ -99,47 +102,70 @@ class GuessCost:
             low = value
         plain = low.translate(LEET)
         dates: dict[int, list[int]] = {}
-        for m in DATE.finditer(value):
-            dates.setdefault(m.end(), []).append(m.start())
+        for m in DATES.finditer(value):
+            dates.setdefault(m.end(1), []).append(m.start())
         best = [0.0] + [math.inf] * n
-        brute = [False] * (n + 1)
-        run = walk = 0  # where the run of one character, and the keyboard walk, that end here began
-        period_from: dict[int, int] = {}
+        spread = [math.inf] * (n + 1)  # least cost with a brute-force span that ends here and may go on
+        made: list[object] = [None] * (n + 1)  # the stretch whose part ends here at the least cost
+        run, walk = _Stretch(3), _Stretch(4)
+        units = {unit: _Stretch(2 * unit) for unit in range(2, 9)}
         for j in range(1, n + 1):
             at = j - 1
-            # Brute force: a span goes on without a new part.
-            cost = best[at] + self._char(value[at]) + (0.0 if brute[at] else PART)
-            best[j], brute[j] = cost, True
-
-            def take(start: int, guesses: float, j: int = j) -> None:
-                total = best[start] + guesses + PART
-                if total < best[j]:
-                    best[j], brute[j] = total, False
-
+            char = self._char(value[at])
+            least = spread[j] = min(spread[at], best[at] + PART) + char
+            source: object = None
             for i in range(max(0, j - self.longest), j - 1):
-                if (guesses := self._word(low, plain, value, i, j)) is not None:
-                    take(i, guesses)
+                if (guesses := self._word(low, plain, value, i, j)) is not None and best[i] + guesses + PART < least:
+                    least = best[i] + guesses + PART
             for i in dates.get(j, ()):
-                take(i, math.log10(365 * 120) if j - i > 4 else math.log10(120))
-            if at and value[at] != value[at - 1]:
-                run = at
-            if j - run >= 3:
-                take(run, self._char(value[at]) + math.log10(j - run))
-            if at and low[at] not in NEAR.get(low[at - 1], ()):
-                walk = at
-            if j - walk >= 4:
-                take(walk, math.log10(47 * 3) + math.log10(j - walk) * 2)
+                least = min(least, best[i] + math.log10(365 * 120 if j - i > 4 else 120) + PART)
+            if at == 0 or value[at] != value[at - 1]:
+                run = _Stretch(3, at)
+            if at == 0 or low[at] not in NEAR.get(low[at - 1], ()):
+                walk = _Stretch(4, at)
+            parts = [(run, char, 1.0, 1), (walk, math.log10(47 * 3), 2.0, 1)]
             # Repeats of a unit of 2 to 8 characters: one unit, times the count.
-            for unit in range(2, 9):
+            for unit, stretch in units.items():
                 if at >= unit and value[at] == value[at - unit]:
-                    start = period_from.setdefault(unit, at - unit)
-                    if j - start >= 2 * unit:
-                        take(start, sum(map(self._char, value[start:start + unit])) + math.log10((j - start) / unit))
-                else:
-                    period_from.pop(unit, None)
+                    if stretch.start is None:
+                        stretch = units[unit] = _Stretch(2 * unit, at - unit)
+                    parts.append((stretch, sum(map(self._char, value[at - unit + 1:j])), 1.0, unit))
+                elif stretch.start is not None:
+                    units[unit] = _Stretch(2 * unit)
+            for stretch, base, power, unit in parts:
+                cost = stretch.cost(j, base, power, unit, best, made)
+                if cost < least:
+                    least, source = cost, stretch
+            best[j], made[j] = least, source
         return best[n]
 
 
+class _Stretch:
+    """A run, walk or repetition that goes on, and the places in it where a part of the least cost can begin.
+
+    A place where a part of the same stretch ends is none: one longer part costs less than two. A place falls out as soon as
+    an earlier one costs no more, since its advantage only shrinks while the stretch goes on. So few places are left, however
+    long the stretch.
+    """
+
+    def __init__(self, least: int, start: int | None = None) -> None:
+        self.least, self.start, self.places = least, start, []
+
+    def cost(self, end: int, base: float, power: float, unit: int, best: list[float], made: list[object]) -> float:
+        """The least cost of a part that ends at ``end``; infinite if none can."""
+        new = end - self.least
+        if new >= self.start and made[new] is not self:
+            self.places.append(new)
+        least, left = math.inf, []
+        for i in self.places:
+            cost = best[i] + base + power * math.log10((end - i) / unit) + PART
+            if cost < least:
+                least = cost
+                left.append(i)
+        self.places = left
+        return least
+
+
 def find_secrets(text: str, cost: GuessCost, threshold: float = THRESHOLD) -> list[tuple[int, int, str]]:
     """``(start, end, kind)`` of every span, by start and then kind as listed in ``KINDS``."""
     spans = []

@@ -119,6 +119,45 @@ def test_secret_spans(documents):
         assert r["spans"].count("assign:") == r["n_assign"] and r["spans"].count("guess:") == r["n_guess"]
 
 
+def least_cost(cost, value):
+    """Least cost over all segmentations, with every part tried at every place."""
+    n, low = len(value), value.lower()
+    plain = low.translate(secret_scan.LEET)
+    log = lambda x: float(np.log10(x))
+
+    def parts(i, j):
+        yield sum(map(cost._char, value[i:j]))
+        if j - i >= 2 and (guesses := cost._word(low, plain, value, i, j)) is not None:
+            yield guesses
+        date = secret_scan.DATE.match(value, i)
+        if date and date.end() == j:
+            yield log(365 * 120) if j - i > 4 else log(120)
+        if j - i >= 3 and len(set(value[i:j])) == 1:
+            yield cost._char(value[i]) + log(j - i)
+        if j - i >= 4 and all(b in secret_scan.NEAR.get(a, ()) for a, b in zip(low[i:j], low[i + 1:j])):
+            yield log(47 * 3) + 2 * log(j - i)
+        for unit in range(2, 9):
+            if j - i >= 2 * unit and all(value[k] == value[k - unit] for k in range(i + unit, j)):
+                yield sum(map(cost._char, value[i:i + unit])) + log((j - i) / unit)
+
+    best = [0.0]
+    for j in range(1, n + 1):
+        best.append(min(best[i] + p + secret_scan.PART for i in range(j) for p in parts(i, j)))
+    return best[n]
+
+
+def test_guess_costs_are_the_least():
+    cost = secret_scan.GuessCost()
+    rnd = random.Random(8)
+    bits = ["pass", "word", "admin", "qwerty", "asdf", "123", "2024", "-05-", "17", "aaa", "abab", "x9", "!", "poiuy", "ssss", "12", "03.99", "Q", "qwqw"]
+    values = ["202412-03-99aaaa", "bosssssss", "aaqwertytrewqq", "passwordwordword"]
+    values += ["".join(rnd.choice(bits) for _ in range(rnd.randrange(1, 8))) for _ in range(700)]
+    values += ["".join(rnd.choice("aq1w2-0.") for _ in range(rnd.randrange(1, 22))) for _ in range(500)]
+    for value in values:
+        assert abs(cost(value) - least_cost(cost, value)) < 1e-9, value
+    assert cost("a" * 30_000) < secret_scan.THRESHOLD < cost("k#" + "f4K9zQx2Lm" * 2)
+
+
 def test_guess_costs_and_masks():
     cost = secret_scan.GuessCost()
     weak = ["password", "Passw0rd", "qwertyuiop", "aaaaaaaaaaaa", "2024-05-17", "abcabcabcabc", "changeme", "letmein2024"]
