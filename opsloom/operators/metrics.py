@@ -14,6 +14,8 @@ from opsloom.operators.aggregates import n_rows
 
 # Fixed value: 2**14 registers give the 0.81 % standard error of the distinct counter.
 HLL_PRECISION = 14
+# Size of the compactor levels: a sketch errs by 0.4 % of the rank or less in 99 of 100 cases and holds some 20 KB.
+KLL_SIZE = 800
 
 
 # --- distinct counts --------------------------------------------------------------------------
@@ -123,6 +125,40 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequen
     return by_value.join(ranked, "_place").where(hit).select(*keys, "q", value)
 
 
+def quantile_sketches(df: DataFrame, keys: Sequence[str], value: str, size: int = KLL_SIZE) -> DataFrame:
+    """A quantile sketch (compactor levels) per key, as rows ``(keys, sketch)`` to be stored; null values don't count."""
+    return df.groupBy(*keys).agg(F.kll_sketch_agg_double(F.col(value).cast("double"), size).alias("sketch"))
+
+
+def merge_sketches(sketches: DataFrame, *keys: str, size: int = KLL_SIZE) -> DataFrame:
+    """Sketches of short periods merged into longer ones, without touching the raw rows."""
+    return sketches.groupBy(*keys).agg(F.kll_merge_agg_double("sketch", size).alias("sketch"))
+
+
+def sketch_quantiles(sketches: DataFrame, keys: Sequence[str], qs: Sequence[float]) -> DataFrame:
+    """``(keys, n, q, value)``: the number of values and each quantile; none for a sketch without values."""
+    held = sketches.select(*keys, "sketch", F.kll_sketch_get_n_double("sketch").alias("n")).where("n > 0")
+    picked = [F.struct(F.lit(float(q)).alias("q"), F.kll_sketch_get_quantile_double("sketch", F.lit(float(q))).alias("value")) for q in qs]
+    return held.select(*keys, "n", F.explode(F.array(*picked)).alias("_p")).select(*keys, "n", "_p.q", "_p.value")
+
+
+def rank_errors(df: DataFrame, keys: Sequence[str], value: str, quantiles: DataFrame) -> DataFrame:
+    """``(keys, n, q, value, error)``: how far each estimate's exact ranks lie from ``q``, as a share of the rows.
+
+    An estimate owns the ranks from the values below it to the values up to it; inside them the error is 0. The rows meet
+    all estimates of their key at once and leave each task as counts. Null keys are one group.
+    """
+    keys = list(keys)
+    known = quantiles.groupBy(F.struct(*keys).alias("_key")).agg(F.collect_list(F.struct("q", F.col("value").alias("estimate"))).alias("_asked"))
+    rows = df.where(F.col(value).isNotNull()).select(F.struct(*keys).alias("_key"), F.col(value).cast("double").alias("_value"))
+    counts = rows.groupBy("_key", "_value").agg(n_rows("_n")).join(known, "_key").select("*", F.explode("_asked").alias("_one"))
+    below = F.sum(F.when(F.col("_value") < F.col("_one.estimate"), F.col("_n")).otherwise(0))
+    upto = F.sum(F.when(F.col("_value") <= F.col("_one.estimate"), F.col("_n")).otherwise(0))
+    ranked = counts.groupBy("_key", "_one").agg(F.sum("_n").alias("n"), below.alias("_below"), upto.alias("_upto"))
+    error = F.greatest(F.lit(0.0), F.col("_below") / F.col("n") - F.col("_one.q"), F.col("_one.q") - F.col("_upto") / F.col("n"))
+    return ranked.select("_key.*", "n", F.col("_one.q").alias("q"), F.col("_one.estimate").alias("value"), error.alias("error"))
+
+
 def _pname(q: float) -> str:
     return f"p{q * 100:g}".replace(".", "_")
 

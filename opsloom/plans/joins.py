@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from opsloom.operators import graph, joins as op
+from opsloom.operators import graph, joins as op, membership
 from opsloom.plans.registry import query
 from opsloom.plans.roles import EV, EV_GAPS, INVENTORY, NET, PRODUCTS, ev, ev_gaps, inventory, net, products, sql
-from opsloom.session import cut_lineage
+from opsloom.session import cut_lineage, work_path
 
 
 @query("C2", """SELECT l_orderkey, l_linenumber, o_orderpriority, p_name, s_name, n_name FROM lineitem
@@ -161,6 +161,44 @@ def bloom_membership(t):
     return op.bloom_prefilter(t.lineitem.select("l_orderkey", "l_linenumber"), urgent, "l_orderkey")
 
 
+URGENT = "SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 300000"
+
+
+def _urgent(t):
+    return t.orders.where("o_orderpriority = '1-URGENT' AND o_totalprice > 300000").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
+
+
+@query("C17", f"SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN ({URGENT})")
+def stored_bloom_membership(t):
+    # One filter per half of the time, stored, merged and put before the exact join.
+    urgent, path = _urgent(t), work_path(t.spark, "bloom")
+    blocks = membership.blocks_for(urgent.count(), 0.01)
+    for name, half in (("early", F.year("o_orderdate") < 1995), ("late", F.year("o_orderdate") >= 1995)):
+        membership.build(urgent.where(half), "l_orderkey", blocks).write.parquet(f"{path}/{name}")
+    stored = membership.merge(*[t.spark.read.parquet(f"{path}/{name}") for name in ("early", "late")])
+    return membership.member_rows(t.lineitem.select("l_orderkey", "l_linenumber"), urgent, "l_orderkey", stored)
+
+
+@query("C17", f"""WITH members AS ({URGENT}), h AS (SELECT k, md5(CAST(k AS VARCHAR)) AS d FROM (SELECT o_orderkey AS k FROM members UNION SELECT l_orderkey FROM lineitem)),
+bits AS (SELECT k, CAST('0x' || substr(d, 1, 12) AS BIGINT) % 16 AS block, w, (CAST('0x' || substr(d, 13, 12) AS BIGINT) >> CAST(6 * w AS INT)) % 64 AS bit
+  FROM h, (SELECT unnest(range(8)) AS w)),
+held AS (SELECT DISTINCT block, w, bit FROM bits WHERE k IN (FROM members)),
+passed AS (SELECT k FROM bits JOIN held USING (block, w, bit) GROUP BY 1 HAVING count(*) = 8)
+SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (FROM passed)""")
+def bloom_passed_rows(t):
+    # Sixteen blocks, so that strangers pass and other engines can name them.
+    stored = membership.build(_urgent(t), "l_orderkey", 16)
+    return membership.might_contain(t.lineitem.select("l_orderkey", "l_linenumber"), "l_orderkey", stored)
+
+
+@query("C17", f"""SELECT count(*) AS strangers, CAST(0 AS BIGINT) AS false_negatives, true AS within_rate
+FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey NOT IN ({URGENT}))""")
+def bloom_quality(t):
+    urgent = _urgent(t)
+    stored = membership.build(urgent, "l_orderkey", membership.blocks_for(urgent.count(), 0.01))
+    return membership.quality(t.lineitem, urgent, "l_orderkey", stored, 0.01)
+
+
 @query("C18", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 25)")
 def not_yet_processed(t):
     seen = t.lineitem.where("l_quantity > 25").select(F.col("l_orderkey").alias("o_orderkey"))

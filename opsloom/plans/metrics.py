@@ -8,6 +8,7 @@ from opsloom.functions.timeutil import floor_time
 from opsloom.operators import metrics as op
 from opsloom.plans.registry import query
 from opsloom.plans.roles import EV, EV_GAPS, FLOW, PRODUCTS, WEB, ev, ev_gaps, flow, products, sql, web
+from opsloom.session import cut_lineage
 
 
 def _registers(key: str, member: str, table: str) -> str:
@@ -96,6 +97,26 @@ def latency_percentiles(t):
     return op.latency_percentiles(ev(t), ["event_type"], "value", [0.5, 0.9, 0.95, 0.99])
 
 
+QUANTILES = "(SELECT unnest([0.5, 0.9, 0.95, 0.99])::DOUBLE AS q)"
+
+
+@query("D36", sql(EV) + f"""SELECT event_type, q, n, true AS within FROM (SELECT event_type, count(value) AS n FROM ev GROUP BY 1), {QUANTILES}""")
+def merged_percentiles(t):
+    # Sketches of days, merged to the whole time; each estimate is held against the exact ranks.
+    days = ev(t).withColumn("day", F.col("ts").cast("date"))
+    merged = op.merge_sketches(op.quantile_sketches(days, ["event_type", "day"], "value"), "event_type")
+    found = op.rank_errors(days, ["event_type"], "value", op.sketch_quantiles(merged, ["event_type"], [0.5, 0.9, 0.95, 0.99]))
+    return found.select("event_type", "q", "n", (F.col("error") <= 0.01).alias("within"))
+
+
+@query("D36", f"""SELECT l_returnflag, q, n, true AS within FROM (SELECT l_returnflag, count(l_extendedprice) AS n FROM lineitem GROUP BY 1), {QUANTILES}""")
+def merged_price_percentiles(t):
+    months = t.lineitem.select("l_returnflag", F.trunc("l_shipdate", "month").alias("month"), "l_extendedprice")
+    stored = cut_lineage(op.quantile_sketches(months, ["l_returnflag", "month"], "l_extendedprice"))
+    found = op.sketch_quantiles(op.merge_sketches(stored, "l_returnflag"), ["l_returnflag"], [0.5, 0.9, 0.95, 0.99])
+    return op.rank_errors(months, ["l_returnflag"], "l_extendedprice", found).select("l_returnflag", "q", "n", (F.col("error") <= 0.01).alias("within"))
+
+
 @query("D38", sql(WEB) + """SELECT edge, count(*) FILTER (status BETWEEN 400 AND 499) * 100.0::DOUBLE / count(*) AS rate_4xx,
 count(*) FILTER (status BETWEEN 500 AND 599) * 100.0::DOUBLE / count(*) AS rate_5xx,
 count(*) FILTER (status BETWEEN 400 AND 599) * 100.0::DOUBLE / count(*) AS rate_total FROM web GROUP BY 1""")

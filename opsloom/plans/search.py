@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from opsloom.operators import search, traces as op
+from opsloom.operators.postings import Postings
 from opsloom.plans.registry import query
 from opsloom.plans.roles import EV, SEGMENTS, WEB, ev, segments, sql, web
+from opsloom.session import work_path
 
 WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 
@@ -27,6 +29,21 @@ def index_term_counts(t):
     return search.inverted_index(t.documents, "doc_id", "text").groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
 
 
+def _stored(t):
+    return Postings.write(t.documents, "doc_id", "text", work_path(t.spark, "index"))
+
+
+@query("S1", f"SELECT doc_id FROM documents WHERE list_contains({WORDS}, 'the') AND list_contains({WORDS}, 'that')")
+def text_search_stored(t):
+    # The index is written once; the search opens it again by its path.
+    return Postings.open(t.spark, _stored(t).path).search(["the", "That"])
+
+
+@query("S1", f"SELECT term, count(*) AS docs FROM (SELECT doc_id, unnest(list_distinct({WORDS})) AS term FROM documents) GROUP BY 1")
+def stored_term_counts(t):
+    return _stored(t).frequencies().select("term", "docs")
+
+
 @query("S3", "SELECT p_partkey FROM part WHERE list_has_any(string_split(p_name, ' '), ['ring', 'bolt'])")
 def tag_search_any(t):
     tagged = t.part.withColumn("tags", F.split("p_name", " "))
