@@ -1,8 +1,8 @@
 """Toxicity by a chain of linear classifiers.
 
 The categories of a label table are predicted one after another; each model also gets the log-odds of the categories before
-it. In training these come from models that did not see the row (out-of-fold), so a later model learns how far an earlier
-prediction can be trusted; in scoring they come from the models fitted on the whole sample.
+it. In training these come from models that did not see the row (out-of-fold: terms, centre and scale are those of the other
+folds, too), so a later model learns how far an earlier prediction can be trusted; in scoring they come from the models fitted on the whole sample.
 
 Training takes at most ``SAMPLE`` labelled rows, those of the smallest id hashes. Terms are counted and chosen in Spark; the
 sample's feature rows, of fixed width, are fitted on the driver. Every document is scored, over its whole text.
@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsloom.session import cut_lineage
@@ -137,23 +137,40 @@ def _best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float(max((p[order][best] + below) / 2, 1e-6))
 
 
-def fit_chain(x: np.ndarray, labels: np.ndarray, folds: np.ndarray, categories: Sequence[str], terms: Sequence[str]) -> Chain:
-    center = x.mean(axis=0) if len(x) else np.zeros(x.shape[1])
-    scale = x.std(axis=0) if len(x) else np.ones(x.shape[1])
-    scale = np.where(scale > 1e-9, scale, 1.0)
-    inputs = (x - center) / scale
+def fit_chain(x: np.ndarray, labels: np.ndarray, folds: np.ndarray, categories: Sequence[str], terms: Sequence[str],
+              chosen: dict[int, Sequence[str]] | None = None) -> Chain:
+    """Fit the chain on the features of ``terms`` and measures.
+
+    ``chosen[f]`` are the terms that the rows outside fold ``f`` choose, ``chosen[-1]`` those of all rows (default: all
+    terms everywhere). Terms, centre and scale of the model that predicts a fold come from the rows outside it.
+    """
+    chosen = chosen or {f: terms for f in range(-1, FOLDS)}
+    base = {f: _standard(x, folds != f, [*[t in set(chosen[f]) for t in terms], *[True] * len(MEASURES)]) for f in range(-1, FOLDS)}
+    odds = np.zeros((len(x), 0))
     weights, thresholds = [], []
     for k in range(len(categories)):
         y = labels[:, k].astype(np.float64)
         held = np.zeros(len(y))
         for fold in range(FOLDS):
             out = folds == fold
+            inputs = np.column_stack((base[fold][0], odds))
             w = fit_linear(inputs[~out], y[~out])
             held[out] = inputs[out] @ w[1:] + w[0]
-        weights.append(fit_linear(inputs, y))
+        weights.append(fit_linear(np.column_stack((base[-1][0], odds)), y))
         thresholds.append(_best_threshold(1 / (1 + np.exp(-np.clip(held, -30, 30))), y))
-        inputs = np.column_stack((inputs, np.clip(held, -8, 8)))
-    return Chain(tuple(categories), tuple(terms), center, scale, tuple(weights), tuple(thresholds), index := {t: i for i, t in enumerate(terms)}, Words(index))
+        odds = np.column_stack((odds, np.clip(held, -8, 8)))
+    index = {t: i for i, t in enumerate(t for t in terms if t in set(chosen[-1]))}
+    return Chain(tuple(categories), tuple(index), *base[-1][1:], tuple(weights), tuple(thresholds), index, Words(index))
+
+
+def _standard(x: np.ndarray, rows: np.ndarray, columns: Sequence[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``columns`` of ``x`` by the centre and scale of ``rows``, with both."""
+    x = x[:, np.array(columns)]
+    seen = x[rows]
+    center = seen.mean(axis=0) if len(seen) else np.zeros(x.shape[1])
+    scale = seen.std(axis=0) if len(seen) else np.ones(x.shape[1])
+    scale = np.where(scale > 1e-9, scale, 1.0)
+    return (x - center) / scale, center, scale
 
 
 def _terms(text: str) -> Column:
@@ -167,29 +184,40 @@ def _terms(text: str) -> Column:
     return F.array_distinct(F.concat(found, *[starts(n) for n in PREFIXES]))
 
 
-def choose_terms(sample: DataFrame, text: str, categories: Sequence[str], terms: int = TERMS) -> list[str]:
-    """The terms whose presence goes with a category beyond chance, by G-squared; at most ``terms`` per category."""
-    positives = [F.sum(c).cast("long").alias(c) for c in categories]
-    total = sample.agg(F.count(F.lit(1)).alias("n"), *positives).first()
-    if not total["n"]:
-        return []
-    counted = sample.select(F.explode(_terms(text)).alias("term"), *categories).groupBy("term").agg(
-        F.count(F.lit(1)).alias("n"), *positives).where(F.col("n") >= LEAST_DOCS)
-    found: set[str] = set()
-    for c in categories:
-        n, yes = float(total["n"]), float(total[c] or 0)
-        if not 0 < yes < n:
-            continue
-        a, b = F.col(c).cast("double"), (F.col("n") - F.col(c)).cast("double")
+def choose_terms(sample: DataFrame, text: str, categories: Sequence[str], terms: int = TERMS) -> dict[int, list[str]]:
+    """The terms whose presence goes with a category beyond chance, by G-squared; at most ``terms`` per category.
 
-        def part(seen: Column, row: Column, column: float) -> Column:
-            return F.when(seen > 0, seen * F.log(seen * n / (row * column))).otherwise(0.0)
-
-        absent = F.lit(n) - F.col("n")
-        score = 2 * (part(a, F.col("n"), yes) + part(b, F.col("n"), n - yes) + part(yes - a, absent, yes) + part(n - yes - b, absent, n - yes))
-        best = counted.withColumn("score", score).where(F.col("score") >= LEAST_SCORE).orderBy(F.col("score").desc(), "term").limit(terms)
-        found.update(r["term"] for r in best.select("term").collect())
-    return sorted(found)
+    ``-1`` names those chosen over all rows, ``f`` those over the rows whose ``fold`` is not ``f``. Terms are counted once,
+    by fold; at most ``terms`` names per category and choice come to the driver.
+    """
+    totals = {r["fold"]: r for r in sample.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in categories]).collect()}
+    sets = range(-1, FOLDS)
+    inside = {f: F.col("fold") != f for f in sets}
+    sums = [F.sum(inside[f].cast("long")).alias(f"n_{f}") for f in sets]
+    sums += [F.sum(F.when(inside[f], F.col(c)).otherwise(0)).cast("long").alias(f"{c}_{f}") for f in sets for c in categories]
+    counted = sample.select(F.explode(_terms(text)).alias("term"), "fold", *categories).groupBy("term").agg(*sums)
+
+    def part(seen: Column, row: Column, column: float, n: float) -> Column:
+        return F.when(seen > 0, seen * F.log(seen * n / (row * column))).otherwise(0.0)
+
+    scores = []
+    for f in sets:
+        for c in categories:
+            n, yes = (float(sum(r[name] for fold, r in totals.items() if fold != f)) for name in ("n", c))
+            if not 0 < yes < n:
+                continue
+            docs = F.col(f"n_{f}")
+            a = F.col(f"{c}_{f}").cast("double")
+            b, absent = (docs - a).cast("double"), F.lit(n) - docs
+            score = 2 * (part(a, docs, yes, n) + part(b, docs, n - yes, n) + part(yes - a, absent, yes, n) + part(n - yes - b, absent, n - yes, n))
+            scores.append(F.struct(F.lit(f).alias("set"), F.lit(c).alias("category"), F.when(docs >= LEAST_DOCS, score).alias("score")))
+    found: dict[int, set[str]] = {f: set() for f in sets}
+    if scores:
+        scored = counted.select("term", F.explode(F.array(*scores)).alias("s")).select("term", "s.*").where(F.col("score") >= LEAST_SCORE)
+        best = Window.partitionBy("set", "category").orderBy(F.col("score").desc(), "term")
+        for r in scored.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= terms).select("set", "term").collect():
+            found[r["set"]].add(r["term"])
+    return {f: sorted(t) for f, t in found.items()}
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], key: str = "doc_id", text: str = "text",
@@ -197,13 +225,17 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], key
     """Fit the chain in the order of ``categories`` (name to 0/1 column over ``labels``), on at most ``sample`` labelled rows.
 
     Rows with a null key or a null label are not used; without any, every probability is a prior of one half and nothing
-    is flagged.
+    is flagged. A key counts once: of repeated labels the smallest, of repeated documents the smallest text.
     """
     names = list(categories)
     marks = labels.select(F.col(key), *[c.cast("int").alias(n) for n, c in categories.items()]).dropna()
-    chosen = marks.orderBy(F.xxhash64(key), key, *names).limit(sample)
-    rows = cut_lineage(chosen.join(docs.select(F.col(key), F.col(text).alias("_text")), key))
-    terms = choose_terms(rows, "_text", names)
+    marks = marks.groupBy(key).agg(F.min(F.struct(*names)).alias("_marks")).select(key, "_marks.*")
+    chosen = marks.orderBy(F.xxhash64(key), key).limit(sample)
+    joined = chosen.join(docs.select(F.col(key), F.col(text).alias("_text")), key)
+    fold = F.pmod(F.xxhash64(F.lit(1), key), F.lit(FOLDS)).cast("int").alias("fold")
+    rows = cut_lineage(joined.groupBy(key, *names).agg(F.min("_text").alias("_text")).select(fold, *names, "_text"))
+    by_fold = choose_terms(rows, "_text", names)
+    terms = sorted(set().union(*by_fold.values()))
     known = Words({t: i for i, t in enumerate(terms)})
     width = len(terms) + len(MEASURES)
 
@@ -213,14 +245,13 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], key
             kept = [batch.column(batch.schema.get_field_index(n)) for n in ("fold", *names)]
             yield pa.record_batch([*kept, pa.array([r.tobytes() for r in x], pa.binary())], names=["fold", *names, "x"])
 
-    folded = rows.select(F.pmod(F.xxhash64(F.lit(1), key), F.lit(FOLDS)).cast("int").alias("fold"), *names, "_text")
     # At most ``sample`` rows of fixed width.
-    data = folded.mapInArrow(featurise, f"fold int, {', '.join(f'{n} int' for n in names)}, x binary").toArrow()
+    data = rows.mapInArrow(featurise, f"fold int, {', '.join(f'{n} int' for n in names)}, x binary").toArrow()
     x = np.frombuffer(b"".join(data.column("x").to_pylist()), dtype=np.float32).reshape(-1, width).astype(np.float64)
     y = np.stack([data.column(n).to_numpy() for n in names], axis=1) if len(x) else np.zeros((0, len(names)))
     # A fixed order, so that reruns fit the same model.
     order = np.lexsort((*x.T[::-1], *y.T, data.column("fold").to_numpy())) if len(x) else np.zeros(0, np.int64)
-    return fit_chain(x[order], y[order], data.column("fold").to_numpy()[order], names, terms)
+    return fit_chain(x[order], y[order], data.column("fold").to_numpy()[order], names, terms, by_fold)
 
 
 def score(docs: DataFrame, chain: Chain, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
