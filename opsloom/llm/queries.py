@@ -131,22 +131,23 @@ def op6_token_file(spark: SparkSession, path: str) -> DataFrame:
 
 def _templates_sql() -> str:
     rows = []
-    for t in licenses.PHRASES + licenses.NOTICES:
+    for t in licenses.TEMPLATES:
         tokens = "[" + ", ".join(f"'{w}'" for w in sorted(set(t.words))) + "]"
         phrase = "[" + ", ".join(f"'{w}'" for w in t.words) + "]"
-        rows.append(f"('{t.label}', {tokens}, {phrase}, {t.threshold}, {str(t.exact).lower()})")
-    return "(VALUES " + ", ".join(rows) + ") AS t(label, tokens, phrase, threshold, exact)"
+        rows.append(f"('{t.label}', {tokens}, {phrase}, {t.threshold}, {str(t.exact).lower()}, {t.stride})")
+    return "(VALUES " + ", ".join(rows) + ") AS t(label, tokens, phrase, threshold, exact, stride)"
 
 
 @_query(rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id,
                   regexp_extract_all(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'),
                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
-b AS (SELECT r, b * {licenses.STRIDE} AS s, ws[b * {licenses.STRIDE} + 1 : (b + 2) * {licenses.STRIDE}] AS bw
-      FROM (SELECT r, ws, unnest(range(0, (len(ws) + {licenses.STRIDE - 1}) // {licenses.STRIDE})) AS b FROM d)),
-m AS (SELECT r, s, bw, label, phrase, exact, len(list_intersect(tokens, bw)) / len(tokens) AS score, threshold
-      FROM b, {_templates_sql()} WHERE list_has_any(tokens, bw)),
-p AS (SELECT r, label, score, exact, CASE WHEN exact THEN list_transform(list_filter(range(0, {licenses.STRIDE}),
+t AS (SELECT * FROM {_templates_sql()}),
+b AS (SELECT r, stride, b * stride AS s, ws[b * stride + 1 : (b + 2) * stride] AS bw
+      FROM (SELECT r, ws, stride, unnest(range(0, (len(ws) + stride - 1) // stride)) AS b FROM d, (SELECT DISTINCT stride FROM t))),
+m AS (SELECT r, s, bw, label, phrase, exact, stride, len(list_intersect(tokens, bw)) / len(tokens) AS score, threshold
+      FROM b JOIN t USING (stride) WHERE list_has_any(tokens, bw)),
+p AS (SELECT r, label, score, exact, CASE WHEN exact THEN list_transform(list_filter(range(0, stride),
              lambda i: bw[i + 1 : i + len(phrase)] = phrase), lambda i: i + s) ELSE [] END AS places
       FROM m WHERE score >= threshold - 1e-9),
 f AS (SELECT r, sum(len(places)) AS n_base, min(list_min(places)) AS first_word, max(list_max(places)) AS last_word,

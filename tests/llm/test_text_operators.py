@@ -85,17 +85,36 @@ def test_empty_tables(documents):
 
 def test_license_matches_are_those_of_every_block(documents):
     rnd = random.Random(3)
-    vocabulary = licenses.vocabulary(licenses.PHRASES + licenses.NOTICES)
+    vocabulary = licenses.vocabulary(licenses.TEMPLATES)
     rows = [(i, " ".join(rnd.choice(vocabulary + ["x", "y"]) for _ in range(rnd.randrange(200)))) for i in range(60)]
+    rows += [(100 + i, " ".join(rnd.choices(t.words, k=4 * len(t.words)) + rnd.choices(vocabulary, k=rnd.randrange(90))))
+             for i, t in enumerate(licenses.TEMPLATES * 3)]
     found = licenses.match_templates(documents(rows)).select("doc_id", F.explode("licenses.matches").alias("m")).select("doc_id", "m.*")
     got = {(r["doc_id"], r["label"], r["start"]) for r in found.where("NOT exact").collect()}
     want = set()
     for i, t in rows:
         w = t.split()
-        for s in range(0, len(w), licenses.STRIDE):
-            block = set(w[s:s + 2 * licenses.STRIDE])
-            want |= {(i, n.label, s) for n in licenses.NOTICES if len(block & set(n.words)) >= n.threshold * len(set(n.words)) - 1e-9}
-    assert got == want
+        for n in licenses.NOTICES + licenses.BODIES:
+            for s in range(0, len(w), n.stride):
+                block = set(w[s:s + 2 * n.stride])
+                if len(block & set(n.words)) >= n.threshold * len(set(n.words)) - 1e-9:
+                    want.add((i, n.label, s))
+    assert got == want and {b.label for b in licenses.BODIES} <= {label for _, label, _ in want}
+
+
+def test_license_bodies_of_any_length(documents, sql_rows):
+    """A body is found where it stands in a longer text, also changed a little; half of one isn't, and prose isn't."""
+    bodies = {t.label: t for t in licenses.BODIES}
+    rows = [(1, prose(700) + "\n\n" + bodies["mit-body"].text + "\n" + prose(300)), (2, prose(333) + " " + bodies["bsd-body"].text.upper()),
+            (3, bodies["isc-body"].text.replace("the author", "Example Inc.")), (4, bodies["zlib-body"].text.replace("\n", "\n# ")),
+            (5, " ".join(bodies["zlib-body"].words[:50])), (6, prose(900)), (7, prose(50) + bodies["gpl-header"].text)]
+    got = {r["doc_id"]: set(r["labels"].split(",")) for r in _run("op7_license_scan", documents(rows)).collect()}
+    assert "mit-body" in got[1] and {"bsd-body", "bsd-disclaimer"} <= got[2] and "isc-body" in got[3] and "zlib-body" in got[4]
+    assert got[5] == got[6] == {""} and {"gpl", "gpl-header"} <= got[7]
+    assert rows_of(_run("op7_license_scan", documents(rows))) == sql_rows(queries.SQL["op7_license_scan"], rows)
+    wide = licenses.Template("wide", " ".join(f"w{i}" for i in range(700)))
+    found = licenses.match_templates(documents([(1, "x " * 500 + wide.text), (2, wide.text[:1500])]), templates=[wide])
+    assert [len(r["licenses"]["matches"]) > 0 for r in found.orderBy("doc_id").collect()] == [True, False]
 
 
 def brute_base(value):
