@@ -281,61 +281,6 @@ def test_a_very_long_vector_hides_no_other(spark, shared, long):
     assert hits / (20 * 75) >= 0.97
 
 
-def test_toxicity_terms_are_chosen_outside_each_fold(documents, spark):
-    """Counts of the chosen terms against plain code; a word that only one fold holds is chosen by no model that predicts it."""
-    rnd = np.random.default_rng(5)
-    rows = []
-    for i in range(400):
-        bad, fold = int(rnd.random() < 0.3), i % toxicity.FOLDS
-        words = [f"n{chr(97 + w)}" for w in rnd.integers(0, 20, 12)] + ["foul"] * (bad and rnd.random() < 0.8) + ["zzq"] * (bad and fold == 2)
-        rows.append((fold, bad, " ".join(words)))
-    sample = spark.createDataFrame(rows, "fold int, bad int, _text string")
-    got = toxicity.choose_terms(sample, "_text", ["bad"])
-
-    def g_squared(term, kept):
-        table = np.zeros((2, 2))
-        for _, bad, text in kept:
-            table[int(term in text.split())][bad] += 1
-        expected = table.sum(1, keepdims=True) * table.sum(0) / table.sum()
-        return 2 * np.where(table > 0, table * np.log(np.maximum(table, 1e-9) / expected), 0).sum() if table[1].sum() >= toxicity.LEAST_DOCS else 0
-
-    for f in range(-1, toxicity.FOLDS):
-        kept = [r for r in rows if r[0] != f]
-        assert got[f] == sorted(t for t in {w for r in rows for w in r[2].split()} if g_squared(t, kept) >= toxicity.LEAST_SCORE)
-    assert "zzq" in got[-1] and "zzq" in got[0] and "zzq" not in got[2]
-
-
-def test_toxicity_chain_predicts_each_fold_without_it():
-    """Out-of-fold odds, written plainly, with the terms and the scale of the other folds, give the same chain."""
-    rnd = np.random.default_rng(8)
-    terms = ["a", "b", "c"]
-    x = rnd.normal(size=(200, 3 + len(toxicity.MEASURES)))
-    y = np.stack([x[:, 0] + rnd.normal(size=200) > 0, x[:, 1] + x[:, 0] > 0.5], axis=1).astype(int)
-    folds = np.arange(200) % toxicity.FOLDS
-    chosen = {f: (["a", "c"] if f == 1 else ["a", "b"]) for f in range(-1, toxicity.FOLDS)}
-    chain = toxicity.fit_chain(x, y, folds, ["low", "toxic"], terms, chosen)
-    used = {f: [i for i in range(x.shape[1]) if i >= 3 or terms[i] in chosen[f]] for f in chosen}
-    odds = np.zeros(200)
-    for f in range(toxicity.FOLDS):
-        train = x[folds != f][:, used[f]]
-        scaled = (x[:, used[f]] - train.mean(axis=0)) / train.std(axis=0)
-        w = toxicity.fit_linear(scaled[folds != f], y[folds != f, 0].astype(float))
-        odds[folds == f] = scaled[folds == f] @ w[1:] + w[0]
-    whole = (x[:, used[-1]] - x[:, used[-1]].mean(axis=0)) / x[:, used[-1]].std(axis=0)
-    want = toxicity.fit_linear(np.column_stack((whole, np.clip(odds, -8, 8))), y[:, 1].astype(float))
-    assert np.allclose(chain.weights[1], want) and chain.terms == ("a", "b")
-
-
-def test_toxicity_repeated_ids_count_once(documents, spark):
-    texts = [(i, "fine words here and there" if i % 2 else "nasty words here and there") for i in range(60)]
-    labels = [(i, 1, int(i % 2 == 0)) for i in range(60)]
-    marks = lambda rows: spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
-    categories = {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")}
-    once = toxicity.train(documents(texts), marks(labels), categories)
-    more = toxicity.train(documents(texts + [texts[3]] * 500), marks(labels + [labels[3]] * 90), categories)
-    assert once.terms == more.terms and all(np.array_equal(a, b) for a, b in zip(once.weights, more.weights))
-
-
 def test_toxicity_chain(documents, spark):
     rnd = random.Random(12)
     rows, labels = [], []
