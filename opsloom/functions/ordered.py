@@ -4,7 +4,8 @@ A plain window over ``partitionBy(key)`` sorts all rows of a key in one task; wi
 that holds a third of the table that task never ends. Every helper here takes a ``chunk``
 column that grows along the order (a time slot, an offset range), works inside
 ``(key, chunk)`` and then carries a one-row summary per chunk over to the next chunk. Only
-the summaries (one row per key and chunk) meet in one task. The detail rows are shuffled
+the summaries (one row per key and chunk) meet in one task; with ``fan`` not even those: runs
+of ``fan`` chunks are summed up first, and one row per run meets. The detail rows are shuffled
 once, on ``(key, chunk)``: the join with the carry table reuses that partitioning.
 """
 
@@ -22,6 +23,7 @@ CHUNK = "_chunk"
 #: Keys and chunk in one struct. A struct is never null, and nulls inside compare as equal, so rows with a null key or a
 #: null time find their own summaries; window and join share its partitioning.
 PLACE = "_place"
+RUN = "_run"
 
 
 def placed(df: DataFrame, keys: Sequence[str], chunk: Column) -> DataFrame:
@@ -34,8 +36,32 @@ def slots(c: str | Column, width: int) -> Column:
     return F.floor(column(c) / F.lit(width))
 
 
+def _carried(ends: DataFrame, keys: Sequence[str], names: dict[str, str], add: bool, fan: int | None) -> DataFrame:
+    """``PLACE`` and what the key's earlier chunks leave: their sum, or their last value that isn't null.
+
+    ``ends`` has one row per ``PLACE``; ``names`` maps its columns to those of the result. With ``fan`` (numeric chunks
+    only) a task orders at most ``fan`` chunks of a key, or one row per ``fan`` chunks.
+    """
+    def fold(c: str, window: Window) -> Column:
+        return (F.sum(c) if add else F.last(c, ignorenulls=True)).over(window)
+
+    if fan is None:
+        earlier = Window.partitionBy(*[f"{PLACE}.{k}" for k in keys]).orderBy(f"{PLACE}.{CHUNK}").rowsBetween(Window.unboundedPreceding, -1)
+        return ends.select(PLACE, *[fold(c, earlier).alias(out) for c, out in names.items()])
+    run = F.struct(*[F.col(f"{PLACE}.{k}").alias(k) for k in keys], F.floor(F.col(f"{PLACE}.{CHUNK}") / fan).alias(CHUNK))
+    ends = ends.withColumn(RUN, run)
+    at = F.struct(f"{PLACE}.{CHUNK}")
+    runs = ends.groupBy(RUN).agg(*[(F.sum(c) if add else F.max_by(c, F.when(F.col(c).isNotNull(), at))).alias(c) for c in names])
+    among = Window.partitionBy(*[f"{RUN}.{k}" for k in keys]).orderBy(f"{RUN}.{CHUNK}").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(RUN).orderBy(f"{PLACE}.{CHUNK}").rowsBetween(Window.unboundedPreceding, -1)
+    outer = runs.select(RUN, *[fold(c, among).alias(f"_outer_{c}") for c in names])
+    near = ends.select(RUN, PLACE, *[fold(c, inside).alias(f"_near_{c}") for c in names])
+    merge = (lambda a, b: F.coalesce(a + b, a, b)) if add else F.coalesce
+    return near.join(outer, RUN).select(PLACE, *[merge(F.col(f"_near_{c}"), F.col(f"_outer_{c}")).alias(out) for c, out in names.items()])
+
+
 def running_sum(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, values: dict[str, Column]
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, values: dict[str, Column], fan: int | None = None
 ) -> DataFrame:
     """Running totals per key (the current row counts), named by ``values``' keys.
 
@@ -44,9 +70,8 @@ def running_sum(
     keys, order = list(keys), list(order)
     detail = placed(df, keys, chunk)
     inside = Window.partitionBy(PLACE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy(*[f"{PLACE}.{k}" for k in keys]).orderBy(f"{PLACE}.{CHUNK}").rowsBetween(Window.unboundedPreceding, -1)
     totals = detail.groupBy(PLACE).agg(*[F.sum(v).alias(f"_total_{n}") for n, v in values.items()])
-    carry = totals.select(PLACE, *[F.sum(f"_total_{n}").over(earlier).alias(f"_carry_{n}") for n in values])
+    carry = _carried(totals, keys, {f"_total_{n}": f"_carry_{n}" for n in values}, True, fan)
     local = detail.withColumns({n: F.sum(v).over(inside) for n, v in values.items()})
     joined = local.join(carry, PLACE)
     merged = {n: F.when(F.col(f"_carry_{n}").isNull(), F.col(n))
@@ -55,21 +80,22 @@ def running_sum(
 
 
 def previous(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, values: dict[str, Column]
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, values: dict[str, Column], fan: int | None = None
 ) -> DataFrame:
     """Values of the row before this one within the key; null on the first row."""
-    return _carry_last(df, keys, order, chunk, F.struct(*[v.alias(n) for n, v in values.items()]), values, lag=True)
+    return _carry_last(df, keys, order, chunk, F.struct(*[v.alias(n) for n, v in values.items()]), values, True, fan)
 
 
 def last_seen(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, when: Column, values: dict[str, Column]
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, when: Column, values: dict[str, Column],
+    fan: int | None = None
 ) -> DataFrame:
     """Values of the latest row up to and including this one where ``when`` holds (as-of)."""
     seen = F.when(when, F.struct(*[v.alias(n) for n, v in values.items()]))
-    return _carry_last(df, keys, order, chunk, seen, values, lag=False)
+    return _carry_last(df, keys, order, chunk, seen, values, False, fan)
 
 
-def _carry_last(df, keys, order, chunk, packed, values, lag):
+def _carry_last(df, keys, order, chunk, packed, values, lag, fan):
     keys, order = list(keys), list(order)
     detail = placed(df, keys, chunk).withColumn("_packed", packed)
     by_order = Window.partitionBy(PLACE).orderBy(*order)
@@ -79,8 +105,7 @@ def _carry_last(df, keys, order, chunk, packed, values, lag):
     # through which an earlier chunk's end is carried on.
     ends = detail.groupBy(PLACE).agg(
         F.max_by("_packed", F.when(F.col("_packed").isNotNull(), F.struct(*order))).alias("_end"))
-    earlier = Window.partitionBy(*[f"{PLACE}.{k}" for k in keys]).orderBy(f"{PLACE}.{CHUNK}").rowsBetween(Window.unboundedPreceding, -1)
-    carry = ends.select(PLACE, F.last("_end", ignorenulls=True).over(earlier).alias("_before"))
+    carry = _carried(ends, keys, {"_end": "_before"}, False, fan)
     found = detail.withColumn("_found", inside).join(carry, PLACE)
     best = F.coalesce("_found", "_before")
     return (found.withColumns({n: best.getField(n) for n in values})

@@ -121,10 +121,15 @@ def retain_age(log: DataFrame, ts: str, as_of: str, keep_seconds: float) -> Data
     return log.where(F.col(ts) >= limit)
 
 
-def retain_bytes(log: DataFrame, partition: str, offset: str, size: Column, max_bytes: int, chunk_width: int = 1_000_000) -> DataFrame:
-    """Newest rows of each partition whose total size fits; row-level, not segment-level."""
+def retain_bytes(log: DataFrame, partition: str, offset: str, size: Column, max_bytes: int, chunk_width: int = 1_000_000,
+                 fan: int = 1000) -> DataFrame:
+    """Newest rows of each partition whose total size fits; row-level, not segment-level.
+
+    Sizes are summed per chunk of ``chunk_width`` offsets and per run of ``fan`` chunks, so one row per ``chunk_width * fan``
+    offsets of a hot partition meets in a task.
+    """
     newest_first = log.withColumn("_back", -F.col(offset))
-    summed = running_sum(newest_first, [partition], ["_back"], slots("_back", chunk_width), {"_bytes": size})
+    summed = running_sum(newest_first, [partition], ["_back"], slots("_back", chunk_width), {"_bytes": size}, fan)
     return summed.where(F.col("_bytes") <= max_bytes).drop("_back", "_bytes")
 
 

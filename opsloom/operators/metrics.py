@@ -285,9 +285,13 @@ def gaps(df: DataFrame, keys: Sequence[str], ts: str, tie: str, max_seconds: flo
     return lagged.where(silence > max_seconds).withColumn("gap_s", F.floor(silence).cast("bigint"))
 
 
-def order_violations(df: DataFrame, partition: str, ts: str, offset: str, chunk_seconds: float = 86400) -> DataFrame:
-    """Per partition in arrival order: offsets that skip (gap) or go back (disorder)."""
-    lagged = previous(df, [partition], [ts, offset], time_chunk(ts, chunk_seconds), {"previous_offset": F.col(offset)})
+def order_violations(df: DataFrame, partition: str, ts: str, offset: str, chunk_seconds: float = 600, fan: int = 1000) -> DataFrame:
+    """Per partition in arrival order: offsets that skip (gap) or go back (disorder).
+
+    ``chunk_seconds`` of a partition are one task's; ends of ``fan`` chunks are carried on together.
+    """
+    chunk = F.floor(micros(ts) / int(chunk_seconds * 1_000_000))
+    lagged = previous(df, [partition], [ts, offset], chunk, {"previous_offset": F.col(offset)}, fan)
     kind = F.when(F.col(offset) <= F.col("previous_offset"), "disorder").when(
         F.col(offset) != F.col("previous_offset") + 1, "gap")
     return lagged.withColumn("violation", kind).where(F.col("violation").isNotNull())

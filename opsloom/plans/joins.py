@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from opsloom.operators import graph, joins as op, membership
+from opsloom.operators import addresses, graph, joins as op, membership
 from opsloom.plans.registry import query
 from opsloom.plans.roles import EV, EV_GAPS, INVENTORY, NET, PRODUCTS, ev, ev_gaps, inventory, net, products, sql
 from opsloom.session import cut_lineage, work_path
@@ -84,6 +84,30 @@ def cidr_enrichment_mixed_families(t):
     return rows.groupBy("dstaddr", F.coalesce("owner", F.lit("external")).alias("owner")).agg(F.count(F.lit(1)).alias("flows"))
 
 
+DUAL = """dual AS (SELECT o_orderkey, o_custkey, o_orderkey % 7 = 0 AS outside, o_orderkey % 5 = 0 AS v4, o_custkey % 32 AS g3, o_custkey % 256 AS g4 FROM orders),
+six AS (SELECT o_orderkey, CASE WHEN outside THEN NULL WHEN r_name IS NOT NULL AND g4 BETWEEN 64 AND 127 THEN r_name WHEN n_name IS NOT NULL THEN n_name ELSE 'AFRICA' END AS owner,
+  CASE WHEN outside THEN NULL WHEN r_name IS NOT NULL AND g4 BETWEEN 64 AND 127 THEN 58 WHEN n_name IS NOT NULL THEN 48 ELSE 29 END AS prefix_len
+  FROM dual LEFT JOIN region ON r_regionkey = g3 LEFT JOIN nation ON n_nationkey = g3 WHERE NOT v4),
+four AS (SELECT o_orderkey, coalesce(n_name, r_name) AS owner, CASE WHEN n_name IS NOT NULL THEN 24 WHEN r_name IS NOT NULL THEN 16 END AS prefix_len
+  FROM dual LEFT JOIN region ON r_regionkey = o_custkey % 8 LEFT JOIN nation ON o_custkey % 8 = 0 AND n_nationkey = o_orderkey % 256 WHERE v4)"""
+
+
+@query("C9", sql(DUAL) + """SELECT o_orderkey, coalesce(owner, 'external') AS owner, coalesce(prefix_len, -1) AS prefix_len FROM six
+UNION ALL SELECT o_orderkey, coalesce(owner, 'external'), coalesce(prefix_len, -1) FROM four""")
+def cidr_ranges_both_families(t):
+    # Nested prefixes of both families; addresses come in two spellings of IPv6 and as IPv4.
+    nets = (inventory(t).unionByName(t.nation.select(F.format_string("2001:db8:%x::/48", "n_nationkey").alias("cidr"), F.col("n_name").alias("owner")))
+            .unionByName(t.region.select(F.format_string("2001:DB8:%x:40::/58", "r_regionkey").alias("cidr"), F.col("r_name").alias("owner")))
+            .unionByName(t.region.where("r_regionkey = 0").select(F.lit("2001:db8::/29").alias("cidr"), F.col("r_name").alias("owner"))))
+    cust, order = F.col("o_custkey"), F.col("o_orderkey")
+    site = F.when(order % 7 == 0, "2001:dc0").when(order % 2 == 0, "2001:0DB8").otherwise("2001:db8")
+    six = F.concat_ws(":", site, F.format_string("%x:%x::%x:%x", cust % 32, cust % 256, F.floor(order / 65536), order % 65536))
+    four = F.format_string("10.%d.%d.%d", cust % 8, order % 256, cust % 250)
+    rows = t.orders.select("o_orderkey", F.when(order % 5 == 0, four).otherwise(six).alias("address"))
+    found = addresses.enrich_addresses(rows, "address", addresses.prefix_boundaries(nets, ["owner"]))
+    return found.select("o_orderkey", F.coalesce("owner", F.lit("external")).alias("owner"), F.coalesce("prefix_len", F.lit(-1)).alias("prefix_len"))
+
+
 @query("C13", sql(EV_GAPS) + """, p AS (SELECT * FROM ev_gaps WHERE event_type = 'purchase'),
 c AS (SELECT * FROM ev_gaps WHERE event_type = 'click' AND ts IS NOT NULL)
 SELECT p.event_id, max_by(c.event_id, (c.ts, c.event_id)) AS click_id FROM p LEFT JOIN c

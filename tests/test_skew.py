@@ -52,6 +52,37 @@ def test_running_sum_and_previous_any_chunk(df, rows, width):
             before = i
 
 
+@pytest.mark.parametrize("fan", [1, 5, 1000])
+def test_carry_in_two_levels(spark, df, rows, fan):
+    """Many more chunks of the hot key than one task orders; null keys, null orders and null values have their places."""
+    odd = spark.createDataFrame([("hot", None, -1, 4), (None, None, -2, 1), (None, 5, -3, None), (None, 90, -4, 2)], df.schema)
+    both = df.unionByName(odd)
+    chunk = ordered.slots("us", 3)
+    sums = ordered.running_sum(both, ["k"], ["us", "id"], chunk, {"s": F.col("v")}, fan)
+    lags = ordered.previous(sums, ["k"], ["us", "id"], chunk, {"p": F.col("id")}, fan)
+    seen = ordered.last_seen(lags, ["k"], ["us", "id"], chunk, F.col("v") > 6, {"seen": F.col("id")}, fan)
+    got = {r["id"]: (r["s"], r["p"], r["seen"]) for r in seen.collect()}
+    groups = by_key([r for r in rows])
+    groups["hot"].insert(0, ("hot", None, -1, 4))
+    groups[None] = [(None, None, -2, 1), (None, 5, -3, None), (None, 90, -4, 2)]
+    assert len(got) == sum(map(len, groups.values()))
+    for group in groups.values():
+        total, before, last = 0, None, None
+        for _, _, i, v in group:
+            total += v or 0
+            last = i if v is not None and v > 6 else last
+            assert got[i] == (total, before, last)
+            before = i
+
+
+def test_carry_orders_runs_of_chunks(spark):
+    df = spark.range(1000).select(F.lit("hot").alias("k"), F.col("id").alias("us"))
+    summed = ordered.running_sum(df, ["k"], ["us"], ordered.slots("us", 2), {"s": F.lit(1)}, 10)
+    assert [r["s"] for r in summed.orderBy("us").collect()] == list(range(1, 1001))
+    plan = summed._jdf.queryExecution().optimizedPlan().toString()
+    assert "_run#" in plan and plan.count("+- Window") >= 3
+
+
 @pytest.mark.parametrize("width", [7, 500, 10**9])
 def test_last_seen_any_chunk(df, rows, width):
     got = {r["id"]: r["seen"] for r in ordered.last_seen(
