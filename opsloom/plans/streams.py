@@ -11,7 +11,7 @@ from opsloom.plans.ranking import stream_entries, unique_entries
 from opsloom.plans.registry import query
 from opsloom.plans.roles import EV, PRODUCTS, WEB, ev, products, sql, web
 from opsloom.session import work_path
-from opsloom.streaming import log, runner, stateful, windows as win
+from opsloom.streaming import entries, log, runner, stateful, windows as win
 
 
 @query("J1", sql(EV) + "SELECT event_id FROM ev WHERE value > 10")
@@ -368,3 +368,43 @@ def run_buffered_delivery(t):
     source = runner.file_stream(t.spark, inbox, max_files=2)
     runner.run_to_batches(source, "delivery", t.spark, "append", runner.write_idempotent(base))
     return t.spark.read.schema(source.schema).parquet(f"{base}/batch=*")
+
+
+FLUSH_BYTES, FLUSH_HOURS = 150, 48
+BUFFERS = f"""r AS (SELECT user_id, event_id, epoch_us(ts) AS us, props, strlen(props) AS size, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+f AS (SELECT user_id, rn, us AS first, size AS held, 0 AS flush FROM r WHERE rn = 1
+  UNION ALL SELECT r.user_id, r.rn, CASE WHEN held >= {FLUSH_BYTES} OR r.us >= first + {FLUSH_HOURS * 3600000000} THEN r.us ELSE first END,
+    CASE WHEN held >= {FLUSH_BYTES} OR r.us >= first + {FLUSH_HOURS * 3600000000} THEN r.size ELSE held + r.size END,
+    CASE WHEN held >= {FLUSH_BYTES} OR r.us >= first + {FLUSH_HOURS * 3600000000} THEN flush + 1 ELSE flush END
+  FROM f JOIN r ON r.user_id = f.user_id AND r.rn = f.rn + 1)"""
+
+
+@query("J23", sql(BUFFERS, recursive=True) + f"""SELECT user_id, CAST(flush AS BIGINT) AS flush, CASE WHEN sum(size) >= {FLUSH_BYTES} THEN 'size' ELSE 'time' END AS reason,
+count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes, sha256(string_agg(props, chr(10) ORDER BY rn)) AS body_sha256 FROM f JOIN r USING (user_id, rn) GROUP BY user_id, flush""")
+def run_flushes_by_size_or_time(t):
+    # Each user's bodies leave together, at 150 bytes or 48 hours after the first one, in three arrivals and a heartbeat.
+    frames = [t.events.where(F.floor((F.dayofmonth("ts") - 1) / HALF) == n) for n in range(3)] + [stateful.heartbeat(t.events, "ts", 90 * 86400)]
+    build = lambda s: stateful.buffered_delivery(s, "user_id", "event_id", F.col("props"), FLUSH_BYTES, FLUSH_HOURS * 3600, "ts")
+    objects = stateful.run_arrivals(t.spark, frames, build, "flushes")
+    return objects.select("user_id", "flush", "reason", "n", "bytes", F.sha2("body", 256).alias("body_sha256"))
+
+
+@query("J10 J11", """WITH e AS (SELECT event_type, event_id, epoch_us(ts) // 3600000000 * 3600000 AS ms, event_id % 3 AS batch FROM events),
+tops AS (SELECT event_type, batch, max(ms) AS top FROM e GROUP BY 1, 2),
+w AS (SELECT event_type, batch, max(top) OVER (PARTITION BY event_type ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM tops),
+g AS (SELECT e.*, greatest(ms, coalesce(before, 0)) AS eff FROM e JOIN w USING (event_type, batch))
+SELECT event_type, event_id, eff || '-' || (row_number() OVER (PARTITION BY event_type, eff ORDER BY batch, ms, event_id) - 1) AS entry_id FROM g""")
+def run_append_entries(t):
+    # Three micro-batches, each with times from the whole month: most entries come behind the stream's last id. Every batch is sent twice.
+    target, inbox = work_path(t.spark, "entries"), work_path(t.spark, "entries-inbox")
+    rows = t.events.select("event_type", "event_id", F.unix_millis(F.date_trunc("hour", F.col("ts").cast("timestamp"))).alias("ms"))
+    for n in range(3):
+        rows.where(F.col("event_id") % 3 == n).coalesce(1).write.mode("append").parquet(inbox)
+    found = entries.EntryLog(t.spark, target, "event_type", "ms", "event_id")
+
+    def twice(df, batch):
+        found.append(df, batch)
+        found.append(df, batch)
+
+    runner.run_to_batches(runner.file_stream(t.spark, inbox, max_files=1), "entries", t.spark, "append", twice)
+    return found.read().select("event_type", "event_id", "entry_id")

@@ -15,7 +15,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -201,6 +201,76 @@ class _Limiter(_Keyed):
                                 "row_id": [r[1] for r in ready], "allowed": flags})
 
 
+class _Buffers(StatefulProcessor):
+    """Bodies of a key wait until they reach ``max_bytes`` or the first one has waited for ``max_us``."""
+
+    def __init__(self, max_bytes: int, max_us: int, by_event: bool) -> None:
+        self.max_bytes, self.max_us, self.by_event = max_bytes, max_us, by_event
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us bigint, id bigint, size bigint, body string")
+        self.open = handle.getValueState("open", "first bigint, size bigint, timer bigint")
+        self.number = handle.getValueState("number", "n bigint")
+
+    def close(self) -> None:
+        pass
+
+    def _flush(self, key: Any, held: list[tuple], reason: str) -> pd.DataFrame:
+        n = self.number.get()[0] if self.number.exists() else 0
+        self.number.update((n + 1,))
+        return pd.DataFrame({"key": [key[0]], "flush": [n], "reason": [reason], "n": [len(held)], "bytes": [sum(h[2] for h in held)],
+                             "start_us": [held[0][0]], "end_us": [held[-1][0]], "body": ["\n".join(h[3] for h in held)]})
+
+    def _hold(self, held: list[tuple], added: list[tuple], before: tuple | None) -> None:
+        """Store what waits; rows that already lie in the state are not written again."""
+        if not held:
+            self.waiting.clear()
+            self.open.clear()
+        elif len(added) == len(held):
+            self.waiting.put(held)
+        else:
+            self.waiting.appendList(added)
+        if before is not None and (not held or held[0][0] != before[0]):
+            self.handle.deleteTimer(before[2])
+        if held:
+            due = -(-(held[0][0] + self.max_us) // 1000)
+            if before is None or held[0][0] != before[0]:
+                self.handle.registerTimer(due)
+            self.open.update((held[0][0], sum(h[2] for h in held), due))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        now = None if self.by_event else timerValues.getCurrentProcessingTimeInMs() * 1000
+        new = []
+        for pdf in rows:
+            pdf = pdf[pdf["id"].notna()]
+            us = pdf["us"] if self.by_event else [now] * len(pdf)
+            new += [(int(t), int(i), int(b), d) for t, i, b, d in zip(us, pdf["id"], pdf["size"], pdf["body"]) if t == t]
+        before = tuple(self.open.get()) if self.open.exists() else None
+        held = [tuple(r) for r in self.waiting.get()] if before else []
+        size = before[1] if before else 0
+        added: list[tuple] = []
+        for row in sorted(new):
+            if held and row[0] >= held[0][0] + self.max_us:
+                yield self._flush(key, held, "time")
+                held, added, size = [], [], 0
+            held.append(row)
+            added.append(row)
+            size += row[2]
+            if size >= self.max_bytes:
+                yield self._flush(key, held, "size")
+                held, added, size = [], [], 0
+        if new:
+            self._hold(held, added, before)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if self.open.exists():
+            held = [tuple(r) for r in self.waiting.get()]
+            self.waiting.clear()
+            self.open.clear()
+            yield self._flush(key, held, "time")
+
+
 def _keyed(stream: DataFrame, ts: str, key: str, row_id: str, delay: str, processor: StatefulProcessor, columns: str) -> DataFrame:
     """The watermark is taken from ``ts``; the processor gets plain numbers, so Spark drops no late row before it sees them."""
     timed = stream.withColumn("_time", F.col(ts).cast("timestamp")).withWatermark("_time", delay)
@@ -235,6 +305,27 @@ def limiter_by_time(stream: DataFrame, ts: str, key: str, row_id: str, fold: Fol
     return found.select(F.col("key").alias(key), "kind", F.col("row_id").alias(row_id), "allowed")
 
 
+def buffered_delivery(stream: DataFrame, key: str, row_id: str, body: Column, max_bytes: int, max_seconds: float,
+                      ts: str | None = None, delay: str = "0 seconds") -> DataFrame:
+    """One row per delivered object: bodies of a key, one a line, flushed at ``max_bytes`` or ``max_seconds`` after the first one.
+
+    ``flush`` numbers a key's objects, ``reason`` is ``size`` or ``time``; ``bytes`` are those of the bodies. A null body is empty.
+    With ``ts`` waiting is measured in event time (rows without a time, and heartbeats without an id, are not delivered; a row
+    that comes behind its key's open buffer joins it); without it by the clock, and the sink must keep triggering.
+    A buffer holds less than ``max_bytes`` and one body. Rows of a key are one task's: give hot keys a shard in ``key``.
+    """
+    text = F.coalesce(body.cast("string"), F.lit(""))
+    at = F.lit(None).cast("bigint") if ts is None else F.unix_micros("_time") + 0
+    timed = stream if ts is None else stream.withColumn("_time", F.col(ts).cast("timestamp")).withWatermark("_time", delay)
+    rows = timed.select(F.col(key).alias("key"), F.col(row_id).cast("bigint").alias("id"), at.alias("us"),
+                        F.octet_length(text).cast("bigint").alias("size"), text.alias("body"))
+    columns = "flush bigint, reason string, n bigint, bytes bigint, start_us bigint, end_us bigint, body string"
+    kind = rows.schema["key"].dataType.simpleString()
+    processor = _Buffers(max_bytes, int(max_seconds * 1_000_000), ts is not None)
+    found = rows.groupBy("key").transformWithStateInPandas(processor, f"key {kind}, {columns}", "Append", "ProcessingTime" if ts is None else "EventTime")
+    return found.withColumnRenamed("key", key)
+
+
 def run_arrivals(spark: SparkSession, arrivals: Sequence[DataFrame], build: Callable[[DataFrame], DataFrame], label: str,
                 state_rows: list[int] | None = None) -> DataFrame:
     """Run a stream while files arrive: one micro-batch (and restart from the checkpoint) per frame of ``arrivals``.

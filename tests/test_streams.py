@@ -10,7 +10,7 @@ from opsloom.operators import limits
 from opsloom.operators.ranking import latest_by
 from opsloom.session import work_path
 from opsloom.sources.scan import read_stream
-from opsloom.streaming import log, runner, stateful, windows
+from opsloom.streaming import entries, log, runner, stateful, windows
 
 
 def rows(df):
@@ -145,3 +145,56 @@ def test_timed_delivery(spark, data):
     q.processAllAvailable()
     q.stop()
     assert spark.read.parquet(out).count() == events.count()
+
+
+def test_buffers_flush_by_size_or_time(spark):
+    """Objects equal one pass over each key's rows, however the rows are dealt to batches; nothing stays in the buffers."""
+    rng = random.Random(8)
+    made = sorted((s, rng.choice(["a", "a", None, "c"]), i, rng.choice(["", "x" * rng.randrange(9), None])) for i, s in enumerate(rng.sample(range(2000), 250)))
+    at = lambda s: BASE + datetime.timedelta(seconds=s)
+    for cuts in ([250], [10, 11, 130, 250]):
+        frames, first = [], 0
+        for cut in cuts:
+            frames.append([(k, at(s), i, b) for s, k, i, b in made[first:cut]])
+            first = cut
+        frames = [spark.createDataFrame(f, EVENTS + ", body string") for f in [*frames, [(None, at(9000), None, None), ("a", None, 900, "untimed")]]]
+        build = lambda s: stateful.buffered_delivery(s, "k", "id", F.col("body"), 20, 100, "ts")
+        got = {(r["k"], r["flush"]): (r["reason"], r["n"], r["bytes"], r["body"]) for r in stateful.run_arrivals(spark, frames, build, "buffers").collect()}
+        want = {}
+        for key in ("a", None, "c"):
+            held, number = [], 0
+            for s, _, _, b in [m for m in made if m[1] == key] + [(9000, key, None, None)]:
+                if held and s >= held[0][0] + 100:
+                    want[key, number] = ("time", held)
+                    held, number = [], number + 1
+                held.append((s, b or ""))
+                if sum(len(x) for _, x in held) >= 20:
+                    want[key, number] = ("size", held)
+                    held, number = [], number + 1
+        assert got == {k: (why, len(h), sum(len(x) for _, x in h), "\n".join(x for _, x in h)) for k, (why, h) in want.items()}
+        assert {why for why, _ in want.values()} == {"size", "time"}
+
+
+def test_appended_ids_grow_and_repeats_change_nothing(spark, monkeypatch):
+    """Clocks that stand still or go back, entries without a time, a null stream, an empty batch; marks are compacted on the way."""
+    monkeypatch.setattr(entries.EntryLog, "FULL", 2)
+    rng = random.Random(2)
+    found = entries.EntryLog(spark, work_path(spark, "log"), "k", "ms", "id", chunk_ms=5, fan=2)
+    batches = [[("a", 10, 1), ("a", 10, 2), (None, 7, 3)], [("a", 4, 4), ("a", 10, 5), ("a", 12, 6), ("b", None, 7)], [],
+               [("a", None, 8), ("a", 12, 9), (None, 7, 10)], [(rng.choice("ab"), rng.randrange(30), i) for i in range(20, 80)]]
+    last, seqs, want = {}, {}, {}
+    for number, rows_ in enumerate(batches):
+        df = spark.createDataFrame(rows_, "k string, ms long, id long")
+        found.append(df, number)
+        once = rows(found.read().select("id", "entry_id"))
+        found.append(df, number)
+        assert rows(found.read().select("id", "entry_id")) == once
+        floor = dict(last)
+        for k, ms, i in sorted(rows_, key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
+            at = max(ms or 0, floor.get(k, 0))
+            last[k] = max(at, last.get(k, 0))
+            seqs[k, at] = seqs.get((k, at), -1) + 1
+            want[i] = f"{at}-{seqs[k, at]}"
+    assert dict(once) == want
+    ids = found.between("a", "10-1", "12-1", 4).select("entry_id").collect()
+    assert [r["entry_id"] for r in ids] == ["10-1", "10-2", "10-3", "12-0"]
