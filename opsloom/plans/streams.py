@@ -370,7 +370,7 @@ def run_buffered_delivery(t):
     return t.spark.read.schema(source.schema).parquet(f"{base}/batch=*")
 
 
-FLUSH_BYTES, FLUSH_HOURS = 150, 48
+FLUSH_BYTES, FLUSH_HOURS = 40, 48
 BUFFERS = f"""r AS (SELECT user_id, event_id, epoch_us(ts) AS us, props, strlen(props) AS size, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
 f AS (SELECT user_id, rn, us AS first, size AS held, 0 AS flush FROM r WHERE rn = 1
   UNION ALL SELECT r.user_id, r.rn, CASE WHEN held >= {FLUSH_BYTES} OR r.us >= first + {FLUSH_HOURS * 3600000000} THEN r.us ELSE first END,
@@ -382,7 +382,7 @@ f AS (SELECT user_id, rn, us AS first, size AS held, 0 AS flush FROM r WHERE rn
 @query("J23", sql(BUFFERS, recursive=True) + f"""SELECT user_id, CAST(flush AS BIGINT) AS flush, CASE WHEN sum(size) >= {FLUSH_BYTES} THEN 'size' ELSE 'time' END AS reason,
 count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes, sha256(string_agg(props, chr(10) ORDER BY rn)) AS body_sha256 FROM f JOIN r USING (user_id, rn) GROUP BY user_id, flush""")
 def run_flushes_by_size_or_time(t):
-    # Each user's bodies leave together, at 150 bytes or 48 hours after the first one, in three arrivals and a heartbeat.
+    # Each user's bodies leave together, at 40 bytes or 48 hours after the first one, in three arrivals and a heartbeat.
     frames = [t.events.where(F.floor((F.dayofmonth("ts") - 1) / HALF) == n) for n in range(3)] + [stateful.heartbeat(t.events, "ts", 90 * 86400)]
     build = lambda s: stateful.buffered_delivery(s, "user_id", "event_id", F.col("props"), FLUSH_BYTES, FLUSH_HOURS * 3600, "ts")
     objects = stateful.run_arrivals(t.spark, frames, build, "flushes")
