@@ -4,6 +4,7 @@ import datetime
 import random
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from opsloom.operators import limits
@@ -198,3 +199,95 @@ def test_appended_ids_grow_and_repeats_change_nothing(spark, monkeypatch):
     assert dict(once) == want
     ids = found.between("a", "10-1", "12-1", 4).select("entry_id").collect()
     assert [r["entry_id"] for r in ids] == ["10-1", "10-2", "10-3", "12-0"]
+
+
+class Shelf:
+    """A shard's state and timers without Spark, with the number of calls."""
+
+    class Value:
+        def __init__(self, shelf):
+            self.shelf, self.held = shelf, None
+
+        def exists(self):
+            self.shelf.calls += 1
+            return bool(self.held)
+
+        def get(self):
+            self.shelf.calls += 1
+            return self.held
+
+        def update(self, held):
+            self.shelf.calls += 1
+            self.held = held
+
+        def clear(self):
+            self.update(None)
+
+        def appendValue(self, row):
+            self.update([*(self.held or []), row])
+
+        put = update
+
+    def __init__(self):
+        self.calls, self.timers = 0, set()
+
+    def getValueState(self, name, schema):
+        return self.Value(self)
+
+    getListState = getValueState
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.discard(at)
+
+    def run(self, processor, batches, marks):
+        """All rows that ``processor`` gives for the batches, each with the watermark (ms) it begins with."""
+        processor.init(self)
+        out = []
+        for batch, mark in zip(batches, marks):
+            times = type("Times", (), {"getCurrentWatermarkInMs": lambda _: mark})()  # noqa: B023
+            out += processor.handleInputRows((0,), iter([batch] if len(batch) else []), times)
+            for at in sorted(t for t in self.timers if t < mark):
+                self.timers.discard(at)
+                out += processor.handleExpiredTimer((0,), times, type("Info", (), {"getExpiryTimeInMs": lambda _: at})())  # noqa: B023
+        return pd.concat(out, ignore_index=True)
+
+
+def test_calls_to_the_state_do_not_grow_with_keys_and_sessions():
+    """One timer and one stored table serve all keys of a shard."""
+    calls = {}
+    for keys in (3, 60):
+        made = pd.DataFrame([(str(k), s * 1_000_000, k * 100 + s // 100, stateful.TIMED) for k in range(keys) for s in range(0, 4000, 100)],
+                            columns=["key", "us", "id", "state"]).sample(frac=1, random_state=1)
+        made["size"], made["body"] = 1, "x"
+        batches, marks = [made[made["us"] < 2_000_000_000], made[made["us"] >= 2_000_000_000], made[:0]], [0, 1_000_000, 9_000_000]
+        for name, processor, n in (("sessions", stateful._Sessions(60_000_000), 40), ("windows", stateful._Windows(200_000_000), 20),
+                                   ("limiter", stateful._Limiter(limits.anchored_fold(1, 150_000_000), 150_000_000), 40),
+                                   ("buffers", stateful._Buffers(3, 10_000_000_000, True), 13)):
+            shelf = Shelf()
+            found = shelf.run(processor, batches if name != "buffers" else [made, made[:0]], marks)
+            assert len(found[found["reason"] == "size"] if name == "buffers" else found) == keys * n
+            calls.setdefault(name, []).append(shelf.calls)
+            assert len(shelf.timers) <= 1
+    assert all(few == many for few, many in calls.values())
+
+
+def test_keys_of_any_type_and_large_ids(spark):
+    """Ids and keys beyond 2^53, null keys beside others in one shard, the two zeros, bytes that are no text."""
+    big = 2 ** 53 + 1
+    for kind, a, b in (("bigint", big, big + 1), ("double", 0.0, 0.1), ("binary", b"\xff\xfe", b""), ("struct<x:int,y:timestamp>", (1, BASE + datetime.timedelta(microseconds=7)), (None, BASE))):
+        other = -0.0 if kind == "double" else a
+        at = lambda s: BASE + datetime.timedelta(seconds=s)
+        frames = [[(a, at(1), big), (None, at(2), big + 2), (b, None, big + 4)], [(other, at(3), big + 6), (None, at(9000), None)], [(None, at(9000), None)]]
+        frames = [spark.createDataFrame(f, f"k {kind}, ts timestamp_ntz, id long") for f in frames]
+        build = lambda s: stateful.limiter_by_time(s, "ts", "k", "id", limits.anchored_fold(1, 60_000_000), 60, "100 seconds", shards=1)
+        out = stateful.run_arrivals(spark, frames, build, "kinds")
+        assert out.schema["k"].dataType.simpleString() == kind
+        got = {r["id"]: (r["kind"], r["allowed"], bytes(r["k"]) if kind == "binary" and r["k"] is not None else r["k"]) for r in out.collect()}
+        plain = lambda k: None if k is None else tuple(k) if isinstance(k, tuple) else k
+        assert {i: (kind_, allowed, plain(k)) for i, (kind_, allowed, k) in got.items()} == {
+            big: ("decided", True, a), big + 2: ("decided", True, None), big + 4: ("untimed", None, b), big + 6: ("decided", False, a)}
