@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from opsloom.operators.search import inverted_index
 
+#: Text whose postings one task makes distinct.
+TASK_BYTES = 8 << 20
+
 
 class Postings:
     """Written once, searched often.
@@ -29,10 +32,13 @@ class Postings:
         """Index every word of every text; null and empty texts and null ids have no postings, repeated rows no second one."""
         path = path.rstrip("/")
         index = Postings(docs.sparkSession, path, doc, term_buckets)
-        # One task per document bucket writes one file per folder.
-        rows = (inverted_index(docs.where(F.col(doc).isNotNull()), doc, text).distinct().repartition(doc_buckets, doc)
-                .withColumn("bucket", _bucket(F.col("term"), term_buckets)))
-        (rows.write.partitionBy("bucket").bucketBy(doc_buckets, doc).sortBy("term", doc)
+        # A task holds the rows of so much text, however many and whatever their terms; no more than one figure comes here.
+        known = docs.where(F.col(doc).isNotNull())
+        tasks = max(1, -(-(known.agg(F.sum(F.octet_length(text))).first()[0] or 0) // TASK_BYTES))
+        rows = inverted_index(known, doc, text).repartition(tasks, "term", doc).distinct().withColumn("bucket", _bucket(F.col("term"), term_buckets))
+        # Rows of a folder's document bucket meet in one task; those of a frequent term are dealt to several.
+        cell = rows.withColumn("_part", _bucket(F.col(doc), doc_buckets)).hint("rebalance", "bucket", "_part").drop("_part")
+        (cell.write.partitionBy("bucket").bucketBy(doc_buckets, doc).sortBy("term", doc)
          .option("path", f"{path}/postings").saveAsTable(index.table))
         counted = index.postings().groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("docs"))
         counted.repartition("bucket").sortWithinPartitions("term").write.partitionBy("bucket").parquet(f"{path}/terms")

@@ -108,3 +108,25 @@ def test_sketches_without_values(spark):
     found = metrics.sketch_quantiles(sketches, ["g"], [0.5])
     assert [tuple(r) for r in found.collect()] == [("b", 2, 0.5, 2.0)]
     assert [r["error"] for r in metrics.rank_errors(df, ["g"], "v", found).collect()] == [0.0]
+
+
+def test_rows_of_an_index_task_do_not_grow_with_the_table(spark, monkeypatch):
+    """More text makes more tasks, before the rows are made distinct and when they are written; a term in every text is no exception."""
+    from opsloom.operators import postings
+
+    monkeypatch.setattr(postings, "TASK_BYTES", 2_000)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize")}
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4k")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "1k")
+    try:
+        most = []
+        for n in (500, 4_000):
+            docs = spark.range(n, numPartitions=8).selectExpr("id AS doc_id", "concat('the w', id % 97) AS text")
+            index = Postings.write(docs, "doc_id", "text", work_path(spark, "index"), term_buckets=2, doc_buckets=2)
+            rows = index.postings()
+            most.append(rows.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0])
+            assert rows.count() == 2 * n == rows.distinct().count() and index.search(["the", "w5"]).count() == len(range(5, n, 97))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert most[1] < 4 * most[0]
