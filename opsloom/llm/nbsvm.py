@@ -36,6 +36,9 @@ CALIBRATION_SHARE = 5
 #: Words at a time whose n-grams are held in memory.
 STEP = 1 << 20
 
+#: Bits per key, and most words of 64 bits, of the filter that keeps texts without a label from the shuffle.
+FILTER_BITS, FILTER_WORDS = 16, 1 << 20
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SHAPE = _LOWER.copy()
@@ -258,6 +261,20 @@ def _sample(rows: DataFrame, total: int, most: int, features: np.ndarray) -> tup
     return found, np.array(table.column("label").to_pylist(), dtype=np.int64)
 
 
+def _perhaps_in(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``key`` isn't in ``known``: one bit per key in at most ``FILTER_WORDS`` words of 64 bits."""
+    if rows.schema["key"].dataType != known.schema["key"].dataType:  # equal keys of two types have two hashes
+        return rows
+    words = min(FILTER_WORDS, 1 << max(0, (known.count() * FILTER_BITS // 64).bit_length()))
+    spot = lambda d: F.pmod(F.xxhash64(F.lit(91), d["key"]), F.lit(words * 64))
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(spot(known), F.lit(64)).cast("int"))
+    held = known.groupBy(F.shiftright(spot(known), 6).alias("id")).agg(F.bit_or(one).alias("bits"))
+    every = known.sparkSession.range(words).join(held, "id", "left")
+    field = every.agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits"))))["bits"].alias("bits")).scalar()
+    word = F.get(field, F.shiftright(spot(rows), 6).cast("int"))
+    return rows.where(F.getbit(word, F.pmod(spot(rows), F.lit(64)).cast("int")) == 1)
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Model:
     """A model of ``label`` (1 or 0) from the labelled rows of ``docs``.
 
@@ -270,7 +287,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
     known = (labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where("key IS NOT NULL AND label IN (0, 1)")
              .groupBy("key").agg(F.min("label").alias("label")))
     spot = F.pmod(F.xxhash64(F.lit(55), "key"), F.lit(CALIBRATION_SHARE)).cast("int")
-    texts = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")).join(known, "key")
+    # Few texts without a label reach the shuffle; the join is the same at every size.
+    texts = _perhaps_in(docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")), known).join(known.hint("merge"), "key")
     kind = texts.schema["key"].dataType.simpleString()
     path = work_path(spark, "quality-rows")
     texts.select("key", "label", spot.alias("spot"), "text").mapInArrow(

@@ -124,3 +124,16 @@ def test_query(spark, shared, parity_data):
     held = rows.join(labels, "doc_id").where("held_out").select((F.col("predicted") == F.col("quality")).cast("int").alias("hit"))
     assert rows.count() == spark.read.parquet(f"{parity_data}/documents.parquet").count()
     assert held.agg(F.avg("hit")).first()[0] > 0.9
+
+
+def test_few_texts_without_a_label_are_shuffled(spark, monkeypatch):
+    """The filter keeps every labelled row, repeated or not, and drops most others; a full one keeps all."""
+    docs = spark.range(20_000).union(spark.range(50)).selectExpr("id AS key", "'t' AS text").union(spark.createDataFrame([(None, "t")], "key long, text string"))
+    known = spark.range(0, 20_000, 20).selectExpr("id AS key", "1 AS label")
+    kept = nbsvm._perhaps_in(docs, known)
+    assert kept.join(known, "key").count() == 1_003
+    assert kept.count() < 1_003 + 20_000 * 0.13
+    assert nbsvm._perhaps_in(docs, known.where("false")).count() == 0
+    assert nbsvm._perhaps_in(docs, known.selectExpr("int(key) AS key", "label")).join(known, "key").count() == 1_003
+    monkeypatch.setattr(nbsvm, "FILTER_WORDS", 1)
+    assert nbsvm._perhaps_in(docs, known).join(known, "key").count() == 1_003
