@@ -55,6 +55,28 @@ def test_pieces_equal_the_library():
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
 
 
+def test_cores_are_asked_once():
+    own, asked, lib = token_file.Pieces(queries.tokenizer(BYTE)), [], library(BYTE)
+    own.encode(["a snow flake, snow drift. End"])
+    ask = own._ask
+    own._ask = lambda texts: asked.extend(texts) or ask(texts)
+    texts = ["a flake. snow, drift!? snow.\nNew flake", "a drift.\nNew snow,\nEnd"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)]
+    assert got == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    words = "".join(asked)
+    assert words.count("New") == 1 and not any(w in words for w in ("flake", "snow", "drift")), asked
+
+
+def test_marks_and_line_feeds_equal_the_library():
+    rnd = random.Random(8)
+    units = [" ", " ", "  ", "\n", "\n\n", "\r\n", "\t", ",", ".", "!?", "'s", "'", "word", "Ñu", "中", "９", "²", "<|endoftext|>", "\x1c", "\xa0", "Ġ", "7"]
+    texts = ["".join(rnd.choices(units, k=rnd.randrange(40))) for _ in range(3000)]
+    own = token_file.Pieces(queries.tokenizer(BYTE), cache=60)
+    got = [x for at in range(0, len(texts), 30) for x in own.encode(texts[at:at + 30])]
+    want = [e.ids for e in library(BYTE).encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
+
+
 @pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 5000])
 def test_codes_give_random_access(n):
     rnd = np.random.default_rng(n)
