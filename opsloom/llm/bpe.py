@@ -21,15 +21,20 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opsloom.llm.text import gather
+
 #: Words longer than this many parts are merged with a heap.
 LONG = 128
-CACHE = 200_000
+CACHE = 100_000
+#: Runs encoded at a time: bounds the Python objects that exist at once.
+LEARN = 1 << 13
 #: Text encoded at a time.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 NONE = np.int64(1) << 40
 #: Unicode white space; ``str.split`` also cuts at U+001C to U+001F, which are not.
@@ -158,16 +163,21 @@ class Vocabulary:
 
 
 class Encoder:
-    """Ids and decoded form of texts; remembers runs without white space."""
+    """Ids and decoded form of texts; remembers runs without white space.
+
+    Known runs are a table of Arrow strings with their ids in one array and their decoded forms in another, a fraction of
+    the memory of Python objects. Beyond the bound, the half that was used last stays.
+    """
 
     def __init__(self, path: str, cache: int = CACHE) -> None:
         self.vocabulary = Vocabulary(path)
         self.limit = cache
-        self.ids: dict[str, bytes] = {}
-        self.shown: dict[str, str] = {}
-        tokens = self.vocabulary.tokens
-        for content, i in self.vocabulary.special.items():
-            self.ids[content], self.shown[content] = np.array([i], dtype="<u4").tobytes(), tokens[i]
+        special = self.vocabulary.special
+        # The special tokens come first and stay.
+        self.known = pa.array(list(special), pa.large_string())
+        self.ids = np.array(list(special.values()), dtype="<u4")
+        self.shown = pa.array([self.vocabulary.tokens[i] for i in special.values()], pa.large_string())
+        self.sizes, self.used, self.turn = np.ones(len(special), dtype=np.int64), np.zeros(len(special), dtype=np.int64), 0
 
     def runs(self, text: str) -> list[str]:
         """Special tokens and runs without white space, in order."""
@@ -182,38 +192,64 @@ class Encoder:
                 out += piece.split()
         return out
 
-    def _learn(self, runs: set[str]) -> None:
-        if len(self.ids) + len(runs) > self.limit:
-            for known in (self.ids, self.shown):
-                kept = {k: known[k] for k in self.vocabulary.special}
-                known.clear()
-                known.update(kept)
-        order = list(runs)
-        words = [self.vocabulary.words(r) for r in order]
+    def _spell(self, runs: Sequence[str]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Ids of the runs, one after another, how many each has, and their decoded forms."""
+        words = [self.vocabulary.words(r) for r in runs]
         distinct = {w: i for i, w in enumerate(dict.fromkeys(w for ws in words for w in ws))}
         found = self.vocabulary.merge_many([w.encode() for w in distinct])
         tokens = self.vocabulary.tokens
         shown = [" ".join([tokens[t] for t in ids.tolist()]) for ids in found]
-        packed = [ids.tobytes() for ids in found]
-        for run, ws in zip(order, words):
-            if len(ws) == 1:
-                at = distinct[ws[0]]
-                self.ids[run], self.shown[run] = packed[at], shown[at]
-            else:
-                self.ids[run] = b"".join([packed[distinct[w]] for w in ws])
-                self.shown[run] = " ".join([shown[distinct[w]] for w in ws])
+        sizes = np.array([len(ids) for ids in found], dtype=np.int64)
+        flat = np.array([distinct[w] for ws in words for w in ws], dtype=np.int64)
+        upto = np.concatenate(([0], np.cumsum(sizes[flat])))
+        ends = np.cumsum([len(ws) for ws in words])
+        ids = gather(np.concatenate([self.ids[:0], *found]), (np.cumsum(sizes) - sizes)[flat], sizes[flat])
+        return ids, np.diff(upto[ends], prepend=0), pa.array([" ".join([shown[distinct[w]] for w in ws]) for ws in words], pa.large_string())
+
+    def _learn(self, runs: pa.Array) -> None:
+        """Add different unknown runs to the table, some at a time."""
+        ids, sizes, shown = zip(*(self._spell(runs.slice(at, LEARN).to_pylist()) for at in range(0, len(runs), LEARN)))
+        self.ids = np.concatenate([self.ids, *ids])
+        self.sizes = np.concatenate([self.sizes, *sizes])
+        self.used = np.concatenate([self.used, np.zeros(len(runs), dtype=np.int64)])
+        self.known = pa.concat_arrays([self.known, runs])
+        self.shown = pa.concat_arrays([self.shown, *shown])
+
+    def _forget(self) -> None:
+        """Keep the special tokens and the half of the table that was used last."""
+        first = len(self.vocabulary.special)
+        kept = np.sort(np.argsort(-self.used[first:], kind="stable")[: self.limit // 2] + first)
+        kept = np.concatenate((np.arange(first), kept))
+        self.ids = gather(self.ids, (np.cumsum(self.sizes) - self.sizes)[kept], self.sizes[kept])
+        self.sizes, self.used = self.sizes[kept], self.used[kept]
+        self.known, self.shown = self.known.take(pa.array(kept)), self.shown.take(pa.array(kept))
+
+    def _places(self, runs: pa.Array) -> np.ndarray:
+        """Places of different runs in the table; what is unknown is learned."""
+        if len(self.known) > self.limit:
+            self._forget()
+        self.turn += 1
+        places = pc.fill_null(pc.index_in(runs, value_set=self.known), -1).to_numpy().astype(np.int64)
+        missing = np.flatnonzero(places < 0)
+        if len(missing):
+            places[missing] = len(self.known) + np.arange(len(missing))
+            self._learn(runs.take(pa.array(missing)))
+        self.used[places] = self.turn
+        return places
 
     def encode(self, texts: Sequence[str]) -> Iterator[tuple[bytes, str]]:
         """Little-endian 32-bit ids and decoded text of each text."""
         split = [self.runs(t) for t in texts]
-        new = set().union(*split)
-        if len(self.ids) + len(new) > self.limit:
-            self._learn(new - self.vocabulary.special.keys())
-        else:
-            self._learn(new.difference(self.ids))
-        ids, shown = self.ids.__getitem__, self.shown.__getitem__
-        for runs in split:
-            yield b"".join(map(ids, runs)), " ".join(map(shown, runs))
+        first = np.concatenate(([0], np.cumsum([len(runs) for runs in split]))).astype(np.int64)
+        coded = pa.array([r for runs in split for r in runs], pa.large_string()).dictionary_encode()
+        del split
+        at = self._places(coded.dictionary)[coded.indices.to_numpy()]
+        counts = self.sizes[at]
+        ids = gather(self.ids, (np.cumsum(self.sizes) - self.sizes)[at], counts)
+        bounds = np.concatenate(([0], np.cumsum(counts)))[first].tolist()
+        shown = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(first), self.shown.take(pa.array(at))), pa.scalar(" ", pa.large_string()))
+        for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
+            yield ids[a:b].tobytes(), shown[i].as_py()
 
     def decode(self, ids: bytes) -> str:
         """Tokens of little-endian 32-bit ids, joined by spaces: what the file's missing decoder means."""
@@ -221,6 +257,16 @@ class Encoder:
         return " ".join([tokens[i] for i in np.frombuffer(ids, dtype="<u4").tolist()])
 
 
+_WORKER: dict[str, Encoder] = {}
+
+
+def worker_encoder(path: str) -> Encoder:
+    """The worker's own encoder: what one task loaded and learned serves the next."""
+    if path not in _WORKER:
+        _WORKER[path] = Encoder(path)
+    return _WORKER[path]
+
+
 OUTPUTS = {"n_tokens": "long", "ids": "binary", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
 
 
@@ -237,7 +283,7 @@ def _encode(path: str, names: Sequence[str], outputs: Sequence[str]):
         return sha256(ids if name == "ids_sha256" else shown.encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = worker_encoder(path)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("_text"))
             at = 0

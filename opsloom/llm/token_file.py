@@ -24,6 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from opsloom.llm.text import gather
+
 MAGIC = b"DAC1"
 BLOCK = 512
 PART_TOKENS = 1 << 19
@@ -137,12 +139,6 @@ def _halves(strings: pa.Array, sizes: np.ndarray) -> tuple[pa.Array, pa.Array]:
     return both.take(pa.array(even)), both.take(pa.array(even + 1))
 
 
-def _gather(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Ranges of ``values`` behind one another."""
-    ends = np.cumsum(counts)
-    return values[np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
-
-
 class Pieces:
     """Ids of texts by the library, asked once for each core of a piece between lone spaces.
 
@@ -201,7 +197,7 @@ class Pieces:
         """Keep the half of the table that was used last, and the empty core."""
         kept = np.sort(np.argsort(-self.used[1:], kind="stable")[: self.limit // 2] + 1)
         kept = np.concatenate(([0], kept))
-        self.ids = _gather(self.ids, (np.cumsum(self.sizes) - self.sizes)[kept], self.sizes[kept])
+        self.ids = gather(self.ids, (np.cumsum(self.sizes) - self.sizes)[kept], self.sizes[kept])
         self.known, self.sizes, self.used = self.known.take(pa.array(kept)), self.sizes[kept], self.used[kept]
 
     def _places(self, cores: pa.Array) -> np.ndarray:
@@ -236,7 +232,7 @@ class Pieces:
         units[rows, 2], units[rows, 3] = places[n:], behind[n:]
         values = np.concatenate([self.ids, np.frombuffer(b"".join(asked), dtype="<u4")])
         counts = sizes[units]
-        return _gather(values, (np.cumsum(sizes) - sizes)[units].ravel(), counts.ravel()), counts.sum(axis=1)
+        return gather(values, (np.cumsum(sizes) - sizes)[units].ravel(), counts.ravel()), counts.sum(axis=1)
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text.
@@ -261,7 +257,7 @@ class Pieces:
         unit[first[:-1]] = len(different) + np.arange(len(heads))
         counts = sizes[unit]
         ends = np.cumsum(counts)
-        ids = _gather(values, (np.cumsum(sizes) - sizes)[unit], counts)
+        ids = gather(values, (np.cumsum(sizes) - sizes)[unit], counts)
         bounds = np.concatenate(([0], ends[first[1:] - 1]))
         # Texts with runs of white space, or white space at an end, are cut at lone spaces only.
         bad = np.concatenate([loose, loose[begins]])[unit]

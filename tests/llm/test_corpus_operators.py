@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -40,6 +41,32 @@ def test_bpe_equals_the_library():
             assert shown == own.decode(ids) == lib.decode(expected, skip_special_tokens=False)
 
 
+def test_frequent_runs_outlive_the_bound():
+    own, spelled = bpe.Encoder(queries.tokenizer(WORD), cache=50), []
+    merge = own.vocabulary.merge_many
+    own.vocabulary.merge_many = lambda words: spelled.extend(words) or merge(words)
+    lib = library(WORD)
+    for k in range(20):
+        texts = ["the often " + " ".join(f"w{'abcdefghij'[i % 10] * (i // 10 + 1)}{'klmnopqrstuvwxyzabcd'[k]}" for i in range(30)), ""]
+        assert [np.frombuffer(ids, "<u4").tolist() for ids, _ in own.encode(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(own.known) <= 50 + 32
+    assert spelled.count(b"often") == 1
+
+
+def test_known_runs_are_no_python_objects():
+    own = bpe.Encoder(queries.tokenizer(WORD))
+    runs = ["".join("abcdefghij"[int(c)] for c in str(i)) for i in range(30_000)]
+    tracemalloc.start()
+    try:
+        for at in range(0, len(runs), 3000):
+            for _ in own.encode([" ".join(runs[at:at + 3000])]):
+                pass
+        kept = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert kept < 100 * len(runs)
+
+
 def test_short_and_long_words_merge_alike():
     v = bpe.Vocabulary(queries.tokenizer(WORD))
     rnd = random.Random(4)
