@@ -169,7 +169,10 @@ def _block_draws(sized: DataFrame, weights: Sequence[float], share: float, cap:
 
 
 def _placed(sized: DataFrame, targets: DataFrame) -> DataFrame:
-    joined = sized.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "source_rows")
+    """``sized`` with its source's columns and its block. The sources are broadcast, as every node of the splitting tree holds a
+    number for each of them; so a frequent source meets in no task and texts aren't shuffled for them."""
+    sources = F.broadcast(targets.withColumnRenamed("source", "_s"))
+    joined = sized.join(sources, F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "source_rows")
     return joined.withColumn("block", F.pmod("order", F.col("blocks"))).drop("blocks")
 
 
@@ -177,21 +180,23 @@ def _draw(sized: DataFrame, targets: DataFrame, plan: DataFrame) -> DataFrame:
     """``sized`` with ``source_size``, ``target`` and ``draws``.
 
     Most blocks are drawn whole, whatever the order of their rows. The one block that ends a source's target is cut: only its
-    rows are numbered.
+    rows are numbered. That block comes with the source, so that both kinds of rows are told apart before any shuffle, and each
+    row is shuffled once.
     """
-    placed = _placed(sized, targets)
-    cut = F.exists("_draws", lambda d: d["words"] < F.col("_all"))
-    rows = placed.join(plan.withColumn("_cut", cut), ["rank", "block"], "left")
+    cut = plan.where(F.exists("_draws", lambda d: d["words"] < F.col("_all"))).select("rank", F.struct("block", "_draws").alias("_end"))
+    placed = _placed(sized, targets.join(cut, "rank", "left"))
+    last = F.col("block").eqNullSafe(F.col("_end.block"))
     kind = "array<struct<pass:int,shard:int,taken:bigint>>"
-    whole = rows.where("NOT coalesce(_cut, false)").withColumn("draws", F.when(F.col("size") > 0, F.transform("_draws", lambda d: F.struct(
-        d["pass"].alias("pass"), d["shard"].alias("shard"), F.col("size").alias("taken")))))
-    ended = rows.where("coalesce(_cut, false)").withColumn("_twin", F.monotonically_increasing_id())
+    # The plan grows with the words: a merge join at every size.
+    whole = placed.where(~last).join(plan.hint("merge"), ["rank", "block"], "left").withColumn("draws", F.when(F.col("size") > 0, F.transform(
+        "_draws", lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard"), F.col("size").alias("taken")))))
+    ended = placed.where(last).withColumn("_twin", F.monotonically_increasing_id())
     inside = Window.partitionBy("rank", "block").orderBy("order", "_twin").rowsBetween(Window.unboundedPreceding, -1)
     ended = ended.withColumn("_before", F.coalesce(F.sum("size").over(inside), F.lit(0))).withColumn("draws", F.filter(
-        F.transform("_draws", lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard"), F.greatest(
+        F.transform("_end._draws", lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard"), F.greatest(
             F.lit(0).cast("long"), F.least(F.col("size"), d["words"] - F.col("_before"))).alias("taken"))), lambda d: d["taken"] > 0))
-    both = whole.unionByName(ended.drop("_twin", "_before"))
-    return both.withColumn("draws", F.coalesce("draws", F.array().cast(kind))).drop("rank", "block", "_all", "_draws", "_cut")
+    both = whole.drop("_all", "_draws").unionByName(ended.drop("_twin", "_before"))
+    return both.withColumn("draws", F.coalesce("draws", F.array().cast(kind))).drop("rank", "block", "_end")
 
 
 def mix_plan(docs: DataFrame, source: str = "source", text: str = "text", weights: Sequence[float] = WEIGHTS,
@@ -215,7 +220,7 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", weights: Se
     """The mixed rows, shard by shard and shuffled inside each: the columns of ``docs``, with ``text`` cut where a target ends.
 
     A document that the mix takes twice gives two rows. The blocks are planned without texts; these meet their blocks' draws
-    in one shuffle, and their shards in another.
+    in one shuffle, and their shards in another: written once, and once for each time they are taken.
     """
     columns = docs.columns
     ids = [c for c in columns if c == "doc_id"]

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import tracemalloc
 from collections import Counter, defaultdict
 
@@ -182,6 +183,30 @@ def test_mixed_rows_are_cut_at_a_word(documents):
     assert all(abs(words[s] - want[s]) <= 1 for s in want)
 
 
+def test_mix_gives_the_rows_of_its_plan(documents):
+    rnd = random.Random(8)
+    rows = [(i, f"w{i} " + prose(rnd.randrange(1, 30), i), rnd.choice(["a", "a", "a", "b", None])) for i in range(200)]
+    rows += [(3, rows[3][1], rows[3][2]), (None, "w x y", "b"), (900, None, "a"), (901, " ", None)]
+    options = {"block_words": 100, "shard_words": 500}
+    planned, got = Counter(), Counter()
+    for r in mixing.mix_plan(documents(rows), **options).collect():
+        planned.update((r["doc_id"], r["source"], d["taken"]) for d in r["draws"])
+    for r in mixing.mix(documents(rows), **options).collect():
+        got[r["doc_id"], r["source"], len(r["text"].split())] += 1
+    assert got == planned
+
+
+def test_mix_shuffles_texts_for_blocks_and_shards_only(documents, capsys):
+    """Two branches: the rows of whole blocks meet their draws, the few of cut blocks are numbered; then all go to shards."""
+    out = mixing.mix(documents([(i, f"w{i} x y", "abc"[i % 3]) for i in range(60)]), block_words=20, shard_words=30)
+    out.explain("formatted")
+    steps = capsys.readouterr().out.split("\n\n")
+    dealt = [s for s in steps if re.match(r"\(\d+\) Exchange\b", s) and re.search(r"\b(row|text)#", s.split("Arguments")[0])]
+    keys = sorted(re.search(r"hashpartitioning\((.*?), \d+\)", s)[1] for s in dealt if "hashpartitioning" in s)
+    names = [re.sub(r"#\d+L?", "", k) for k in keys]
+    assert names == ["rank, block", "rank, block", "shard"], names
+
+
 def test_quotas_split_exactly(spark, shared):
     quotas = [0, 1, 7, 1000, 123456, 50]
     row = spark.createDataFrame([(quotas,)], "quotas array<bigint>")
