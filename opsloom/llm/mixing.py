@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from opsloom.functions.ordered import running_sum
 from opsloom.llm.text import SPACE_CLASS, let
-from opsloom.session import cut_lineage
+from opsloom.session import cut_lineage, work_path
 
 WEIGHTS = (3, 1, 2)
 #: Share of all words that the mix has, and the most that a source gives of its own.
@@ -143,7 +143,7 @@ def _block_draws(sized: DataFrame, weights: Sequence[float], share: float, cap:
                  shard_words: int) -> tuple[DataFrame, DataFrame]:
     """The sources' targets, and for each block that the mix takes its size ``_all`` and draws (pass, shard, words)."""
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
-    targets = cut_lineage(source_targets(totals, weights, share, cap).withColumn("blocks", F.greatest(
+    targets = _stored(source_targets(totals, weights, share, cap).withColumn("blocks", F.greatest(
         F.lit(1).cast("long"), F.ceil(F.col("source_size") / block_words), F.ceil(F.col("source_rows") / BLOCK_ROWS))))
     # One figure: how many shards the targets fill.
     shards = max(1, math.ceil((targets.agg(F.sum("target")).first()[0] or 0) / shard_words))
@@ -168,11 +168,17 @@ def _block_draws(sized: DataFrame, weights: Sequence[float], share: float, cap:
         F.max("_all").alias("_all"), F.array_sort(F.collect_list(F.struct("pass", "shard", "words"))).alias("_draws")))
 
 
+def _stored(sources: DataFrame) -> DataFrame:
+    """One row per source as a written table, whose size Spark knows."""
+    path = work_path(sources.sparkSession, "mix-sources")
+    sources.coalesce(1).write.parquet(path)
+    return sources.sparkSession.read.parquet(path)
+
+
 def _placed(sized: DataFrame, targets: DataFrame) -> DataFrame:
-    """``sized`` with its source's columns and its block. The sources are broadcast, as every node of the splitting tree holds a
-    number for each of them; so a frequent source meets in no task and texts aren't shuffled for them."""
-    sources = F.broadcast(targets.withColumnRenamed("source", "_s"))
-    joined = sized.join(sources, F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "source_rows")
+    """``sized`` with its source's columns and its block. ``targets`` is a stored table: Spark knows its size and, where the sources
+    are few, broadcasts it; then a frequent source meets in no task and texts aren't shuffled for it."""
+    joined = sized.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "source_rows")
     return joined.withColumn("block", F.pmod("order", F.col("blocks"))).drop("blocks")
 
 
@@ -184,7 +190,7 @@ def _draw(sized: DataFrame, targets: DataFrame, plan: DataFrame) -> DataFrame:
     row is shuffled once.
     """
     cut = plan.where(F.exists("_draws", lambda d: d["words"] < F.col("_all"))).select("rank", F.struct("block", "_draws").alias("_end"))
-    placed = _placed(sized, targets.join(cut, "rank", "left"))
+    placed = _placed(sized, _stored(targets.join(cut, "rank", "left")))
     last = F.col("block").eqNullSafe(F.col("_end.block"))
     kind = "array<struct<pass:int,shard:int,taken:bigint>>"
     # The plan grows with the words: a merge join at every size.
